@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,13 @@ def pieces(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str]]
             size += len(text)
             i += 1
         yield ids[start:i], got
+
+
+def text_udf(fn: Callable[[list], list], returns: str):
+    """A pandas UDF of one column from a function on lists."""
+
+    @F.pandas_udf(returns)
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series(fn([None if t is None else t for t in rows]), index=rows.index, dtype="bool" if returns == "boolean" else "object")
+
+    return run

@@ -10,11 +10,9 @@ an empty table gives an empty result; a text is always judged whole, however lon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +105,8 @@ def quality(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", text:
 def keep_good(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
     """The rows whose text passes, with all their columns."""
 
-    @F.pandas_udf("boolean")
-    def passes(rows):
+    def passes(rows: list) -> list[bool]:
         compress = _compressor(bands)
-        return rows.map(lambda t: bool(_judge(t or "", bands, compress)[6]))
+        return [bool(_judge(t or "", bands, compress)[6]) for t in rows]
 
-    return docs.filter(passes(F.col(text).cast("string")))
+    return docs.filter(common.text_udf(passes, "boolean")(F.col(text).cast("string")))

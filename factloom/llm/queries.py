@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, common, id_blocks, quality, token_counts
+from . import bpe_codec, chat, common, decontaminate, html_text, id_blocks, pii, quality, token_counts
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -59,12 +59,27 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(common.documents(spark, sf_dir))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(common.documents(spark, sf_dir))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_id_blocks": op4_token_id_blocks,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op8_html_text": op8_html_text,
+    "op9_pii": op9_pii,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL = {"op1_chat_formatting": OP1_SQL}
