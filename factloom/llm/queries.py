@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, common, decontaminate, html_text, id_blocks, jaccard_join, pii, quality, token_counts
+from . import bpe_codec, chat, common, decontaminate, html_text, id_blocks, jaccard_join, pii, quality, repeats, token_counts
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -55,6 +55,10 @@ def op4_token_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_blocks.round_trip(common.documents(spark, sf_dir))
 
 
+def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(common.documents(spark, sf_dir)).drop("kept")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(common.documents(spark, sf_dir))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_id_blocks": op4_token_id_blocks,
+    "op5_run_length_dedup": op5_run_length_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_html_text": op8_html_text,
