@@ -18,9 +18,9 @@ def score_sets(claims: DataFrame, truth: DataFrame, keys: list[str], by: list[st
     Every row is tagged by its side and the sides are met by one aggregation: it shuffles once, keeps no order and, unlike a
     full outer join, leaves no partition that AQE cannot split.
     """
-    both = claims.select(*keys, F.lit(1).alias("c"), F.lit(0).alias("t")).unionByName(truth.select(*keys, F.lit(0).alias("c"), F.lit(1).alias("t")))
-    met = both.groupBy(*keys).agg(F.max("c").alias("c"), F.max("t").alias("t"))
-    counts = met.groupBy(*by).agg(F.sum(F.col("c") * F.col("t")).alias("tp"), F.sum(F.col("c") * (1 - F.col("t"))).alias("fp"), F.sum((1 - F.col("c")) * F.col("t")).alias("fn"))
+    both = claims.select(*keys, F.lit(1).alias("_c"), F.lit(0).alias("_t")).unionByName(truth.select(*keys, F.lit(0).alias("_c"), F.lit(1).alias("_t")))
+    met = both.groupBy(*keys).agg(F.max("_c").alias("_c"), F.max("_t").alias("_t"))
+    counts = met.groupBy(*by).agg(F.sum(F.col("_c") * F.col("_t")).alias("tp"), F.sum(F.col("_c") * (1 - F.col("_t"))).alias("fp"), F.sum((1 - F.col("_c")) * F.col("_t")).alias("fn"))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return counts.select(*by, "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
 
@@ -51,7 +51,7 @@ def final_score(clinical: Column, bleu: Column, meteor: Column) -> Column:
 
 def _ngrams(df: DataFrame, keys: list[str], tokens: str, n: int) -> DataFrame:
     grams = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(F.col(tokens), i, n), "\x1f"))).otherwise(F.array().cast("array<string>"))
-    return df.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("c"))
+    return df.select(*keys, F.explode(grams).alias("_gram")).groupBy(*keys, "_gram").agg(F.count("*").alias("_c"))
 
 
 def bleu(pairs: DataFrame, by: list[str], key: str, candidate: str, reference: str, order: int = 4) -> DataFrame:
@@ -61,14 +61,14 @@ def bleu(pairs: DataFrame, by: list[str], key: str, candidate: str, reference: s
     reference length, of two equally close ones the shorter.  No unigram in common gives 0; a higher order with none counts
     0.1 in its place.  Rows: one for each pair of a candidate (``key``) and a reference; tokens as arrays.
     """
-    one = pairs.groupBy(*by, key).agg(F.first(candidate).alias("cand"), F.min(F.struct(F.abs(F.size(reference) - F.size(candidate)), F.size(reference).alias("len"))).alias("near"))
-    sizes = one.groupBy(*by).agg(F.sum(F.size("cand")).alias("c_len"), F.sum("near.len").alias("r_len"), *(F.sum(F.greatest(F.size("cand") - (n - 1), F.lit(0))).alias(f"d{n}") for n in range(1, order + 1)))
+    one = pairs.groupBy(*by, key).agg(F.first(candidate).alias("_cand"), F.min(F.struct(F.abs(F.size(reference) - F.size(candidate)), F.size(reference).alias("len"))).alias("_near"))
+    sizes = one.groupBy(*by).agg(F.sum(F.size("_cand")).alias("c_len"), F.sum("_near.len").alias("r_len"), *(F.sum(F.greatest(F.size("_cand") - (n - 1), F.lit(0))).alias(f"d{n}") for n in range(1, order + 1)))
     refs = pairs.withColumn("_r", F.xxhash64(reference))
     out = sizes
     for n in range(1, order + 1):
-        cand = _ngrams(one, [*by, key], "cand", n)
-        most = _ngrams(refs, [*by, key, "_r"], reference, n).groupBy(*by, key, "gram").agg(F.max("c").alias("m"))
-        hits = cand.join(most, [*by, key, "gram"]).groupBy(*by).agg(F.sum(F.least("c", "m")).alias(f"n{n}"))
+        cand = _ngrams(one, [*by, key], "_cand", n)
+        most = _ngrams(refs, [*by, key, "_r"], reference, n).groupBy(*by, key, "_gram").agg(F.max("_c").alias("_m"))
+        hits = cand.join(most, [*by, key, "_gram"]).groupBy(*by).agg(F.sum(F.least("_c", "_m")).alias(f"n{n}"))
         out = out.join(hits, by, "left")
     logs = sum((F.log(F.when(F.coalesce(F.col(f"n{n}"), F.lit(0)) == 0, F.lit(0.1)).otherwise(F.col(f"n{n}")) / F.greatest(F.col(f"d{n}"), F.lit(1))) for n in range(1, order + 1)), F.lit(0.0))
     penalty = F.when(F.col("c_len") > F.col("r_len"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r_len") / F.col("c_len")))
@@ -81,15 +81,15 @@ def meteor_lite(pairs: DataFrame, keys: list[str], candidate: str, reference: st
     half the cube of chunks per match.  Two empty texts agree fully, one empty text not at all."""
 
     def places(column: str, name: str) -> DataFrame:
-        at = pairs.select(*keys, F.posexplode(column).alias(name, "token"))
-        return at.withColumn("k", F.row_number().over(W.partitionBy(*keys, "token").orderBy(name)))
-
-    met = places(candidate, "i").join(places(reference, "j"), [*keys, "token", "k"])
-    order = W.partitionBy(*keys).orderBy("i")
-    broken = (F.col("i") != F.lag("i").over(order) + 1) | (F.col("j") != F.lag("j").over(order) + 1)
-    chunks = met.withColumn("new", F.coalesce(broken, F.lit(True)).cast("int")).groupBy(*keys).agg(F.count("*").alias("m"), F.sum("new").alias("chunks"))
-    c, r, m = F.size(candidate), F.size(reference), F.col("m")
+        at = pairs.select(*keys, F.posexplode(column).alias(name, "_token"))
+        return at.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_token").orderBy(name)))
+
+    met = places(candidate, "_i").join(places(reference, "_j"), [*keys, "_token", "_k"])
+    order = W.partitionBy(*keys).orderBy("_i")
+    broken = (F.col("_i") != F.lag("_i").over(order) + 1) | (F.col("_j") != F.lag("_j").over(order) + 1)
+    chunks = met.withColumn("_new", F.coalesce(broken, F.lit(True)).cast("int")).groupBy(*keys).agg(F.count("*").alias("_n_met"), F.sum("_new").alias("_chunks"))
+    c, r, m = F.size(candidate), F.size(reference), F.col("_n_met")
     p, q = m / c, m / r
-    f = 10 * p * q / (q + 9 * p) * (1 - 0.5 * F.pow(F.col("chunks") / m, 3))
+    f = 10 * p * q / (q + 9 * p) * (1 - 0.5 * F.pow(F.col("_chunks") / m, 3))
     score = F.when((c == 0) & (r == 0), 1.0).when((c == 0) | (r == 0) | m.isNull(), 0.0).otherwise(f)
     return pairs.join(chunks, keys, "left").select(*keys, F.round(score, 6).alias("meteor"))
