@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import repair, text
+from .functions import repair, text, verdicts
 from .operators import audit, metrics, rules, series, training, volumes, votes
 from .plans import dims, report
 from .streaming import incremental
@@ -496,11 +496,31 @@ def rule_chain(spark, sf_dir):
   'Right mandibular canal with a regular course, predominantly ' || canal || '.', CASE WHEN NOT list_contains(absent, 38) THEN 'Tooth 38 is impacted.' END,
   CASE WHEN len(endodontic) > 0 THEN 'Endodontic treatment involving teeth ' || {_JOIN_SQL.format('endodontic')} || '.' END,
   CASE WHEN len(fillings) > 0 THEN 'Conservative composite restoration' || CASE WHEN len(fillings) = 1 THEN ' on tooth ' ELSE 's on teeth ' END || {_JOIN_SQL.format('fillings')} || '.' END,
-  CASE WHEN condyle = 'not_included' THEN 'Condyles are not included in the scan volume.' ELSE 'Condyles are included in the scan volume.' END) AS report FROM g""")
+  CASE WHEN condyle = 'not_included' THEN 'Condyles not included in the scan volume.' ELSE 'Condyles included in the scan volume.' END) AS report FROM g""")
 def report_render(spark, sf_dir):
     return report.mandible(rules.apply(_summaries(spark, sf_dir)))
 
 
+@query("""WITH c AS (SELECT l_orderkey, list_distinct(list(30 + l_linenumber)) AS a FROM lineitem GROUP BY l_orderkey)
+ SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN 'unknown' WHEN len(a) = 8 THEN 'quadrant_edentulous_one' WHEN len(a) < 2 OR list_max(a) - list_min(a) + 1 = len(a) THEN 'consecutive_run' ELSE 'scatter' END AS pattern FROM c""")
+def absent_pattern(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(30 + F.col("l_linenumber")).alias("a"))
+    return rows.select("l_orderkey", verdicts.absent_pattern("mandible", F.col("a").cast("array<int>"), F.col("l_orderkey") % 11 != 0).alias("pattern"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, coalesce(list(DISTINCT 30 + l_linenumber) FILTER (l_returnflag = 'A'), []) AS p, coalesce(list(DISTINCT 30 + l_linenumber) FILTER (l_returnflag = 'R'), []) AS a, coalesce(list(DISTINCT 30 + l_linenumber) FILTER (l_quantity > 45), []) AS m FROM lineitem GROUP BY l_orderkey),
+ s AS (SELECT l_orderkey, len(p) > 0 AS hp, len(a) > 0 AS ha, list_filter(a, lambda x: NOT list_contains(m, x)) AS gone, list_distinct(list_concat(p, m)) AS t FROM c),
+ u AS (SELECT *, list_filter(t, lambda x: NOT list_contains(gone, x)) AS there FROM s)
+ SELECT l_orderkey, len(there) + CASE WHEN ha AND NOT hp THEN 16 - len(there) - len(gone) ELSE 0 END AS n_present, len(gone) + CASE WHEN hp AND NOT ha THEN 16 - len(there) - len(gone) ELSE 0 END AS n_absent, CASE WHEN ha = hp THEN 16 - len(there) - len(gone) ELSE 0 END AS n_unstated FROM u""")
+def presence_resolution(spark, sf_dir):
+    at = 30 + F.col("l_linenumber")
+    lists = lambda c: F.collect_set(F.when(c, at)).cast("array<int>")
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lists(F.col("l_returnflag") == "A").alias("p"), lists(F.col("l_returnflag") == "R").alias("a"), lists(F.col("l_quantity") > 45).alias("m"))
+    none = F.lit(None)
+    found = rows.select("l_orderkey", verdicts.presence("mandible", F.col("p"), F.col("a"), F.col("m"), none.cast("array<int>"), none.cast("boolean"), none.cast("string")).alias("s"))
+    return found.select("l_orderkey", *(F.size(f"s.{k}").cast("long").alias(f"n_{k}") for k in ("present", "absent", "unstated")))
+
+
 @query("SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def incremental_append(spark, sf_dir):
     """A run in two parts, of which the second must not repeat the first, rolled up: the same as one batch."""

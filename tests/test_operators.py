@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import repair, text
+from factloom.functions import repair, text, verdicts
 from factloom.operators import audit, metrics, rules, series, training, volumes, votes
 from factloom.plans import dims, report
 from factloom.sources import readers
@@ -158,7 +158,7 @@ def test_rules(spark):
 
 def test_report(spark):
     got = report.mandible(rules.apply(summary(spark, endodontic=[], fillings=[34, 35, 36], canal_votes=["lingual"]))).head().report
-    assert got == "Mandible is partially included in the scan volume. Absence of teeth 31. Right mandibular canal with a regular course, predominantly lingual. Tooth 38 is impacted. Conservative composite restorations on teeth 34, 35, and 36. Condyles are included in the scan volume."
+    assert got == "Mandible is partially included in the scan volume. Absence of teeth 31. Right mandibular canal with a regular course, predominantly lingual. Tooth 38 is impacted. Conservative composite restorations on teeth 34, 35, and 36. Condyles included in the scan volume."
     assert one(spark, report.scope("maxilla", F.lit("none"))) == "Maxilla is not included in the scan volume and not assessable."
     gone = report.mandible(rules.apply(summary(spark, f_absent=list(range(31, 39))))).head().report
     assert gone.startswith("Complete mandibular edentulism. Marked atrophy of the alveolar processes.")
@@ -235,3 +235,49 @@ def test_streaming_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == 30
+
+
+def ints(*x):
+    return F.array(*map(F.lit, x)) if x else F.array().cast("array<int>")
+
+
+def test_ladders(spark):
+    s = lambda x: F.lit(x).cast("string")
+    b = lambda x: F.lit(x).cast("boolean")
+    rank = ("absent", "impacted", "filling", "caries")
+    assert [one(spark, verdicts.ranked_verdict(s(v), "filling", rank)) for v in ("filling", "impacted", "caries", "normal", None, "unreadable")] == ["agree", "abstain", "deny", "deny", "abstain", "abstain"]
+    assert [one(spark, verdicts.enum_verdict(s(v), "a", ("skip",))) for v in ("a", "b", "skip", "", None)] == ["agree", "deny", "abstain", "abstain", "abstain"]
+    assert [one(spark, verdicts.bool_verdict(b(v))) for v in (True, False, None)] == ["agree", "deny", "abstain"]
+    assert [one(spark, verdicts.exclusive_verdict(s(v), "caries", ("normal", "filling"))) for v in ("caries", "filling", "impacted", None)] == ["agree", "deny", "abstain", "abstain"]
+    assert [one(spark, verdicts.first_flag([(b(x), "post"), (b(y), "crown")])) for x, y in ((True, True), (None, True), (False, None), (None, None))] == ["post", "crown", "none", None]
+    cases = [((), "none"), (range(31, 39), "quadrant_edentulous_one"), ((*range(31, 39), 41), "quadrant_edentulous_one_plus_partial"), ((*range(31, 39), *range(41, 49)), "quadrant_edentulous_both"), ((*range(32, 39), *range(42, 49)), "nearly_edentulous"), ((34, 35), "consecutive_run"), ((34, 36), "scatter"), ((11,), "none")]
+    for positions, want in cases:
+        assert one(spark, verdicts.absent_pattern("mandible", ints(*positions), F.lit(True))) == want
+    assert one(spark, verdicts.absent_pattern("mandible", ints(34), F.lit(False))) == "unknown"
+    assert [one(spark, verdicts.dentition(*map(F.lit, c))) for c in ((0, 0, 0), (3, 0, 0), (3, 3, 4), (2, 3, 4))] == ["edentulous", "primary", "mixed", "permanent"]
+
+
+def test_presence_of_positions(spark):
+    none, silent = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    read = lambda p, a, m, i, e=silent, c=none: one(spark, verdicts.presence("mandible", ints(*p), ints(*a), ints(*m), ints(*i), e, c))
+    got = read((31, 33), (32, 36, 37), (36,), (46,), c=F.lit("absent"))
+    assert got.absent == [46, 32, 37] and 36 in got.present and len(got.present) == 13 and got.unstated == []
+    assert len(read((31,), (), (), ()).absent) == 15 and len(read((31,), (32,), (), ()).unstated) == 14
+    assert len(read((), (), (), (), F.lit(True)).absent) == 16 and read((), (), (33,), (), F.lit(True)).present == [33]
+    assert one(spark, verdicts.longest_missing_run("mandible", ints(41, 31, 32, 45))) == 3 and one(spark, verdicts.atrophic("mandible", ints(41, 31), silent)) is False
+    assert one(spark, verdicts.pontics(ints(44, 45, 46), ints(44), ints(45), ints(44, 46), ints(47))) == [45, 47]
+    assert one(spark, verdicts.stated(F.lit(False), F.lit(True))) is None and one(spark, verdicts.stated(F.lit(True), F.lit(True))) is True
+
+
+def test_more_sentences(spark):
+    entries = F.array(*(F.struct(F.lit(f).cast("int").alias("fdi"), F.lit(c).alias("crown"), F.lit(s).cast("string").alias("status")) for f, c, s in ((45, True, "well"), (46, False, None), (47, True, "well"), (None, True, None))))
+    assert one(spark, report.implants(entries)) == "Endosseous implants in position 45, 47, restored with an implant-supported crown, with radiographically well osseointegration. Endosseous implant in position 46."
+    assert one(spark, report.bridge(F.lit(None).cast("int"), F.lit(3), ints(), ints(), ints())) == "Prosthetic bridge exists."
+    assert one(spark, report.bridge(F.lit(44), F.lit(47), ints(44), ints(47), ints(45, 46))) == "Fixed prosthetic bridge from 44 to 47, with anchor abutment teeth on 44, and an implant in the 47 region, and pontics in the 45 and 46 regions."
+    t, f = F.lit(True), F.lit(False)
+    say = lambda r, l, rn, ln: one(spark, report.sinuses(verdicts.sinus_status(F.lit(r).cast("string"), F.lit(l).cast("string"), rn, ln), F.lit(r).cast("string"), F.lit(l).cast("string"), rn, ln))  # noqa: E731, E741
+    assert say("fully_included", "partially_included", t, t) == "Maxillary sinuses are partially included in the acquisition volume, normally aerated."
+    assert say(None, "not_included", t, t) == "Maxillary sinuses: not included in the acquisition volume and not assessable."
+    assert say("fully_included", "fully_included", f, t) == "Maxillary sinuses are included in the acquisition volume. The maxillary sinus shows mild mucosal thickening on the right side."
+    assert say("fully_included", None, t, t) == "Right maxillary sinus is included in the acquisition volume, normally aerated; the left maxillary sinus is not included in the acquisition volume and not assessable."
+    assert one(spark, report.wisdom(F.lit("mixed"), ints(38, 48), ints(18))) == "Teeth 38 and 48 are unerupted. Tooth 18 is partially erupted." and one(spark, report.wisdom(F.lit("permanent"), ints(38), ints())) is None
