@@ -9,12 +9,25 @@ from pyspark.sql import functions as F
 def containing(docs: DataFrame, items: DataFrame, key: str, text: str, item_text: str, bound: int = 4_000_000) -> DataFrame:
     """The keys of the texts that contain a passage.
 
-    The passages are a query set: while their characters stay under ``bound`` they go to every task as one pattern of
-    alternatives; a larger set is an error that names the bound, so that the caller searches in several lots.
+    The passages are a query set.  Lots of at most about ``bound`` characters go to every task, one pass over the texts for
+    each lot; the driver holds one lot at a time.
     """
-    size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
-    if size > bound:
-        raise ValueError(f"passages of {size} characters; {bound} is the bound of one lot")
-    lot = items.filter(F.length(item_text) > 0).agg(F.collect_list(item_text).alias("_items")).withColumn("_k", F.lit(1))
-    joined = docs.select(key, F.col(text).alias("_t")).withColumn("_k", F.lit(1)).join(F.broadcast(lot), "_k")  # one row on the other side
-    return joined.filter(F.exists("_items", lambda x: F.contains(F.col("_t"), x))).select(key)
+    spark = docs.sparkSession
+    lots: list[DataFrame] = []
+    held: list[tuple[str]] = []
+    size = 0
+    for row in items.filter(F.length(item_text) > 0).select(item_text).toLocalIterator():
+        held.append((row[0],))
+        size += len(row[0])
+        if size >= bound:
+            lots.append(spark.createDataFrame(held, "_item string"))
+            held, size = [], 0
+    if held or not lots:
+        lots.append(spark.createDataFrame(held, "_item string"))
+    found = None
+    for lot in lots:
+        one = F.broadcast(lot.agg(F.collect_list("_item").alias("_items")).withColumn("_k", F.lit(1)))
+        joined = docs.select(key, F.col(text).alias("_t")).withColumn("_k", F.lit(1)).join(one, "_k")  # one row on the other side
+        part = joined.filter(F.exists("_items", lambda x: F.contains(F.col("_t"), x))).select(key)
+        found = part if found is None else found.unionByName(part)
+    return found if len(lots) == 1 else found.distinct()

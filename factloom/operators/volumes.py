@@ -47,17 +47,19 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def nearest(rows: DataFrame, key: str, vector: str, centres: DataFrame, label: str, bound: int = 10_000) -> DataFrame:
     """(key, nearest label, squared distance), of equally near labels the smallest.
 
-    ``centres`` is a dimension: its size is checked against ``bound`` and sent to every task; more are a mistake of the
-    caller's, told at once.
+    The centres' number is counted: lots of about ``bound`` go to every task, and the best of several lots is taken by key.
     """
-    n = centres.limit(bound + 1).count()
-    if n > bound:
-        raise ValueError(f"more than {bound} centres")
-    held = F.broadcast(centres.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centre").alias("c"))).alias("_all")).withColumn("_k", F.lit(1)))
+    lots = max(1, -(-centres.count() // bound))
     distance = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, d: s + d)
-    joined = rows.withColumn("_k", F.lit(1)).join(held, "_k")  # one row on the other side
-    best = F.array_min(F.transform("_all", lambda s: F.struct(distance(s["c"]).alias("d"), s["l"].alias("l"))))
-    return joined.select(key, best.alias("b")).select(key, F.col("b.l").alias("nearest"), F.col("b.d").alias("d2"))
+    found = None
+    for i in range(lots):
+        lot = centres if lots == 1 else centres.filter(F.pmod(F.xxhash64(label), F.lit(lots)) == i)
+        held = F.broadcast(lot.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centre").alias("c"))).alias("_all")).withColumn("_k", F.lit(1)))
+        joined = rows.withColumn("_k", F.lit(1)).join(held, "_k")  # one row on the other side
+        part = joined.select(key, F.array_min(F.transform("_all", lambda s: F.struct(distance(s["c"]).alias("d"), s["l"].alias("l")))).alias("b"))
+        found = part if found is None else found.unionByName(part)
+    best = found if lots == 1 else found.groupBy(key).agg(F.min("b").alias("b"))
+    return best.select(key, F.col("b.l").alias("nearest"), F.col("b.d").alias("d2"))
 
 
 def superior_axis(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:

@@ -259,12 +259,11 @@ def _pairs(spark, sf_dir):
     """Each document's head against two passages: a fixed pairing by ids, with token arrays."""
     bench = _read(spark, sf_dir, "benchmark")
     n = bench.count()
-    held = bench.groupBy().agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("all")) if n <= 10_000 else None
-    if held is None:
-        raise ValueError("the passages are a dimension of 10,000 rows at most")
+    held = bench.groupBy().agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("all"))  # numbered by their order
     items = held.select(F.posexplode("all").alias("k", "item")).select("k", text.tokens(F.col("item.text")).alias("r"))
+    items = F.broadcast(items) if n <= 10_000 else items
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.substring("text", 1, 600)).alias("c"), F.explode(F.array_distinct(F.array(F.col("doc_id") % n, (F.col("doc_id") + 1) % n))).alias("k"))
-    return docs.join(F.broadcast(items), "k").select("doc_id", "lang", "c", "r")
+    return docs.join(items, "k").select("doc_id", "lang", "c", "r")
 
 
 @query(_bleu_sql("lang", True))
@@ -368,7 +367,7 @@ def anti_gate(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(documents.text, b.text))")
 def semi_support(spark, sf_dir):
-    """Documents that hold a passage as it is: candidates by a 24-character key of the passage, then the exact test."""
+    """Documents that hold a passage as it is."""
     items = _read(spark, sf_dir, "benchmark").select("item_id", "text")
     from .operators.containment import containing
 

@@ -281,3 +281,15 @@ def test_more_sentences(spark):
     assert say("fully_included", "fully_included", f, t) == "Maxillary sinuses are included in the acquisition volume. The maxillary sinus shows mild mucosal thickening on the right side."
     assert say("fully_included", None, t, t) == "Right maxillary sinus is included in the acquisition volume, normally aerated; the left maxillary sinus is not included in the acquisition volume and not assessable."
     assert one(spark, report.wisdom(F.lit("mixed"), ints(38, 48), ints(18))) == "Teeth 38 and 48 are unerupted. Tooth 18 is partially erupted." and one(spark, report.wisdom(F.lit("permanent"), ints(38), ints())) is None
+
+
+def test_dimensions_beyond_their_bound(spark):
+    from factloom.operators.containment import containing
+
+    docs, items = frame(spark, [(1, "say abc"), (2, "xyz"), (3, None)], "id int, t string"), frame(spark, [("abc",), ("xy",), ("say",), (None,), ("",)], "p string")
+    for bound in (100, 1):
+        assert sorted(r.id for r in containing(docs, items, "id", "t", "p", bound).collect()) == [1, 2]
+    centres = frame(spark, [(i, [float(i), 0.0]) for i in range(6)], "label int, centre array<double>")
+    rows = frame(spark, [(1, [4.2, 0.0]), (2, [0.5, 1.0])], "id int, v array<double>")
+    for bound in (100, 2):
+        assert {r.id: r.nearest for r in volumes.nearest(rows, "id", "v", centres, "label", bound).collect()} == {1: 4, 2: 0}
