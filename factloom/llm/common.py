@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,8 +39,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage so that a lost executor costs one stage."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._factloom_path = path
+    return table
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose result is written.
+
+    They go when the driver's objects are collected; events under way may hold those a moment longer, hence two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._factloom_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -87,6 +109,13 @@ def pieces(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str]]
         yield ids[start:i], got
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:
+    """The rows whose key is among ``ids`` (column ``id``, distinct, written out): sent to all tasks up to ``bound`` ids, joined beyond."""
+    few = ids.limit(bound + 1).count() <= bound
+    side = ids.withColumnRenamed("id", "_id")
+    return docs.join(F.broadcast(side) if few else side, F.col(key).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def text_udf(fn: Callable[[list], list], returns: str):
     """A pandas UDF of one column from a function on lists."""
 

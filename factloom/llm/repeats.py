@@ -4,7 +4,8 @@ A byte is removed if a string of ``length`` bytes that covers it also starts in
 
 1. Each window of ``length`` bytes names an anchor: of the ``gram``-byte strings in it the one least in a fixed order.
    Equal windows have equal anchors, so only windows whose anchor stands in two documents can repeat.
-2. The windows of one anchor lie in one region.  Equal regions are one variant, known by its digest and first document.
+2. The windows of one anchor lie in one region.  Equal regions are one variant, known by its digest, beside the anchor's
+   hash, and by its first document.
 3. Anchors with several variants get a run-length index: the variants' run-compressed Burrows-Wheeler transform with
    sampled run ends.  All variants are streamed through it backwards; whenever a variant's match with others reaches
    ``length`` bytes, the group of equal windows tells the first document that has them.  Anchors with more variants than
@@ -17,13 +18,12 @@ not remove each other; a doc_id is taken to name one text.  An empty table gives
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,7 +36,7 @@ PIECE = 1_000_000
 def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, first window, last window, hash) of the anchors of a text's bytes, in order.
 
-    The order of grams: few blanks first, then by hash; phrases of short, common words are rarely chosen.
+    The order of grams is that of their hashes.
     """
     n = len(raw)
     if n < length:
@@ -49,8 +49,6 @@ def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
         h = (total[gram:] - total[:-gram]) * down[: n - gram + 1]
         h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
-    blanks = np.concatenate([[0], np.cumsum(raw <= 32, dtype=np.int32)])
-    h = h >> np.uint64(3) | np.minimum(blanks[gram:] - blanks[:-gram], 7).astype(np.uint64) << np.uint64(61)
     width = length - gram + 1
     # sliding minimum by doubling, then where it stands: the last place with that value, found by doubling too
     low, at, span = h, np.arange(len(h)), 1
@@ -99,34 +97,33 @@ def _anchor_places(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _regions(held: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, variant, doc_id, begin, windows, region) of the anchors at the given places of (doc_id, text, places)."""
-    out = pa.schema([("h", pa.int64()), ("variant", pa.binary()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("windows", pa.int32()), ("region", pa.binary())])
+    """(h, v, doc_id, begin, windows) of the anchors at the given places of (doc_id, text, places); v: the region's digest."""
+    out = pa.schema([("h", pa.int64()), ("v", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("windows", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in out]
             for i, t, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = t.encode()
                 place, first, last, h = anchors(np.frombuffer(data, np.uint8), length, gram)
                 own = np.flatnonzero(np.isin(place, places.values.to_numpy()))
-                regions = [data[a : b + length] for a, b in zip(first[own].tolist(), last[own].tolist())]
-                columns[0].append(h[own].view(np.int64))
-                columns[1] += [hashlib.blake2b(r, digest_size=16).digest() for r in regions]
-                columns[2].append(np.full(len(own), i, np.int64))
-                columns[3].append(first[own])
-                columns[4].append(last[own] - first[own] + 1)
-                columns[5] += regions
-                if len(columns[5]) > 50_000:
-                    yield _batch(columns, out)
-                    columns = [[] for _ in out]
-            yield _batch(columns, out)
+                digests = b"".join(hashlib.blake2b(data[a : b + length], digest_size=8).digest() for a, b in zip(first[own].tolist(), last[own].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(np.frombuffer(digests, "<i8")), pa.array(np.full(len(own), i, np.int64)), pa.array(first[own].astype(np.int32)), pa.array((last[own] - first[own] + 1).astype(np.int32))], schema=out)
 
-    return held.select("doc_id", "text", "places").mapInArrow(run, "h long, variant binary, doc_id long, begin int, windows int, region binary")
+    return held.select("doc_id", "text", "places").mapInArrow(run, "h long, v long, doc_id long, begin int, windows int")
 
 
-def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]) if not pa.types.is_binary(f.type) else c, f.type) for c, f in zip(columns, schema)]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+def _spelled(held: DataFrame, length: int) -> DataFrame:
+    """(h, v, doc, kinds, region) of (doc_id, text, at): the bytes of the regions at the given places."""
+    out = pa.schema([("h", pa.int64()), ("v", pa.int64()), ("doc", pa.int64()), ("kinds", pa.int64()), ("region", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for i, t, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data, rows = t.encode(), at.values
+                regions = [data[a : a + w - 1 + length] for a, w in zip(rows.field("begin").to_pylist(), rows.field("windows").to_pylist())]
+                yield pa.RecordBatch.from_arrays([rows.field("h"), rows.field("v"), pa.array([i] * len(regions), pa.int64()), rows.field("kinds"), pa.array(regions, pa.binary())], schema=out)
+
+    return held.select("doc_id", "text", "at").mapInArrow(run, "h long, v long, doc long, kinds long, region binary")
 
 
 def first_documents(regions: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
@@ -152,22 +149,23 @@ def first_documents(regions: list[bytes], docs: np.ndarray, length: int) -> list
 
 
 def _indexed(variants: DataFrame, length: int, partitions: int) -> DataFrame:
-    """(variant, firsts) of (h, variant, doc, region): the variants of an anchor meet in one index."""
-    out = pa.schema([("variant", pa.binary()), ("firsts", pa.list_(pa.int64()))])
+    """(h, v, firsts) of (h, v, doc, region): the variants of an anchor meet in one index."""
+    out = pa.schema([("h", pa.int64()), ("v", pa.int64()), ("firsts", pa.list_(pa.int64()))])
 
     def settle(keys: list, docs: list, regions: list) -> pa.RecordBatch:
         found = first_documents(regions, np.array(docs, np.int64), length)
         at = np.cumsum([0, *map(len, found)])
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found)))], schema=out)
+        hs, vs = zip(*keys)
+        return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(vs, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found)))], schema=out)
 
     def run(batches):
         keys, docs, regions, size, last = [], [], [], 0, None
         for batch in batches:
-            for h, variant, doc, region in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for h, v, doc, region in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if size > PIECE and h != last:
                     yield settle(keys, docs, regions)
                     keys, docs, regions, size = [], [], [], 0
-                keys.append(variant)
+                keys.append((h, v))
                 docs.append(doc)
                 regions.append(region)
                 size += len(region) + 1
@@ -175,48 +173,51 @@ def _indexed(variants: DataFrame, length: int, partitions: int) -> DataFrame:
         if keys:
             yield settle(keys, docs, regions)
 
-    return variants.select("h", "variant", "doc", "region").repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, "variant binary, firsts array<long>")
+    return variants.select("h", "v", "doc", "region").repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, "h long, v long, firsts array<long>")
 
 
 def _summed(variants: DataFrame, length: int) -> DataFrame:
     """The same for anchors of very many variants: an aggregation of windows, by offset and digest."""
-    window = variants.select("variant", "doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("region") - length + 1), lambda p: F.unhex(F.substring(F.sha2(F.substring("region", p, F.lit(length)), 256), 1, 32)))).alias("at", "window"))
-    window = common.materialise(window, "windows")
+    digest = lambda p: F.unhex(F.substring(F.sha2(F.substring("region", p, F.lit(length)), 256), 1, 32))
+    window = variants.select("h", "v", "doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("region") - length + 1), digest)).alias("at", "window"))
     first = window.groupBy("window").agg(F.min("doc").alias("first"))
-    return window.join(first, "window").groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f")).select("variant", F.transform("f", lambda x: x["first"]).alias("firsts"))
+    met = window.join(first, "window").groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("f"))
+    return met.select("h", "v", F.transform("f", lambda x: x["first"]).alias("firsts"))
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of steps whose result is written: they go when the driver's objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, most: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 16, most: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans): the byte spans [a, b) to remove of the documents that have any; they may touch or overlap."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = common.texts(docs, key, text).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     shared = common.materialise(_anchor_hashes(own, length, gram).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors")
-    _release(spark)
+    common.release(spark)
     places = _anchor_places(own, length, gram).join(shared.hint("shuffle_hash"), "h", "left_semi")
     places = common.materialise(places.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "places")
-    _release(spark)
+    common.release(spark)
     regions = common.materialise(_regions(own.join(places, "doc_id"), length, gram), "regions")
-    _release(spark)
-
-    variants = regions.groupBy("variant").agg(F.first("h").alias("h"), F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.first("region").alias("region"))
-    variants = common.materialise(variants, "variants")
-    _release(spark)
-    kinds = variants.groupBy("h").agg(F.count("*").alias("kinds"))
-    counted = common.materialise(variants.join(kinds, "h"), "counted")
-    _release(spark)
-    single = counted.filter("kinds = 1 AND last > doc").select("variant", F.array("doc").alias("firsts"))
-    firsts = single.unionAll(_indexed(counted.filter((F.col("kinds") > 1) & (F.col("kinds") <= most)), length, partitions)).unionAll(_summed(counted.filter(F.col("kinds") > most), length))
+    common.discard(shared, places)
+    common.release(spark)
+
+    variants = regions.groupBy("h", "v").agg(F.min(F.struct("doc_id", "begin", "windows")).alias("at"), F.max("doc_id").alias("last"))
+    variants = common.materialise(variants.select("h", "v", F.col("at.doc_id").alias("doc"), "at.begin", "at.windows", "last"), "variants")
+    common.release(spark)
+    counted = common.materialise(variants.join(variants.groupBy("h").agg(F.count("*").alias("kinds")), "h"), "counted")
+    common.discard(variants)
+    common.release(spark)
+    single = counted.filter("kinds = 1 AND last > doc").select("h", "v", F.array("doc").alias("firsts"))
+    wanted = counted.filter("kinds > 1").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("h", "v", "begin", "windows", "kinds")).alias("at"))
+    spelled = common.materialise(_spelled(own.join(wanted, "doc_id"), length).dropDuplicates(["h", "v"]), "spelled")
+    common.release(spark)
+    firsts = single.unionAll(_indexed(spelled.filter(F.col("kinds") <= most), length, partitions)).unionAll(_summed(spelled.filter(F.col("kinds") > most), length))
     firsts = common.materialise(firsts, "firsts")
-    _release(spark)
-    marked = _marked(regions.select("variant", "doc_id", "begin", "windows").join(firsts, "variant"), length)
-    return marked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    common.discard(counted, spelled)
+    common.release(spark)
+    marked = _marked(regions.join(firsts, ["h", "v"]), length)
+    spans = common.materialise(marked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    common.discard(regions, firsts)
+    common.release(spark)
+    return spans
 
 
 def _marked(rows: DataFrame, length: int) -> DataFrame:
@@ -244,11 +245,9 @@ def _marked(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc_id", "begin", "windows", "firsts").mapInArrow(run, "doc_id long, a int, b int")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 22, most: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, most: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept: the bytes that remain."""
-    spark = docs.sparkSession
-    spans = common.materialise(repeated_spans(docs, length, gram, most, key, text), "spans")
-    _release(spark)
+    spans = repeated_spans(docs, length, gram, most, key, text)
     joined = common.texts(docs, key, text).join(spans.withColumnRenamed("doc_id", "k"), F.col("doc_id") == F.col("k"), "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
