@@ -31,6 +31,7 @@ from .run_index import RunIndex
 from .words import _powers
 
 PIECE = 1_000_000
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
 def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,15 +51,13 @@ def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
         h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
     width = length - gram + 1
-    # sliding minimum by doubling, then where it stands: the last place with that value, found by doubling too
-    low, at, span = h, np.arange(len(h)), 1
+    # sliding minimum by doubling; 32 bits of the hash and the place in one number, so the first of equals wins
+    low, span = h & _HIGH | np.arange(len(h), dtype=np.uint64), 1
     while span < width:
         step = min(span, width - span)
-        a, b = low[:-step], low[step:]
-        take = b < a
-        at = np.where(take, at[step:], at[:-step])
-        low = np.where(take, b, a)
+        low = np.minimum(low[:-step], low[step:])
         span += step
+    at = (low & _LOW).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     last = np.append(first[1:], len(at)) - 1
     place = at[first]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+PACKED = 7  # bytes that fit a number at once
+
 
 class RunIndex:
     """Index of strings; all work is done for whole arrays of rows at a time.
@@ -62,24 +64,26 @@ def _sorted_suffixes(text: np.ndarray, stop: np.ndarray, longest: int, length: i
     n = len(text)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    to_end = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)
-    rank = text.copy()
-    depth, ranks_at = 1, {1: rank}
+    place = np.arange(n)
+    to_end = np.repeat(stop, np.diff(np.append(-1, stop))) - place
+    depth = max(1, min(PACKED, length))
+    key = np.zeros(n, np.int64)
+    for j in range(depth):  # the first bytes as one number, zeros after the end mark
+        key *= 257
+        key[: n - j] += np.where(to_end[: n - j] >= j, text[j:], 0)
+    rank = _ranked(key)
+    ranks_at = {depth: rank}
     while depth < longest:
         nxt = np.zeros(n, np.int64)
         nxt[: n - depth] = rank[depth:] + 1
         nxt[to_end < depth] = 0  # the end mark is already inside
-        key = rank * (int(rank.max()) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1]))
-        rank, depth = new, 2 * depth
+        rank = _ranked(rank * (int(rank.max()) + 2) + nxt)
+        depth *= 2
         ranks_at[depth] = rank
         for d in [d for d in ranks_at if 2 * d <= min(length, depth)]:  # a longer one serves as well
             del ranks_at[d]
-    order = np.argsort(rank, kind="stable")
-    # a prefix of ``length`` is covered by two of the largest power of two below it
+    order = np.argsort(rank * n + place)  # equal suffixes in order of place
+    # a prefix of ``length`` is covered by several of the longest depth within it
     d = max((d for d in ranks_at if d <= length), default=1)
     a, b = order[1:], order[:-1]
     equal = (to_end[a] >= length) & (to_end[b] >= length)
@@ -90,3 +94,12 @@ def _sorted_suffixes(text: np.ndarray, stop: np.ndarray, longest: int, length: i
         cover[cover] = r[a[cover] + p] == r[b[cover] + p]
         at += d
     return order, np.append(False, cover)
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """The dense rank of each key."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1]))
+    return rank
