@@ -31,6 +31,7 @@ from .components import components
 
 LEAF = 16
 BLOCK = 512
+SPAN = 48
 
 
 def _needed(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
@@ -119,33 +120,53 @@ def _bucket(n: Column, share: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / share)) + 1e-9).cast("int")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
-    """The pairs (u, v) that link, told from the whole texts."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
+def _verify(pairs: DataFrame, own: DataFrame, block: DataFrame, k: int, share: int, partitions: int) -> DataFrame:
+    """The pairs (u, v) that link, told from the whole texts.
+
+    ``block`` (node, block) puts nodes likely to be paired into small blocks; the pairs of two blocks are compared together,
+    so a text is sent once for each pair of blocks and not for each pair.
+    """
+    side = lambda c: block.select(F.col("node").alias(c), F.col("block").alias(f"b{c}"))
+    placed = common.materialise(pairs.join(side("u"), "u").join(side("v"), "v").select(F.least("bu", "bv").alias("i"), F.greatest("bu", "bv").alias("j"), "u", "v"), "placed")
+    need = placed.select("i", "j", "u").unionAll(placed.select("i", "j", F.col("v").alias("u"))).distinct()
+    need = common.materialise(need, "need")
+    ids = common.materialise(need.select(F.col("u").alias("id")).distinct(), "ids")
+    texts = common.rows_of(own, ids, "doc_id").select(F.col("doc_id").alias("u"), "text")
+    rows = need.join(texts, "u").select("i", "j", F.lit(0).alias("kind"), "u", F.lit(0).cast("long").alias("v"), "text")
+    rows = rows.unionAll(placed.select("i", "j", F.lit(1).alias("kind"), "u", "v", F.lit(None).cast("string").alias("text")))
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}  # sets by the hash of their text, for texts that come again and again
+        at, sets, waiting, good = None, {}, [], []
+
+        def build() -> None:
+            if waiting:
+                sets.update(zip([w[0] for w in waiting], shingles.shingle_sets([w[1] for w in waiting], k)))
+                waiting.clear()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                u, v = part.column(0).to_pylist(), part.column(1).to_pylist()
-                tu, tv = part.column(2).to_pylist(), part.column(3).to_pylist()
-                if len(known) > 2000:
-                    known.clear()
-                new = list({t for t in (*tu, *tv) if t not in known})
-                known.update(zip(new, shingles.shingle_sets([t or "" for t in new], k)))
+            for i, j, kind, u, v, t in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if (i, j) != at:
+                    at = (i, j)
+                    sets.clear()
+                    waiting.clear()
+                if kind == 0:
+                    waiting.append((u, t or ""))
+                    if len(waiting) >= 64:
+                        build()
+                    continue
+                build()
+                a, b = sets.get(u), sets.get(v)
+                if a is not None and b is not None and len(a) and len(b) and 100 * min(len(a), len(b)) >= share * max(len(a), len(b)):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= share * (len(a) + len(b) - both):
+                        good.append((u, v))
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good)], schema=out)
                 good = []
-                for i, (x, y) in enumerate(zip(tu, tv)):
-                    a, b = known[x], known[y]
-                    if len(a) and len(b) and 100 * min(len(a), len(b)) >= share * max(len(a), len(b)):
-                        both_ = len(np.intersect1d(a, b, assume_unique=True))
-                        if 100 * both_ >= share * (len(a) + len(b) - both_):
-                            good.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in good], pa.int64()), pa.array([v[i] for i in good], pa.int64())], schema=out)
 
-    return both.mapInArrow(run, "u long, v long")
+    dealt = rows.repartition(partitions, "i", "j").sortWithinPartitions("i", "j", "kind")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def _bits_allow(rows: DataFrame, share: int) -> DataFrame:
@@ -157,8 +178,11 @@ def _bits_allow(rows: DataFrame, share: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             u, v, nu, nv = (batch.column(i).to_numpy() for i in range(4))
-            bu, bv = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(u), -1) for i in (4, 5))
-            most = np.minimum(nu - np.bitwise_count(bu & ~bv).sum(axis=1).astype(np.int64), nv - np.bitwise_count(bv & ~bu).sum(axis=1).astype(np.int64))
+            most = np.empty(len(u), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                words = min(len(x), len(y)) // 8
+                x, y = shingles.folded(x, words), shingles.folded(y, words)
+                most[i] = min(nu[i] - int(np.bitwise_count(x & ~y).sum()), nv[i] - int(np.bitwise_count(y & ~x).sum()))
             good = most >= _needed(nu, nv, share)
             yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], schema=out)
 
@@ -177,6 +201,8 @@ def _tree_pairs(rows: DataFrame, share: int, partitions: int) -> DataFrame:
     def group(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         low, i, j = c["low"][0], c["i"][0], c["j"][0]
         lower = c["bucket"] == low
+        words = min(map(len, c["bits"])) // 8
+        bits = np.stack([shingles.folded(b, words) for b in c["bits"]])
         sides = [(lower & (c["own"] == i), lower & (c["own"] == j)), (lower & (c["own"] == i), ~lower & (c["own"] == j))]
         if i != j:
             sides.append((lower & (c["own"] == j), ~lower & (c["own"] == i)))
@@ -185,7 +211,7 @@ def _tree_pairs(rows: DataFrame, share: int, partitions: int) -> DataFrame:
             if not len(x) or not len(y):
                 continue
             x, y = x[np.argsort(c["n"][x], kind="stable")], y[np.argsort(c["n"][y], kind="stable")]
-            for p, q in dual_traversal(Tree(c["bits"][x], c["n"][x]), Tree(c["bits"][y], c["n"][y]), share):
+            for p, q in dual_traversal(Tree(bits[x], c["n"][x]), Tree(bits[y], c["n"][y]), share):
                 p, q = x[p], y[q]
                 hub_known = (c["node"][q] == c["hub"][q]) | (c["bucket"][p] == c["bucket"][q]) & (c["node"][p] == c["hub"][p])
                 new = (c["label"][p] != c["label"][q]) & ~hub_known
@@ -199,7 +225,8 @@ def _tree_pairs(rows: DataFrame, share: int, partitions: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             c = {name: batch.column(k).to_numpy() for k, name in enumerate(columns[:-1])}
-            c["bits"] = np.frombuffer(b"".join(batch.column(len(columns) - 1).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            c["bits"] = np.empty(batch.num_rows, object)
+            c["bits"][:] = batch.column(len(columns) - 1).to_pylist()
             if held is not None:
                 c = {k: np.concatenate([held[k], c[k]]) for k in c}
             key = np.stack([c[k].astype(np.int64) for k in ("token", "low", "i", "j")])
@@ -240,9 +267,12 @@ def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", tex
     sized = pairs.join(facts.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u").join(facts.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v").filter((100 * F.col("nu") >= share * F.col("nv")) & (100 * F.col("nv") >= share * F.col("nu")))
     pairs = common.materialise(_bits_allow(sized, share).distinct(), "hub-pairs")
 
-    involved = rows.select(F.col("node").alias("doc_id")).distinct()
-    held = common.materialise(own.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("t")).select("doc_id", F.explode("t").alias("text")), "texts")
-    edges = common.materialise(_verify(pairs, held, k, share).distinct(), "hub-links")
+    # nodes of one first shared key are likely to be near copies of each other: they make blocks of about SPAN nodes
+    homes = rows.groupBy("node").agg(F.min("token").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / SPAN).alias("parts"))
+    block = common.materialise(homes.join(sizes, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
+    edges = common.materialise(_verify(pairs, own, block, k, share, partitions).distinct(), "hub-links")
+    common.release(spark)
     label = components(edges)
 
     labelled = rows.filter("members > 2").join(label, "node", "left").select("token", "bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -256,8 +286,11 @@ def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", tex
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "bucket", "node", "label")
     dealt = dealt.join(hubs, ["token", "bucket"]).join(facts, "node")
     more = common.materialise(_tree_pairs(dealt, share, partitions), "tree-pairs")
-    edges = edges.unionAll(_verify(more, held, k, share))
-    return members, common.materialise(edges.distinct(), "links")
+    common.release(spark)
+    edges = edges.unionAll(_verify(more, own, block, k, share, partitions))
+    edges = common.materialise(edges.distinct(), "links")
+    common.release(spark)
+    return members, edges
 
 
 def join(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,5 +302,5 @@ def join(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", text
 
 def keep_one(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that are their component's smallest document, with all their columns."""
-    found = join(docs, k, share, key, text).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("kept_")), "left_semi")
+    found = join(docs, k, share, key, text).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("id")).distinct()
+    return common.rows_of(docs, common.materialise(found, "kept"), key)

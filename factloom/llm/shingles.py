@@ -13,7 +13,6 @@ _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-BITS = 1024
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
@@ -66,7 +65,18 @@ def _ranked(key: np.ndarray, chars: np.ndarray) -> np.ndarray:
 
 
 def bitmap(keys: np.ndarray) -> np.ndarray:
-    """BITS bits as 64-bit words: the OR of one bit for each shingle."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(keys & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    """The OR of one bit for each shingle, two to four bits a shingle, as 64-bit words."""
+    width = 256
+    while width < 2 * len(keys):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[(keys & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(data: bytes, words: int) -> np.ndarray:
+    """A bitmap brought to fewer words: places are taken modulo the new width."""
+    bits = np.frombuffer(data, np.uint64)
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
