@@ -256,13 +256,13 @@ def _bleu_sql(by: str, corpus: bool) -> str:
 
 
 def _pairs(spark, sf_dir):
-    """Each document's head against two passages: a fixed pairing by ids, with token arrays."""
+    """Each document against two passages: a fixed pairing by ids, with token arrays of the whole texts."""
     bench = _read(spark, sf_dir, "benchmark")
     n = bench.count()
     held = bench.groupBy().agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("all"))  # numbered by their order
     items = held.select(F.posexplode("all").alias("k", "item")).select("k", text.tokens(F.col("item.text")).alias("r"))
     items = F.broadcast(items) if n <= 10_000 else items
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.substring("text", 1, 600)).alias("c"), F.explode(F.array_distinct(F.array(F.col("doc_id") % n, (F.col("doc_id") + 1) % n))).alias("k"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("c"), F.explode(F.array_distinct(F.array(F.col("doc_id") % n, (F.col("doc_id") + 1) % n))).alias("k"))
     return docs.join(items, "k").select("doc_id", "lang", "c", "r")
 
 
