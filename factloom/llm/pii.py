@@ -4,8 +4,9 @@ Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers,
 protected entities.  From windows of words around every occurrence in the corpus, the operator estimates how far a term
 reveals an entity: the share of the term's occurrences, over all texts, that stand near that entity, and their pointwise
 mutual information.  Terms over both thresholds are spans of kind ``term`` wherever they stand.  Copies of a text repeat
-one piece of evidence, so a term must stand near its entity in several different surroundings, none of them making up
-more than half of the cases.
+one piece of evidence, so a term's surroundings are counted, not its occurrences: a surrounding is the whole window of
+words around the term, and an equal window counts once, near the entity and away from it.  A term must stand near its
+entity in several surroundings.
 
 Sanitising replaces entities and terms by their kind (generalised), or by nothing.
 
@@ -42,7 +43,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``window`` words to each side; a term needs ``support`` surroundings, ``share`` of its occurrences and ``bits`` of information."""
+    """``window`` words to each side; a term needs ``support`` surroundings, ``share`` of all its surroundings and ``bits`` of information."""
 
     window: int = 10
     support: int = 3
@@ -97,6 +98,11 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def _around(words: list[str], i: int, window: int) -> int:
+    """The surrounding of a word: the hash of the words up to ``window`` places from it."""
+    return _hash(*words[max(0, i - window) : i + window + 1])
+
+
 def evidence(text: str, d: Disclosure) -> Iterator[tuple[int, str, int]]:
     """(entity, term, surrounding) for the terms near each base span; words that touch a span are no terms."""
     spans = base_spans(text)
@@ -105,6 +111,7 @@ def evidence(text: str, d: Disclosure) -> Iterator[tuple[int, str, int]]:
     found = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     ends = [w[1] for w in found]
     begins = [w[0] for w in found]
+    words = [w[2] for w in found]
     touched = set()
     places = []
     for a, b, kind in spans:
@@ -114,18 +121,18 @@ def evidence(text: str, d: Disclosure) -> Iterator[tuple[int, str, int]]:
     for first, last, entity in places:
         near = _hash(entity)
         for i in (*range(max(0, first - d.window), first), *range(last, min(len(found), last + d.window))):
-            if i not in touched and (term := term_of(found[i][2], d.letters)):
-                yield near, term, _hash(found[i - 1][2] if i else "", found[i + 1][2] if i + 1 < len(found) else "")
+            if i not in touched and (term := term_of(words[i], d.letters)):
+                yield near, term, _around(words, i, d.window)
 
 
 def _evidence_rows(docs: DataFrame, d: Disclosure) -> DataFrame:
-    """(entity, term, around, n): evidence, summed in each piece of texts."""
+    """(entity, term, around): evidence, each once in a piece of texts."""
 
     def run(ids: list, rows: list[str]) -> dict:
-        counts = Counter(x for t in rows for x in evidence(t, d))
-        return {"entity": [k[0] for k in counts], "term": [k[1] for k in counts], "around": [k[2] for k in counts], "n": list(counts.values())}
+        found = {x for t in rows for x in evidence(t, d)}
+        return {"entity": [k[0] for k in found], "term": [k[1] for k in found], "around": [k[2] for k in found]}
 
-    return common.per_text(docs, run, "entity long, term string, around long, n long")
+    return common.per_text(docs, run, "entity long, term string, around long")
 
 
 def _blocks(rows: DataFrame, column: str, size: int) -> Iterator[set[str]]:
@@ -140,40 +147,63 @@ def _blocks(rows: DataFrame, column: str, size: int) -> Iterator[set[str]]:
         yield held
 
 
-def _occurrences(docs: DataFrame, terms: set[str], letters: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(terms)
+def _bounds(rows: DataFrame, size: int) -> Iterator[dict[str, int]]:
+    """(term, most) in dicts of ``size`` at most."""
+    held: dict[str, int] = {}
+    for row in rows.toLocalIterator():
+        held[row.term] = row.most
+        if len(held) >= size:
+            yield held
+            held = {}
+    if held:
+        yield held
+
+
+def _occurrences(docs: DataFrame, most: dict[str, int], d: Disclosure) -> DataFrame:
+    """(term, around): the surroundings of the terms in all texts, each once in a piece of texts.
+
+    A term with more than ``most`` surroundings in one piece is over its bound in the corpus too: its row has no surrounding.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(most)
 
     def run(ids: list, rows: list[str]) -> dict:
-        counts: Counter = Counter()
+        bound = held.value
+        terms: dict[str, str | None] = {}
+        found: dict[str, set[int]] = {}
         for t in rows:
-            counts.update(t.split())
-        found: Counter = Counter()
-        wanted = held.value
-        for w, n in counts.items():
-            if (term := term_of(w, letters)) in wanted:
-                found[term] += n
-        return {"term": list(found), "n": list(found.values())}
+            words = t.split()
+            for i, w in enumerate(words):
+                if w not in terms:
+                    term = term_of(w, d.letters)
+                    terms[w] = term if term in bound else None
+                if (term := terms[w]) is not None:
+                    seen = found.setdefault(term, set())
+                    if len(seen) <= bound[term]:
+                        seen.add(_around(words, i, d.window))
+        out = [(term, a) for term, seen in found.items() for a in (seen if len(seen) <= bound[term] else (None,))]
+        return {"term": [x[0] for x in out], "around": [x[1] for x in out]}
 
-    return common.per_text(docs, run, "term string, n long")
+    return common.per_text(docs, run, "term string, around long")
 
 
 def disclosing_terms(docs: DataFrame, d: Disclosure = Disclosure(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, entity, n_near, n_all, bits): the terms of the corpus that reveal a protected entity."""
     spark = docs.sparkSession
     own = common.texts(docs, key, text)
-    around = _evidence_rows(own, d).groupBy("entity", "term", "around").agg(F.sum("n").alias("n"))
-    near = around.groupBy("entity", "term").agg(F.sum("n").alias("n_near"), F.count("*").alias("surroundings"), F.max("n").alias("most"))
-    near = common.materialise(near.filter((F.col("surroundings") >= d.support) & (2 * F.col("most") <= F.col("n_near"))), "near")
+    near = _evidence_rows(own, d).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_near"))
+    near = common.materialise(near.filter(F.col("n_near") >= d.support), "near")
     totals = None
-    for block in _blocks(near.select("term").distinct(), "term", d.block):
-        part = _occurrences(own, block, d.letters)
+    for block in _bounds(near.groupBy("term").agg(F.floor(F.max("n_near") / F.lit(d.share)).alias("most")), d.block):
+        part = _occurrences(own, block, d)
         totals = part if totals is None else totals.unionByName(part)
     if totals is None:
         return spark.createDataFrame([], "term string, entity long, n_near long, n_all long, bits double")
-    every = totals.groupBy("term").agg(F.sum("n").alias("n_all"))
+    every = totals.distinct().groupBy("term").agg(F.count("around").alias("n_all"), F.count_if(F.col("around").isNull()).alias("over"))
+    every = every.filter(F.col("over") == 0).drop("over")
     # the information that the term gives on the entity: its share near the entity against the entity's share of all windows
     by_entity = near.groupBy("entity").agg(F.max("n_near").alias("n_entity"))
-    n_words = own.select(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).cast("double")).first()[0]
+    sizes = own.select(F.xxhash64("text").alias("h"), F.size(F.split(F.trim("text"), r"\s+")).alias("n")).distinct()  # copies count once
+    n_words = sizes.select(F.sum("n").cast("double")).first()[0]
     scored = near.join(every, "term").join(by_entity, "entity")
     bits = F.log2(F.col("n_near") * F.lit(n_words) / (F.col("n_all") * F.col("n_entity") * (2.0 * d.window)))
     return scored.withColumn("bits", bits).filter((F.col("n_near") >= d.share * F.col("n_all")) & (F.col("bits") >= d.bits)).select("term", "entity", "n_near", "n_all", "bits")
