@@ -2,8 +2,8 @@
 
 Each page becomes a tree; every block element's subtree is hashed from its tags and text.  Spark counts the hashes per
 host; a subtree that recurs across many pages of its host is template and is deleted.  Elements that are never article
-text by their nature (menus, forms, scripts, marked adverts, comments ...) go too.  Inside the article itself prose blocks
-stay even if they recur: sites print the same article on many pages.
+text by their nature (menus, forms, scripts, marked adverts, comments ...) go too.  Sites print the same article on
+many pages, so inside the marked article prose counts as template only where it recurs in many different articles of its host.
 
 What is left becomes text: character references decoded, white space inside a block one blank, blocks in page order joined
 by one line end.  Null and empty html give the empty text; null ids and urls are carried (a page without url belongs to the
@@ -168,18 +168,18 @@ def subtree_hashes(node: Node, found: dict[int, int]) -> bytes:
     return h.digest()
 
 
-def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's text, without furniture and without the subtrees whose hashes are in ``template``."""
+def extract(html: str, template: frozenset[int] | set[int] = frozenset(), inner: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's text, without furniture and the subtrees whose hashes are in ``template`` or, inside a marked article, ``inner``."""
     if not html:
         return ""
     root = parse(html)
     hashes: dict[int, int] = {}
-    if template:
+    if template or inner:
         subtree_hashes(root, hashes)
     region = _region(root)
     if region is None:
-        return "\n".join(_blocks(root, hashes, template, False))
-    return "\n".join(_blocks(region, hashes, template, True))
+        return "\n".join(_blocks(root, hashes, template, frozenset(), False))
+    return "\n".join(_blocks(region, hashes, template, inner, True))
 
 
 def _region(root: Node) -> Node | None:
@@ -201,7 +201,7 @@ def _region(root: Node) -> Node | None:
     return max(articles, key=lambda x: len(_text(x)), default=None) or max(mains, key=lambda x: len(_text(x)), default=None)
 
 
-def _blocks(top: Node, hashes: dict[int, int], template, in_article: bool) -> list[str]:
+def _blocks(top: Node, hashes: dict[int, int], template, inner, in_article: bool) -> list[str]:
     out: list[str] = []
     run: list[str] = []
 
@@ -222,7 +222,13 @@ def _blocks(top: Node, hashes: dict[int, int], template, in_article: bool) -> li
                 run.append(" ")
                 continue
             below = kept
-            if not kept and hashes.get(id(x)) in template:
+            if not kept and hashes.get(id(x)) in inner:
+                if _is_prose(x, False):
+                    below = True
+                else:
+                    flush()
+                    continue
+            elif not kept and hashes.get(id(x)) in template:
                 if _is_prose(x, in_article):
                     below = True  # an article that recurs is kept whole
                 else:
@@ -258,7 +264,7 @@ def _links(node: Node) -> Iterator[Node]:
                 yield from _links(x)
 
 
-_PAGE_HASHES = "page_id long, host string, hash long"
+_PAGE_HASHES = "page_id long, host string, hash long, article long"
 
 
 def _select(pages: DataFrame) -> DataFrame:
@@ -266,8 +272,11 @@ def _select(pages: DataFrame) -> DataFrame:
 
 
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """(page_id, host, hash): the distinct subtree hashes of each page; hash null once for each page, for the host's total."""
-    out = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("hash", pa.int64())])
+    """(page_id, host, hash, article): the distinct subtree hashes of each page; hash null once for each page, for the host's total.
+
+    The hashes inside a marked article come a second time, and so does the null, with the hash of that article.
+    """
+    out = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("hash", pa.int64()), ("article", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -279,50 +288,62 @@ def page_hashes(pages: DataFrame) -> DataFrame:
                     root = parse(p["html"] or "")  # kept while its nodes' ids are in use
                     subtree_hashes(root, found)
                     host = host_of(p["url"])
-                    rows += [(p["page_id"], host, h) for h in {*found.values()}] + [(p["page_id"], host, None)]
-                ids, hosts, hashes = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], schema=out)
+                    rows += [(p["page_id"], host, h, None) for h in {*found.values(), None}]
+                    region = _region(root)
+                    if region is not None:
+                        inside: dict[int, int] = {}
+                        article = int.from_bytes(subtree_hashes(region, inside), "little", signed=True)
+                        inside.pop(id(region), None)
+                        rows += [(p["page_id"], host, h, article) for h in {*inside.values(), None}]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     return _select(pages).mapInArrow(run, _PAGE_HASHES)
 
 
-def templates(pages: DataFrame, share: float = 0.1, least: int = 4, always: int = 50) -> DataFrame:
-    """(host, hash) of the subtrees on at least ``share`` of their host's pages (``least`` at least), or on ``always`` pages."""
-    counts = page_hashes(pages).groupBy("host", "hash").agg(F.count("*").alias("n"))
+def templates(pages: DataFrame, share: float = 0.1, least: int = 4, always: int = 50, inner_share: float = 0.5) -> DataFrame:
+    """(host, hash, inside) of the subtrees on at least ``share`` of their host's pages (``least`` at least), or on ``always`` pages.
+
+    ``inside`` are those in at least ``inner_share`` of the host's different marked articles (``least`` at least).
+    """
+    inside = F.col("article").isNotNull().alias("inside")
+    rows = page_hashes(pages).groupBy("host", "hash", "article").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("host", "hash", inside).agg(F.sum(F.when(F.col("article").isNull(), F.col("n")).otherwise(1)).alias("n"))
     from .common import materialise
 
     counts = materialise(counts.filter((F.col("n") >= least) | F.col("hash").isNull()), "template-counts")
-    totals = counts.filter(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
-    found = counts.filter(F.col("hash").isNotNull()).join(totals, "host")
-    return found.filter((F.col("n") >= F.col("pages") * share) | (F.col("n") >= always)).select("host", "hash")
+    totals = counts.filter(F.col("hash").isNull()).select("host", "inside", F.col("n").alias("pages"))
+    found = counts.filter(F.col("hash").isNotNull()).join(totals, ["host", "inside"])
+    often = F.when(F.col("inside"), F.col("n") >= F.col("pages") * inner_share).otherwise((F.col("n") >= F.col("pages") * share) | (F.col("n") >= always))
+    return found.filter(often).select("host", "hash", "inside")
 
 
-def extract_pages(pages: DataFrame, share: float = 0.1, least: int = 4, always: int = 50, broadcast_rows: int = 200_000) -> DataFrame:
+def extract_pages(pages: DataFrame, share: float = 0.1, least: int = 4, always: int = 50, broadcast_rows: int = 200_000, inner_share: float = 0.5) -> DataFrame:
     """(page_id, url, text, n_chars) of each page.
 
     Up to ``broadcast_rows`` template hashes go to every executor; more are joined to the pages that hold them.
     """
     from .common import materialise
 
-    found = materialise(templates(pages, share, least, always), "templates")
+    found = materialise(templates(pages, share, least, always, inner_share), "templates")
     spark = pages.sparkSession
     schema = "page_id long, url string, text string, n_chars long"
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        by_host: dict[str, set[int]] = {}
+        by_host: dict[str, tuple[set[int], set[int]]] = {}
         for row in found.toLocalIterator():
-            by_host.setdefault(row.host, set()).add(row.hash)
+            by_host.setdefault(row.host, (set(), set()))[row.inside].add(row.hash)
         held = spark.sparkContext.broadcast(by_host)
-        return _select(pages).mapInArrow(lambda batches: _extracted(batches, lambda p: held.value.get(host_of(p["url"]), frozenset())), schema)
-    own = page_hashes(pages).join(found, ["host", "hash"], "left_semi").groupBy("page_id", "host").agg(F.collect_set("hash").alias("template"))
+        return _select(pages).mapInArrow(lambda batches: _extracted(batches, lambda p: held.value.get(host_of(p["url"]), (frozenset(), frozenset()))), schema)
+    own = page_hashes(pages).withColumn("inside", F.col("article").isNotNull()).join(found, ["host", "hash", "inside"], "left_semi")
+    own = own.groupBy("page_id", "host").agg(F.collect_set(F.when(~F.col("inside"), F.col("hash"))).alias("template"), F.collect_set(F.when(F.col("inside"), F.col("hash"))).alias("inner"))
     own = own.withColumnRenamed("page_id", "k")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     joined = _select(pages).withColumn("h", host).join(own, F.col("page_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("host")), "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(lambda batches: _extracted(batches, lambda p: frozenset(p["template"] or ())), schema)
+    return joined.select("page_id", "url", "html", "template", "inner").mapInArrow(lambda batches: _extracted(batches, lambda p: (frozenset(p["template"] or ()), frozenset(p["inner"] or ()))), schema)
 
 
 def _extracted(batches, template_of) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500).to_pylist()
-            texts = [extract(p["html"] or "", template_of(p)) for p in part]
+            texts = [extract(p["html"] or "", *template_of(p)) for p in part]
             yield pa.RecordBatch.from_arrays([pa.array([p["page_id"] for p in part], pa.int64()), pa.array([p["url"] for p in part], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
