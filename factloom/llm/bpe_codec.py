@@ -1,7 +1,7 @@
 """Operator 6, BPE encoding and decoding: batched numpy merge rounds.
 
 The symbols of all words that a worker has not met before are merged together (``bpe.merge_rounds``); a text's ids are
-gathered from the stored words.  Decoding joins the bytes of the ids; bytes that are no UTF-8 become U+FFFD.  Null texts
+gathered from the stored words.  Texts longer than a piece are cut between words, so memory does not grow with them.  Decoding joins the bytes of the ids; bytes that are no UTF-8 become U+FFFD.  Null texts
 are empty: no ids, empty text.  Repeated rows and null ids each give a row; an empty table gives an empty result.
 """
 
@@ -15,28 +15,35 @@ from pyspark.sql import DataFrame
 
 from . import bpe, common, words
 
-_stores: dict[str, words.WordStore] = {}
 _strings: list[str] = []
 
 
-def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, and where each begins (one more at the end)."""
+def _store(path: str) -> words.WordStore:
     v = bpe.vocabulary(path)
-    if path not in _stores:
-        _stores[path] = words.WordStore(lambda new: bpe.merge_rounds([w.encode() for w in new], v))
-    return gather(words.split(texts, v.special), _stores[path], v.special_id)
+    return common.kept("bpe ids", path, lambda: words.WordStore(lambda new: bpe.merge_rounds([w.encode() for w in new], v)))
 
 
-def gather(s: words.Split, store: words.WordStore, special_id: int) -> tuple[np.ndarray, np.ndarray]:
-    place = store.index(s)
-    counts, offsets = store.counts[place].astype(np.int64), store.offsets[place]
-    if s.special.any():
-        store._put("items", store.used, np.array([special_id], store.items.dtype))
-        counts[s.special], offsets[s.special] = 1, store.used
-        store.used += 1
-    ids = words.ragged(store.items, offsets, counts)
-    at = np.concatenate([[0], np.cumsum(counts)])[s.first]
-    return ids, at
+def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and where each begins (one more at the end)."""
+    return gather(texts, _store(path), bpe.vocabulary(path))
+
+
+def gather(texts: list[str], store: words.WordStore, v: bpe.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    found = []
+    size = np.zeros(len(texts) + 1, np.int64)
+    for owners, rows in words.parts(texts, cut=v.cuttable):
+        s = words.split(rows, v.specials)
+        counts, offsets = store.lookup(s)
+        marked = s.special >= 0
+        if marked.any():
+            at = len(store.items)
+            items = np.concatenate([store.items, v.special_ids])
+            counts[marked], offsets[marked] = 1, at + s.special[marked]
+        else:
+            items = store.items
+        found.append(words.ragged(items, offsets, counts))
+        np.add.at(size, np.array(owners) + 1, np.diff(np.concatenate([[0], np.cumsum(counts)])[s.first]))
+    return np.concatenate([*found, np.zeros(0, np.uint32)]), np.cumsum(size)
 
 
 def decode_ids(ids: list[int], path: str) -> str:
@@ -73,7 +80,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_i
 
     def run(keys: list, rows: list[str]) -> dict:
         if not _strings:
-            _strings.extend(map(str, range(1 << 16)))
+            _strings.extend(map(str, range(len(bpe.vocabulary(path).bytes))))
         ids, at = encode_texts(rows, path)
         digits, decoded = [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _own_dir: dict[str, str] = {}
+_kept: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +64,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What a Python worker holds on to between batches: one thing only, so a worker that serves several operators in turn does
+    not gather their tables."""
+    held = _kept.get("one")
+    if held is None or held[0] != (kind, key):
+        _kept["one"] = held = None
+        _kept["one"] = held = ((kind, key), make())
+    return held[1]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
@@ -72,7 +83,7 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def per_text(df: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, chars: int = 1_000_000) -> DataFrame:
+def per_text(df: DataFrame, fn: Callable[[list, list[str]], dict], schema: str, chars: int = 250_000) -> DataFrame:
     """mapInArrow over (doc_id, text) in pieces of about ``chars`` code points; null texts are given as empty.
 
     ``fn(ids, texts)`` returns columns by name in the order of ``schema``; a text is never split.

@@ -206,17 +206,9 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.08, q: int = 9, b
     return found if found is not None else spark.createDataFrame([], MATCH)
 
 
-_built: dict[tuple, Index] = {}
-
-
 def _index(held, q: int, rate: float) -> Index:
     name, block = held.value
-    key = (name, q, rate)
-    if key not in _built:
-        if len(_built) > 3:
-            _built.clear()
-        _built[key] = Index(block, q, rate)
-    return _built[key]
+    return common.kept("q-grams", (name, q, rate), lambda: Index(block, q, rate))
 
 
 def _clean(held, q: int, rate: float):

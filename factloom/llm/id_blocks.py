@@ -26,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, bpe_codec, common, words
 
 MAGIC = b"PFR1"
+GROUP = 1024  # partitions summed up together
 _HEAD, _TAIL = struct.Struct("<IBBHI"), struct.Struct("<QQQI4s")
-_library: dict[str, tuple] = {}
 
 
 # --- blocks
@@ -133,23 +133,24 @@ class Reader:
 
 # --- encoding with the tokenizers library
 
-def library_encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts, end to end, and where each begins: the library encodes each word that is new to the worker."""
-    if path not in _library:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _library(path: str) -> words.WordStore:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+
+    def make(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.fromiter(map(len, got), np.int32, len(got)), np.array([i for e in got for i in e], np.uint32)
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+    return words.WordStore(make)
 
-        def make(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            got = [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)]
-            return np.fromiter(map(len, got), np.int32, len(got)), np.array([i for e in got for i in e], np.uint16)
 
-        _library[path] = words.WordStore(make), bpe.vocabulary(path)
-    store, v = _library[path]
-    return bpe_codec.gather(words.split(texts, v.special), store, v.special_id)
+def library_encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts, end to end, and where each begins: the library encodes each word that is new to the worker."""
+    return bpe_codec.gather(texts, common.kept("library ids", path, lambda: _library(path)), bpe.vocabulary(path))
 
 
 # --- files
@@ -197,7 +198,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end
         for batch in batches:
             for own, rows in common.pieces(batch, chars):
                 ids, at = library_encode(rows, path)
-                whole = np.insert(ids, at[1:], np.uint16(end_id))  # every text is followed by the end id
+                whole = np.insert(ids, at[1:], np.uint32(end_id))  # every text is followed by the end id
                 keys += own
                 got.append(whole)
                 sizes += (np.diff(at) + 1).tolist()
@@ -214,26 +215,37 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     return spark.read.schema("part int, number int, name string, n_docs long, n_ids long").parquet(f"{folder}-manifest")
 
 
-def read_files(folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document from the files: (doc_id, start, n_tokens, ids_crc32).
+def _load(folder: str, name: str) -> bytes:
+    if folder.startswith("file:"):
+        with open(f"/{folder.removeprefix('file:').lstrip('/')}/{name}", "rb") as f:
+            return f.read()
+    from pyarrow import fs
 
-    The manifest has one row for each file, not for each document; its running total is the only thing the driver holds.
-    """
-    spark = manifest.sparkSession
-    start, total = [], 0
-    for row in manifest.orderBy("part", "number").select("name", "n_ids").toLocalIterator():
-        start.append((row.name, total))
-        total += row.n_ids
-    if not start:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    starts = F.broadcast(spark.createDataFrame(start, "name string, base long"))  # one row a file
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(starts, "name").select("base", "content")
+    system, at = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{at}/{name}") as f:
+        return f.read()
+
+
+def file_starts(manifest: DataFrame) -> DataFrame:
+    """(name, base): the ids of all files before each file, by running totals in parts, in groups of parts, and over groups."""
+    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, *keys: F.coalesce(F.sum(c).over(upto(*keys)), F.lit(0))
+    files = manifest.withColumn("group", F.floor(F.col("part") / GROUP))
+    parts = files.groupBy("group", "part").agg(F.sum("n_ids").alias("ids"))
+    groups = parts.groupBy("group").agg(F.sum("ids").alias("ids")).select("group", before("ids", "group").alias("a"))  # a row for GROUP partitions
+    parts = parts.select("group", "part", before("ids", "group", "part").alias("b"))
+    own = files.select("group", "part", "number", "name", before("n_ids", "group", "part", "number").alias("c"))
+    return own.join(parts, ["group", "part"]).join(groups, "group").select("name", (F.col("a") + F.col("b") + F.col("c")).cast("long").alias("base"))
+
+
+def read_files(folder: str, manifest: DataFrame) -> DataFrame:
+    """Per document from the files: (doc_id, start, n_tokens, ids_crc32).  Each file is read by one task; nothing is sent to all."""
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                r = Reader(content.as_buffer().to_pybytes())
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                r = Reader(_load(folder, name))
                 step = 256 * r.size
                 held, at, crcs = np.zeros(0, np.uint32), 0, []
                 for a, b in zip(r.first[:-1].tolist(), r.first[1:].tolist()):
@@ -242,7 +254,8 @@ def read_files(folder: str, manifest: DataFrame) -> DataFrame:
                     crcs.append(zlib.crc32(held[a - at : b - at].astype("<u4", copy=False).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64()), pa.array(base + r.first[:-1]), pa.array(np.diff(r.first)), pa.array(crcs, pa.int64())], schema=out)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return file_starts(manifest).repartition(n, "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:

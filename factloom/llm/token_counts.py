@@ -1,7 +1,8 @@
 """Operator 2, token counts: heap-and-linked-list byte-pair merging.
 
 A count is the initial symbols of each word minus the merges made in it; no token ids are built.  A word is merged when
-a worker first meets it; later ones take the stored count.  Null texts count as empty: no bytes, no tokens.  Repeated
+a worker first meets it; later ones, compared letter by letter, take the stored count.  Texts longer than a piece are cut
+between words, so memory does not grow with them.  Null texts count as empty: no bytes, no tokens.  Repeated
 rows and null ids each give a row of their own; an empty table gives an empty result; other columns are not read.
 """
 
@@ -12,18 +13,20 @@ from pyspark.sql import DataFrame
 
 from . import bpe, common, words
 
-_stores: dict[str, words.WordStore] = {}
+def _store(path: str) -> words.WordStore:
+    v = bpe.vocabulary(path)
+    return common.kept("bpe counts", path, lambda: words.WordStore(lambda new: (np.array([bpe.heap_count(w.encode(), v) for w in new], np.int32), None)))
 
 
 def count_texts(texts: list[str], path: str) -> np.ndarray:
-    v = bpe.vocabulary(path)
-    if path not in _stores:
-        _stores[path] = words.WordStore(lambda new: (np.array([bpe.heap_count(w.encode(), v) for w in new], np.int32), None))
-    s = words.split(texts, v.special)
-    store = _stores[path]
-    place = store.index(s)
-    counts = np.concatenate([[0], np.cumsum(np.where(s.special, 1, store.counts[place]), dtype=np.int64)])
-    return np.diff(counts[s.first])
+    v, store = bpe.vocabulary(path), _store(path)
+    total = np.zeros(len(texts), np.int64)
+    for owners, rows in words.parts(texts, cut=v.cuttable):
+        s = words.split(rows, v.specials)
+        counts, _ = store.lookup(s)
+        upto = np.concatenate([[0], np.cumsum(np.where(s.special >= 0, 1, counts), dtype=np.int64)])
+        np.add.at(total, owners, np.diff(upto[s.first]))
+    return total
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:

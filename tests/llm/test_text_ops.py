@@ -89,12 +89,93 @@ def test_small_files_and_stores_that_overflow(spark, sample, library):
     manifest = id_blocks.write_files(df, folder, file_ids=50, partitions=3, block=16, chars=60)
     assert manifest.count() > 5
     assert id_blocks.read_files(folder, manifest).count() == len(rows)
-    store = words.WordStore(lambda new: bpe.merge_rounds([w.encode() for w in new], bpe.vocabulary(bpe.vocabulary_path())), limit=3, bits=1)
-    for t in ("one two three four two one", "two one six", "a b c d e f one"):
-        ids, _ = bpe_codec.gather(words.split([t]), store, -1)
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    store = words.WordStore(lambda new: bpe.merge_rounds([w.encode() for w in new], v), limit=3, bits=1, longest=4)
+    for t in ("one two three four two one", "two one six", "a b c d e f one", "x<|endoftext|>y longer words<|endoftext|>"):
+        ids, _ = bpe_codec.gather([t], store, v)
         assert ids.tolist() == ids_of(library, t)
 
 
+def test_file_starts_over_groups_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(id_blocks, "GROUP", 3)
+    rng = random.Random(0)
+    rows = [(p, k, f"f{p}-{k}", 1, rng.randint(0, 9)) for p in (0, 1, 2, 4, 7, 8, 30) for k in range(rng.randint(1, 3))]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "part int, number int, name string, n_docs long, n_ids long")
+    want, total = {}, 0
+    for r in rows:
+        want[r[2]], total = total, total + r[4]
+    assert {r.name: r.base for r in id_blocks.file_starts(df).collect()} == want
+
+
+def encoders(path):
+    return [lambda t: bpe_codec.encode_texts(t, path), lambda t: id_blocks.library_encode(t, path)]
+
+
+def test_words_are_compared_and_not_only_hashed(library):
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2^64, whatever the base."""
+    s = "a"
+    for _ in range(11):
+        s += s.translate(str.maketrans("ab", "ba"))
+    pair = [s, s.translate(str.maketrans("ab", "ba")), s[:40], s[40:80]]
+    path = bpe.vocabulary_path()
+    for encode in encoders(path):
+        ids, at = encode(pair)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(library, t) for t in pair]
+        ids, at = encode(pair[::-1])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(library, t) for t in pair[::-1]]
+    assert token_counts.count_texts(pair, path).tolist() == [len(ids_of(library, t)) for t in pair]
+    assert "".join(bpe_codec.decode_ids(bpe_codec.encode_texts([t], path)[0].tolist(), path) for t in pair) == "".join(pair)
+
+
+def test_words_whose_hashes_are_equal(library, monkeypatch):
+    """Every hash the same: all words of a piece but one are found to differ and are made exactly."""
+    path = bpe.vocabulary_path()
+    v = bpe.vocabulary(path)
+    store = words.WordStore(lambda new: bpe.merge_rounds([w.encode() for w in new], v), bits=4)
+    plain = words.split
+
+    def same(*a):
+        s = plain(*a)
+        s.hash[:] = 7
+        return s
+
+    monkeypatch.setattr(words, "split", same)
+    for t in ("one two three two", "four one two", " two"):
+        assert bpe_codec.gather([t], store, v)[0].tolist() == ids_of(library, t)
+
+
+def test_long_words_and_long_texts(library, monkeypatch):
+    rng = random.Random(8)
+    path = bpe.vocabulary_path()
+    long_words = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "the and", "etaoinshr", "é漢a", "a") for n in (65, 500, 4000)] + ["abab" * 300]
+    texts = [" ".join(rng.choice(["alpha", "beta's", "x\n", " ", "1"]) for _ in range(3000)), *long_words]
+    monkeypatch.setattr(words.parts, "__defaults__", (70, True))  # texts in many parts
+    for encode in encoders(path):
+        ids, at = encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(library, t) for t in texts]
+    assert token_counts.count_texts(texts, path).tolist() == [len(ids_of(library, t)) for t in texts]
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    assert bpe_codec.encode_texts([word], path)[0].tolist() == ids_of(library, word)
+
+
+def test_other_vocabularies_are_refused_or_followed(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    j = json.load(open(bpe.vocabulary_path(), encoding="utf-8"))
+    more = j | {"added_tokens": j["added_tokens"] + [{**j["added_tokens"][0], "id": 50_257, "content": "<|end"}, {**j["added_tokens"][0], "id": 50_258, "content": "<|x|>"}]}
+    (tmp_path / "more.json").write_text(json.dumps(more))
+    own = Tokenizer.from_file(str(tmp_path / "more.json"))
+    text = "a<|x|>b <|endoftext|><|end<|x|> c"
+    for encode in encoders(str(tmp_path / "more.json")):
+        assert encode([text])[0].tolist() == own.encode(text, add_special_tokens=False).ids
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{**j["added_tokens"][0], "lstrip": True}]}):
+        (tmp_path / "other.json").write_text(json.dumps(j | change))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(tmp_path / "other.json"))
+
+
 def test_empty_tables(spark):
     empty = docs(spark, []).limit(0)
     assert token_counts.token_counts(empty).count() == bpe_codec.round_trip(empty).count() == id_blocks.round_trip(empty).count() == quality.quality(empty).count() == quality.keep_good(empty).count() == 0
