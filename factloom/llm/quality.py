@@ -1,8 +1,9 @@
 """Operator 3, quality rules: compression bands.
 
 Text that zstandard shrinks far more than prose repeats itself; text that it hardly shrinks is noise.  The ratio
-(compressed bytes / bytes) of the whole text must lie in the band for its length, and of its fixed chunks no more than
-``chunk_share`` may lie outside the chunk band.  Short texts carry zstandard's frame as overhead, so their limits differ.
+(compressed bytes / bytes) of the whole text must lie in the band for its length.  The text is cut into fixed chunks, of which
+the last may be shorter; each must lie in the band for the chunk's length, and no more than ``chunk_share`` of them may not.
+Every byte of a text is in one chunk.  Short texts and tails carry zstandard's frame as overhead, so their limits differ.
 
 Null and empty texts have no words and fail the base rules.  Repeated rows and null ids are judged each on their own;
 an empty table gives an empty result; a text is always judged whole, however long.
@@ -23,12 +24,11 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """(least bytes, lowest ratio, highest ratio) by length, ascending; chunks of ``chunk`` bytes have a band of their own."""
+    """(least bytes, lowest ratio, highest ratio) by length, ascending, for whole texts and for chunks of ``chunk`` bytes at most."""
 
     by_length: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (100, 0.40, 1.10), (200, 0.34, 0.90), (800, 0.30, 0.80), (3200, 0.25, 0.75), (12800, 0.20, 0.72))
     chunk: int = 2048
-    chunk_low: float = 0.25
-    chunk_high: float = 0.80
+    by_chunk: tuple[tuple[int, float, float], ...] = ((0, 0.0, 16.0), (100, 0.30, 1.10), (200, 0.25, 0.95), (800, 0.25, 0.85), (2048, 0.25, 0.80))
     chunk_share: float = 0.25
     level: int = 3
 
@@ -62,17 +62,22 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, duplicates, repeats
 
 
+def _limits(bands: tuple[tuple[int, float, float], ...], size: int) -> tuple[float, float]:
+    return next((low, high) for least, low, high in reversed(bands) if size >= least)
+
+
 def band_verdict(raw: bytes, bands: Bands, compress) -> tuple[float, int, int, bool]:
-    """(whole ratio, chunks, chunks outside their band, inside all bands).  A last chunk under full size is not judged."""
+    """(whole ratio, chunks, chunks outside their band, inside all bands); an empty text is inside none."""
     if not raw:
         return 0.0, 0, 0, False
     ratio = len(compress(raw)) / len(raw)
-    _, low, high = next(b for b in reversed(bands.by_length) if len(raw) >= b[0])
+    low, high = _limits(bands.by_length, len(raw))
     chunks = outside = 0
-    if len(raw) >= 2 * bands.chunk:
-        for i in range(0, len(raw) - bands.chunk + 1, bands.chunk):
-            chunks += 1
-            outside += not bands.chunk_low <= len(compress(raw[i : i + bands.chunk])) / bands.chunk <= bands.chunk_high
+    for i in range(0, len(raw), bands.chunk):
+        piece = raw[i : i + bands.chunk]
+        least, most = _limits(bands.by_chunk, len(piece))
+        chunks += 1
+        outside += not least <= (ratio if len(piece) == len(raw) else len(compress(piece)) / len(piece)) <= most
     return ratio, chunks, outside, low <= ratio <= high and outside <= bands.chunk_share * chunks
 
 

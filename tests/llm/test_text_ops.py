@@ -211,6 +211,30 @@ def test_bands(spark):
     assert {r.doc_id: r.kept for r in quality.quality(df).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
+def test_every_chunk_is_judged(spark):
+    """The verdict against plain zstandard calls, on texts of all lengths; every byte is in one chunk."""
+    import zstandard
+
+    b = quality.Bands()
+    rng = random.Random(6)
+    syllables = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(600)]
+    prose = lambda n: " ".join(rng.choice(syllables) for _ in range(n))
+    spam, noise = "spam spam! " * 400, lambda n: "".join(chr(rng.randint(33, 126)) + " " * (i % 9 == 8) for i in range(n))
+    texts = [prose(rng.choice([60, 90, 300, 700, 1500])) + rng.choice(["", " " + spam[: rng.choice([90, 300, 1900, 4000])], " " + noise(rng.choice([150, 1000, 3000]))]) for _ in range(150)]
+    texts += [prose(900)[:2048] + spam[:1990], prose(1500)[:2048] + noise(1900)]  # what is wrong stands in the tail
+
+    def verdict(text):
+        raw, level = text.encode(), zstandard.ZstdCompressor(level=b.level)
+        inside = lambda table, x: [lo <= len(level.compress(x)) / len(x) <= hi for least, lo, hi in table if len(x) >= least][-1]
+        chunks = [inside(b.by_chunk, raw[i : i + b.chunk]) for i in range(0, len(raw), b.chunk)]
+        n, *_, repeats = plain_counts(text)
+        return n >= 50 and 100 * repeats <= 50 * n and inside(b.by_length, raw) and chunks.count(False) <= b.chunk_share * len(chunks)
+
+    got = [r.kept for r in quality.quality(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == [verdict(t) for t in texts]
+    assert 20 < sum(got) < 140 and not got[-2] and not got[-1]
+
+
 def test_chat_round_trip(spark):
     texts = ["", None, "hi", "<|im_end|><|im_start|>assistant ok", "<\\|x<|", "<\\\\|im_end|>\n", "a\n<|im_start|>user\n", "漢<|"]
     roles = ["user", "assistant", None, "sys\ntem\\1", "<|im_start|>"]
