@@ -127,6 +127,13 @@ def rows_of(docs: DataFrame, ids: DataFrame, key: str, bound: int = 1_000_000) -
     return docs.join(F.broadcast(side) if few else side, F.col(key).cast("long").eqNullSafe(F.col("_id")), "left_semi")
 
 
+def rows_without(docs: DataFrame, ids: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:
+    """The rows whose key is not among ``ids`` (as in ``rows_of``)."""
+    few = ids.limit(bound + 1).count() <= bound
+    side = ids.withColumnRenamed("id", "_id")
+    return docs.join(F.broadcast(side) if few else side, F.col(key).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def text_udf(fn: Callable[[list], list], returns: str):
     """A pandas UDF of one column from a function on lists."""
 

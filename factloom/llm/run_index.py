@@ -1,105 +1,110 @@
-"""A run-compressed Burrows-Wheeler transform of many short strings, with sampled run ends."""
+"""A run-compressed Burrows-Wheeler transform of many short strings, with sampled run ends, and its matching statistics."""
 
 from __future__ import annotations
 
 import numpy as np
 
-PACKED = 7  # bytes that fit a number at once
+PLACES = 20  # bits of a text place; two ranks and a place fit one number
+_MASK = np.int64((1 << PLACES) - 1)
+_FIRST = 5  # bytes of the first round
 
 
 class RunIndex:
-    """Index of strings; all work is done for whole arrays of rows at a time.
+    """Index of UTF-8 strings of fewer than 2^20 bytes in all, each string's end counting as a mark of its own below all bytes.
 
-    Rows are the suffixes in sorted order, a string's end counting as a mark of its own below all bytes.  Kept are the runs
-    of the transform (head byte, first row, where the first row steps to), the text places at both ends of each run, and for
-    ``length`` the rows at which a group of suffixes with equal first ``length`` bytes begins.  Rows 0 .. strings-1 are the
-    end marks, in order of the strings.
+    Kept are the runs of the transform: head byte and first row, and, sampled, the text places of both ends of each run.  A
+    run's first place has the place above it, the last of the run before, as its neighbour in the suffix order, and shares
+    ``common`` bytes with it.  Inside a run both move on together: one place further in the text the neighbour is one place
+    further too and they share one byte less.  So the samples alone give every place's neighbour and match length.
     """
 
-    def __init__(self, strings: list[bytes], length: int):
-        self.count = len(strings)
-        size = np.fromiter(map(len, strings), np.int64, self.count)
+    def __init__(self, strings: list[bytes]):
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
         self.stop = np.cumsum(size + 1) - 1  # places of the end marks
-        text = np.zeros(int(self.stop[-1]) + 1 if self.count else 0, np.int64)
-        inside = np.ones(len(text), bool)
-        inside[self.stop] = False
-        text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        order, equal = _sorted_suffixes(text, self.stop, int(size.max(initial=0)) + 1, length)
+        n = int(self.stop[-1]) + 1 if len(strings) else 0
+        if n >= 1 << PLACES:
+            raise ValueError(f"{n} bytes in one index")
+        # UTF-8 has no bytes above 0xF4, so byte + 1 fits a byte and 0 is free for the end marks
+        text = np.frombuffer(b"\xff".join(strings) + b"\xff" if strings else b"", np.uint8) + np.uint8(1)
+        self.to_end = np.repeat(self.stop, size + 1) - np.arange(n)
+        order, ranks = _sorted_suffixes(text, self.to_end, int(size.max(initial=0)) + 1)
         before = text[order - 1]  # the byte before the first place is the last end mark's
-        head = np.flatnonzero(np.append(True, before[1:] != before[:-1])) if len(before) else np.zeros(0, np.int64)
-        self.first, self.head = head, before[head]
-        runs = np.diff(np.append(head, len(before)))
-        by_byte = np.argsort(self.head, kind="stable")
-        self.step = np.empty(len(head), np.int64)
-        self.step[by_byte] = np.cumsum(runs[by_byte]) - runs[by_byte]
-        self.sample_first, self.sample_last = order[head], order[head + runs - 1]
-        self.last = head + runs - 1
-        self.group = np.flatnonzero(~equal)
-        self._order_docs = np.searchsorted(self.stop, order)  # the string of each row; reduced to groups by lowest()
+        opens = np.ones(n, bool)
+        opens[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # end marks differ from each other
+        self.first = np.flatnonzero(opens)
+        self.head = before[self.first]
+        self.sample_first = order[self.first]
+        self.sample_last = order[np.append(self.first[1:], n) - 1] if n else order
+        self.common = np.zeros(len(self.first), np.int64)
+        if n:
+            self.common[1:] = _common(text, self.to_end, ranks, self.sample_first[1:], self.sample_last[:-1])
 
-    def back(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows one place further left, and the byte plus one that stands there (0: a string's end mark)."""
-        run = np.searchsorted(self.first, rows, side="right") - 1
-        return self.step[run] + rows - self.first[run], self.head[run]
+    def matches(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, neighbour) of all places whose match with their neighbour above is ``length`` bytes or longer.
 
-    def locate(self, row: int) -> int:
-        """The text place of a row: steps back to a sampled run end."""
-        steps = 0
-        while True:
-            run = int(np.searchsorted(self.first, row, side="right")) - 1
-            if row == self.first[run]:
-                return int(self.sample_first[run]) + steps
-            if row == self.last[run]:
-                return int(self.sample_last[run]) + steps
-            row = int(self.step[run]) + row - int(self.first[run])
-            steps += 1
+        The matching statistics are streamed from sample to sample: a stretch of the text has as many such places as its
+        match length exceeds ``length``, until the next sample begins.
+        """
+        if not len(self.first):
+            return self.first, self.first
+        by_place = np.argsort(self.sample_first[1:], kind="stable")
+        place, above, common = self.sample_first[1:][by_place], self.sample_last[:-1][by_place], self.common[1:][by_place]
+        # the top row's place begins a stretch as well, one without a neighbour
+        edges = np.sort(self.sample_first)
+        ends = np.append(edges, len(self.to_end))[np.searchsorted(edges, place) + 1]
+        count = np.clip(np.minimum(ends - place, common - length + 1), 0, None)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(place, count) + step, np.repeat(above, count) + step
 
-    def lowest(self, value: np.ndarray) -> np.ndarray:
-        """For each group the least value of its strings."""
-        return np.minimum.reduceat(value[self._order_docs], self.group) if len(self.group) else value[:0]
+    def lowest(self, value: np.ndarray, length: int) -> np.ndarray:
+        """For each place with ``length`` bytes to its right the least value of the strings that hold those bytes."""
+        place, above = self.matches(length)
+        root = np.arange(len(self.to_end), dtype=np.int32)
+        root[place] = above
+        while True:  # up the chain of neighbours to its top, by doubling
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        windows = np.flatnonzero(self.to_end >= length)
+        own = value[np.searchsorted(self.stop, windows)]
+        low = np.full(len(root), np.iinfo(np.int64).max)
+        np.minimum.at(low, root[windows], own)
+        return low[root[windows]]
 
 
-def _sorted_suffixes(text: np.ndarray, stop: np.ndarray, longest: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order by prefix doubling, and for each row whether its first ``length`` bytes are those of the row before."""
+def _sorted_suffixes(text: np.ndarray, to_end: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The suffix order by prefix doubling, equal suffixes in order of place, and the ranks by each prefix length."""
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    place = np.arange(n)
-    to_end = np.repeat(stop, np.diff(np.append(-1, stop))) - place
-    depth = max(1, min(PACKED, length))
+        return np.zeros(0, np.int64), {}
     key = np.zeros(n, np.int64)
-    for j in range(depth):  # the first bytes as one number, zeros after the end mark
-        key *= 257
-        key[: n - j] += np.where(to_end[: n - j] >= j, text[j:], 0)
-    rank = _ranked(key)
-    ranks_at = {depth: rank}
-    while depth < longest:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - depth] = rank[depth:] + 1
-        nxt[to_end < depth] = 0  # the end mark is already inside
-        rank = _ranked(rank * (int(rank.max()) + 2) + nxt)
+    for j in range(_FIRST):  # the first bytes as one number, zeros after the end mark
+        key <<= 8
+        key[: n - j] |= np.where(to_end[: n - j] >= j, text[j:], 0)
+    depth, ranks = _FIRST, {}
+    while True:
+        both = np.sort(key << PLACES | np.arange(n))
+        order = both & _MASK
+        both >>= PLACES
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.append(0, both[1:] != both[:-1]))
+        ranks[depth] = rank
+        if depth >= longest:
+            return order, ranks
+        key = rank.astype(np.int64) << PLACES
+        key[: n - depth] |= np.where(to_end[: n - depth] >= depth, rank[depth:] + 1, 0)
         depth *= 2
-        ranks_at[depth] = rank
-        for d in [d for d in ranks_at if 2 * d <= min(length, depth)]:  # a longer one serves as well
-            del ranks_at[d]
-    order = np.argsort(rank * n + place)  # equal suffixes in order of place
-    # a prefix of ``length`` is covered by several of the longest depth within it
-    d = max((d for d in ranks_at if d <= length), default=1)
-    a, b = order[1:], order[:-1]
-    equal = (to_end[a] >= length) & (to_end[b] >= length)
-    cover, at = equal.copy(), 0
-    while at < length:
-        p = min(at, length - d) if length >= d else 0
-        r = ranks_at[d]
-        cover[cover] = r[a[cover] + p] == r[b[cover] + p]
-        at += d
-    return order, np.append(False, cover)
 
 
-def _ranked(key: np.ndarray) -> np.ndarray:
-    """The dense rank of each key."""
-    order = np.argsort(key)
-    sorted_ = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.append(0, sorted_[1:] != sorted_[:-1]))
-    return rank
+def _common(text: np.ndarray, to_end: np.ndarray, ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at a and b share, by descent over the ranks; none beyond an end mark."""
+    most = np.minimum(to_end[a], to_end[b])
+    got = np.zeros(len(a), np.int64)
+    last = len(text) - 1
+    for depth in sorted(ranks, reverse=True):
+        rank = ranks[depth]
+        got += depth * (rank[np.minimum(a + got, last)] == rank[np.minimum(b + got, last)])
+    for _ in range(_FIRST - 1):
+        got += (got < most) & (text[np.minimum(a + got, last)] == text[np.minimum(b + got, last)])
+    return np.minimum(got, most)
