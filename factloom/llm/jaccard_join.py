@@ -5,16 +5,22 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
 1. Documents of equal sets become one node, named by its smallest doc_id.
 2. Sets that link share a key among their first n - ceil(t n) + 1 keys in any common order; long shingles come first in
    it, so phrases of common words hardly count.  Nodes with a key in common, in size classes that can link, are a group.
-3. Each group's nodes are compared with its smallest node first.  Components of the links found make most groups whole.
+3. Each group's nodes are compared with its smallest node first, on the whole texts.  Components of the links found make
+   most groups whole.
 4. Groups still in several components are searched with signature trees: nodes hold OR-combined bitmaps, size ranges and
    the most shingles that share a bit; two trees are walked together and node pairs dropped when no pair under them can
-   overlap enough.  Only pairs of different components are kept.  Large groups are cut into blocks, each pair of blocks a
-   task of its own, so no task holds an unbounded group and nothing is capped.
-5. Every pair left is compared exactly, on the whole texts.  Components of all links give the result.
+   overlap enough.  A first walk tells which rows have a possible partner in another component; only these come back, with
+   their shingles, for a second walk that compares what is left and keeps a link only if it joins components that no link
+   kept before has joined.  So a group gives fewer links than it has rows, however many of its pairs are close.
+5. Large groups are cut into blocks, each pair of blocks a task of its own, so no task holds an unbounded group and nothing
+   is capped.  Components of all links give the result.
+
+Shingles are known by 64-bit hashes, words of over 32 bytes by a cryptographic one.
 
 Null and empty texts have no shingles and link with nothing.  A null doc_id cannot be named, so such a row links with
-nothing and has a null component.  Repeated rows each get their row; a doc_id is taken to name one text.  An empty table
-gives an empty result.
+nothing and has a null component.  Repeated rows each get their row; rows that share a doc_id are one document, in one
+component whatever their texts.  Ties go to the smallest doc_id.  Texts are read whole, some 50 bytes of memory for each of
+a long text's.  An empty table gives an empty result; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from . import common, shingles
 from .components import components
 
 LEAF = 16
-BLOCK = 512
+BLOCK = 2048
 SPAN = 48
 
 
@@ -189,47 +195,32 @@ def _bits_allow(rows: DataFrame, share: int) -> DataFrame:
     return rows.select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long")
 
 
-def _tree_pairs(rows: DataFrame, share: int, partitions: int) -> DataFrame:
-    """(u, v): pairs of different components in each (token, low, i, j), from a dual traversal of its two signature trees.
+_GROUP = ("token", "low", "i", "j")
 
-    ``rows``: token, low (the lower size class), i, j (blocks), own (block of the row), bucket, node, n, bits, label, hub.
-    A row's pairs with its class's hub are known already.
-    """
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    columns = ("token", "low", "i", "j", "own", "bucket", "node", "n", "label", "hub", "bits")
 
-    def group(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        low, i, j = c["low"][0], c["i"][0], c["j"][0]
-        lower = c["bucket"] == low
-        words = min(map(len, c["bits"])) // 8
-        bits = np.stack([shingles.folded(b, words) for b in c["bits"]])
-        sides = [(lower & (c["own"] == i), lower & (c["own"] == j)), (lower & (c["own"] == i), ~lower & (c["own"] == j))]
-        if i != j:
-            sides.append((lower & (c["own"] == j), ~lower & (c["own"] == i)))
-        for left, right in sides:
-            x, y = np.flatnonzero(left), np.flatnonzero(right)
-            if not len(x) or not len(y):
-                continue
-            x, y = x[np.argsort(c["n"][x], kind="stable")], y[np.argsort(c["n"][y], kind="stable")]
-            for p, q in dual_traversal(Tree(bits[x], c["n"][x]), Tree(bits[y], c["n"][y]), share):
-                p, q = x[p], y[q]
-                hub_known = (c["node"][q] == c["hub"][q]) | (c["bucket"][p] == c["bucket"][q]) & (c["node"][p] == c["hub"][p])
-                new = (c["label"][p] != c["label"][q]) & ~hub_known
-                u, v = c["node"][p[new]], c["node"][q[new]]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], schema=out)
+def _group_walk(rows: DataFrame, payload: str, fn, partitions: int, schema: str, out: pa.Schema) -> DataFrame:
+    """``fn(columns)`` of each (token, low, i, j): columns by name, ``payload`` an array of bytes; it yields lists for ``out``.
+
+    ``rows``: token, low (the lower size class), i, j (blocks), own (block of the row), bucket, node, n, label, hub, payload.
+    """
+    columns = (*_GROUP, "own", "bucket", "node", "n", "label", "hub", payload)
 
     def run(batches):
         held: dict[str, np.ndarray] | None = None
+
+        def group(c):
+            for found in fn(c):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, out)], schema=out)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = {name: batch.column(k).to_numpy() for k, name in enumerate(columns[:-1])}
-            c["bits"] = np.empty(batch.num_rows, object)
-            c["bits"][:] = batch.column(len(columns) - 1).to_pylist()
+            c[payload] = np.empty(batch.num_rows, object)
+            c[payload][:] = batch.column(len(columns) - 1).to_pylist()
             if held is not None:
                 c = {k: np.concatenate([held[k], c[k]]) for k in c}
-            key = np.stack([c[k].astype(np.int64) for k in ("token", "low", "i", "j")])
+            key = np.stack([c[k].astype(np.int64) for k in _GROUP])
             cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             begin = [0, *cut.tolist()]
             for a, b in zip(begin, begin[1:]):
@@ -238,8 +229,82 @@ def _tree_pairs(rows: DataFrame, share: int, partitions: int) -> DataFrame:
         if held is not None:
             yield from group(held)
 
-    dealt = rows.select(*columns).repartition(partitions, "token", "low", "i", "j").sortWithinPartitions("token", "low", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    dealt = rows.select(*columns).repartition(partitions, *_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, schema)
+
+
+def _candidates(c: dict[str, np.ndarray], bits: np.ndarray, share: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of different components that the dual traversal of a group's two signature trees leaves; pairs with the class's hub are known."""
+    low, i, j = c["low"][0], c["i"][0], c["j"][0]
+    lower = c["bucket"] == low
+    sides = [(lower & (c["own"] == i), lower & (c["own"] == j)), (lower & (c["own"] == i), ~lower & (c["own"] == j))]
+    if i != j:
+        sides.append((lower & (c["own"] == j), ~lower & (c["own"] == i)))
+    for left, right in sides:
+        x, y = np.flatnonzero(left), np.flatnonzero(right)
+        if not len(x) or not len(y):
+            continue
+        x, y = x[np.argsort(c["n"][x], kind="stable")], y[np.argsort(c["n"][y], kind="stable")]
+        for p, q in dual_traversal(Tree(bits[x], c["n"][x]), Tree(bits[y], c["n"][y]), share):
+            p, q = x[p], y[q]
+            hub_known = (c["node"][q] == c["hub"][q]) | (c["bucket"][p] == c["bucket"][q]) & (c["node"][p] == c["hub"][p])
+            new = (c["label"][p] != c["label"][q]) & ~hub_known
+            yield p[new], q[new]
+
+
+def _live_rows(rows: DataFrame, share: int, partitions: int) -> DataFrame:
+    """(token, low, i, j, node) of the rows with a possible partner in another component."""
+    kinds = {"token": "long", "low": "int", "i": "int", "j": "int", "node": "long"}
+    out = pa.schema([(k, pa.int64() if t == "long" else pa.int32()) for k, t in kinds.items()])
+
+    def fn(c):
+        words = min(map(len, c["bits"])) // 8
+        live = np.zeros(len(c["node"]), bool)
+        for p, q in _candidates(c, np.stack([shingles.folded(b, words) for b in c["bits"]]), share):
+            live[p] = live[q] = True
+        at = np.flatnonzero(live)
+        if len(at):
+            yield [c[k][at] for k in kinds]
+
+    return _group_walk(rows, "bits", fn, partitions, ", ".join(f"{k} {t}" for k, t in kinds.items()), out)
+
+
+def _tree_links(rows: DataFrame, share: int, partitions: int) -> DataFrame:
+    """(u, v): links found in each group that join components which its links so far have not joined; payload: the shingles."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def fn(c):
+        sets = [np.frombuffer(b, np.uint64) for b in c["keys"]]
+        maps = [shingles.bitmap(s) for s in sets]
+        words = min(map(len, maps))
+        bits = np.stack([shingles.folded(m.tobytes(), words) for m in maps])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(y, y)
+            return x
+
+        u, v = [], []
+        for p, q in _candidates(c, bits, share):
+            for a, b in zip(p.tolist(), q.tolist()):
+                one, two = root(int(c["label"][a])), root(int(c["label"][b]))
+                if one == two:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= share * (len(sets[a]) + len(sets[b]) - both):
+                    parent[max(one, two)] = min(one, two)
+                    u.append(max(c["node"][a], c["node"][b]))
+                    v.append(min(c["node"][a], c["node"][b]))
+        if u:
+            yield u, v
+
+    return _group_walk(rows, "keys", fn, partitions, "u long, v long", out).distinct()
+
+
+def _keys(docs: DataFrame, k: int) -> DataFrame:
+    """(node, keys): the shingles of each document."""
+    return common.per_text(docs, lambda ids, rows: {"node": ids, "keys": [s.tobytes() for s in shingles.shingle_sets(rows, k)]}, "node long, keys binary")
 
 
 def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -284,10 +349,13 @@ def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", tex
     lows = lows.filter("lower IS NOT NULL AND c > 2").select("token", "low", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     dealt = at_low.join(lows, ["token", "low"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "bucket", "node", "label")
-    dealt = dealt.join(hubs, ["token", "bucket"]).join(facts, "node")
-    more = common.materialise(_tree_pairs(dealt, share, partitions), "tree-pairs")
+    dealt = common.materialise(dealt.join(hubs, ["token", "bucket"]).join(facts.select("node", "n"), "node"), "open-rows")
+    live = common.materialise(_live_rows(dealt.join(facts.select("node", "bits"), "node"), share, partitions), "live-rows")
     common.release(spark)
-    edges = edges.unionAll(_verify(more, own, block, k, share, partitions))
+    ids = common.materialise(live.select(F.col("node").alias("id")).distinct(), "live-ids")
+    keys = _keys(common.rows_of(own, ids, "doc_id"), k).dropDuplicates(["node"])
+    more = _tree_links(dealt.join(live, [*_GROUP, "node"], "left_semi").join(keys, "node"), share, partitions)
+    edges = edges.unionAll(common.materialise(more, "tree-links"))
     edges = common.materialise(edges.distinct(), "links")
     common.release(spark)
     return members, edges
@@ -301,6 +369,9 @@ def join(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", text
 
 
 def keep_one(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that are their component's smallest document, with all their columns."""
+    """The rows that are their component's smallest document, with all their columns.
+
+    Rows that repeat a doc_id are one document and stay or go together; rows without doc_id stay.
+    """
     found = join(docs, k, share, key, text).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("id")).distinct()
     return common.rows_of(docs, common.materialise(found, "kept"), key)

@@ -13,6 +13,7 @@ _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+LONG = 32  # bytes of a word
 
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
@@ -39,6 +40,8 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
         h = (h ^ h >> np.uint64(32)) * _MIX
         h ^= h >> np.uint64(29)
         length = end - start
+        for i in np.flatnonzero(length > LONG).tolist():  # sums of powers modulo 2^64 are alike for some long words
+            h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
         first = np.concatenate([[0], np.searchsorted(start, stop)])
         m = max(0, len(start) - k + 1)
         key = np.zeros(m, np.uint64)

@@ -65,6 +65,41 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, k, share):
     assert kept == sorted(i for i, _, c in got if i == c)
 
 
+def test_a_group_of_near_copies_gives_fewer_links_than_rows(spark):
+    """Copies that differ from one text in a tenth of their words differ from each other in twice that: no hub links them all."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(80)]
+    rows = []
+    for i in range(220):
+        near = list(base)
+        for _ in range(rng.randint(0, 5)):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        rows.append((i, " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members, edges = jaccard_join.links(df, 3, 90)
+    assert edges.count() < 5 * len(rows)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.join(df, 3, 90).collect())
+    assert got == plain_components(rows, 3, 90)
+
+
+def test_long_words_are_told_apart():
+    s = "a"
+    for _ in range(11):
+        s += s.translate(str.maketrans("ab", "ba"))
+    one, two = shingles.shingle_sets([s, s.translate(str.maketrans("ab", "ba"))], 3)
+    assert one.tolist() != two.tolist()
+
+
+def test_a_long_text(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long_text = " ".join(rng.choice(words) for _ in range(250_000))
+    rows = [(7, long_text), (3, long_text[:-40] + "z"), (9, long_text[: len(long_text) // 2])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {7: 3, 3: 3, 9: 9}
+
+
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_join.join(df, 3, 90).collect())) == [(1, 4, 1), (1, 4, 1), (2, 4, 1)]
