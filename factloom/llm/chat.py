@@ -9,7 +9,8 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  Inside texts and r
 ``|`` gets one more backslash, so that no text can hold a marker and the escape is undone exactly; line ends and
 backslashes of roles are written ``\\1`` and ``\\0``.
 
-Null text is empty, null role is empty, null turn comes first, null conv_id is a conversation of its own; turns of equal
+Loss masks are runs of code points, one for each turn; a conversation may have any number of turns, in one row, and its
+work grows with its length alone.  Null text is empty, null role is empty, null turn comes first, null conv_id is a conversation of its own; turns of equal
 number are ordered by role and text, and repeated rows stay.  An empty table gives an empty result.  Columns besides those
 of the layout are ignored.
 """
@@ -20,7 +21,7 @@ import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,37 +153,54 @@ def _unescape_role(role: Column) -> Column:
 
 
 def render(turned: DataFrame, reply: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, loss_spans): the rendered text, and the code points [begin, end) of the replies' texts in it."""
+    """(conv_id, formatted, mask): the rendered text and its loss mask, a run for each turn: after ``skip`` code points the turn's
+    text takes ``take``, and counts towards the loss if ``loss``.  Runs are relative, so no sums run along a conversation.
+    """
     parts = F.transform("turns", lambda x: F.struct((x["role"] == reply).alias("loss"), F.concat(F.lit(START), _escape_role(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body")))
-    made = turned.select("conv_id", parts.alias("p"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.char_length(x["head"])
-        end = begin + F.char_length(x["body"])
-        here = F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end"))
-        return F.struct((end + len(END) + 1).cast("long").alias("at"), F.when(x["loss"], F.array_append(s["spans"], here)).otherwise(s["spans"]).alias("spans"))
+    def run(x: Column, i: Column) -> Column:
+        between = F.when(i > 0, F.lit(len(END) + 1)).otherwise(0)
+        return F.struct((between + F.char_length(x["head"])).cast("long").alias("skip"), F.char_length(x["body"]).cast("long").alias("take"), x["loss"].alias("loss"))
 
-    return made.select(
+    return turned.select("conv_id", parts.alias("p")).select(
         "conv_id",
         F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "").alias("formatted"),
-        F.aggregate("p", zero, step, lambda s: s["spans"]).alias("loss_spans"),
+        F.transform("p", run).alias("mask"),
     )
 
 
+def loss_spans(rendered: DataFrame) -> DataFrame:
+    """(conv_id, begin, end): the code points of each masked text in its conversation's ``formatted``, as rows."""
+    runs = rendered.select("conv_id", F.posexplode("mask").alias("turn", "run"))
+    end = F.sum(F.col("run.skip") + F.col("run.take")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return runs.withColumn("end", end).filter("run.loss").select("conv_id", (F.col("end") - F.col("run.take")).alias("begin"), "end")
+
+
+def _blocks(formatted: Column) -> Column:
+    """A rendered text cut before each turn, without the marks that begin them."""
+    blocks = F.split(formatted, r"<\|im_start\|>")
+    return F.when(F.size(blocks) > 1, F.slice(blocks, F.lit(2), F.size(blocks) - 1)).otherwise(F.array().cast("array<string>"))
+
+
 def parse(formatted: Column) -> Column:
     """Canonical turns of a rendered text."""
-    blocks = F.split(formatted, r"<\|im_start\|>")
-    blocks = F.when(F.size(blocks) > 1, F.slice(blocks, F.lit(2), F.size(blocks) - 1)).otherwise(F.array().cast("array<string>"))
 
     def turn(x: Column) -> Column:
         role = F.substring_index(x, "\n", 1)
         skip = F.char_length(role) + 1
         return F.struct(_unescape_role(role).alias("role"), unescape(F.substring(x, skip + 1, F.char_length(x) - skip - len(END) - 1)).alias("text"))
 
-    return F.transform(blocks, turn)
+    return F.transform(_blocks(formatted), turn)
+
+
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, unescaped, with nothing between: of each masked turn's block the characters of its run.
+
+    A block ends with its text, a closing mark and a line end, so the run's length tells where it begins in the block.
+    """
 
+    def masked(block: Column, run: Column) -> Column:
+        size = run["take"].cast("int")
+        return F.when(run["loss"], unescape(F.substring(block, F.char_length(block) - len(END) - size, size))).otherwise("")
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")))), "")
+    return F.array_join(F.zip_with(_blocks(formatted), mask, masked), "")

@@ -19,11 +19,65 @@ def test_article_of_a_page():
     assert html_text.extract(PAGE) == "A & B\nOne twothree four.\nFive six\nx\ny"
 
 
-@pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<p>a &lt; b &#233;&nbsp;c", "a < b é c"), ("<script>x", ""), ("a<!-- open", "a"), ("<p title='>'>q</p>", "q"), ("<p title='x>q</p>", "q"), ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep\nafter"), ("<main><p>m</main><p>out", "m"), ("1 < 2 & 3", "1 < 2 & 3")])
+@pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<p>a &lt; b &#233;&nbsp;c", "a < b é c"), ("<script>x", ""), ("a<!-- open", "a"), ("<p title='>'>q</p>", "q"), ("<p title='x>q</p>", "q"), ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep\nafter"), ("<main><p>m</main><p>out", "m"), ("1 < 2 & 3", "1 < 2 & 3"), ("<b>" * 3000 + "x" + "</b>" * 3000 + "<p>y", "x\ny"), ("</div>" * 50 + "<div>" * 50 + "</p></b>" * 50 + "z", "z")])
 def test_odd_pages(html, text):
     assert html_text.extract(html) == text
 
 
+def test_nothing_is_lost_in_depth_or_by_longer_names():
+    deep = "<article>" + "<div>" * 210 + "<p>ok</p><nav>menu home</nav><aside>side</aside><form>f</form><p>more</p>"
+    assert html_text.extract(deep) == "ok\nmore"
+    named = "<article><div class='article-header'><h1>Title</h1><p>Lead.</p></div><p class='notice-of-death'>Obituary</p><div class='share-price'><p>Shares rose.</p></div><p>Body.</p></article>"
+    assert html_text.extract(named) == "Title\nLead.\nObituary\nShares rose.\nBody."
+    dropped = "".join(f"<div class='{c}'>no</div>" for c in ("ad", "x ad-slot", "commentList", "site-header", "cookie_notice", "related-posts", "Sidebar2"))
+    assert html_text.extract(f"<article><p>a</p>{dropped}<div id=comments>no</div><p>b</p></article>") == "a\nb"
+    long_page = "<article>" + "".join(f"<p>Paragraph {i} &amp; more.</p>" for i in range(40_000)) + "</article>"
+    assert html_text.extract(long_page).count("\n") == 39_999
+
+
+def plain_counts(pages):
+    """Hash counts by another way: every block's tags and words written out as a string, counted over different pages."""
+    def spelled(node):
+        return (node.tag, *(" ".join(x.split()) if isinstance(x, str) else spelled(x) for x in node.children if (x.split() if isinstance(x, str) else x.tag not in ("script", "style"))))
+
+    def blocks(node):
+        for x in node.children:
+            if not isinstance(x, str) and x.tag not in ("script", "style"):
+                if x.tag in html_text.BLOCK and x.tag != "body" and html_text._text(x).strip():
+                    yield spelled(x)
+                yield from blocks(x)
+
+    seen = {}
+    for _, url, html, *_ in pages:
+        root = html_text.parse(html or "")
+        for b in {*blocks(root)}:
+            seen.setdefault((html_text.host_of(url), b), set()).add(spelled(root))
+    return sorted(len(s) for s in seen.values())
+
+
+def test_hash_counts_are_those_of_written_out_subtrees(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        body = "".join(rng.choice(["<p>same</p>", "<div><p>one</p> two</div>", f"<p>own {i}</p>", "<ul><li>x<li>y</ul>", "<p>  spaced\n out</p>", "<div> </div>", "<script>s</script>"]) for _ in range(rng.randint(0, 6)))
+        rows.append((i, f"https://{rng.choice('ab')}.example/{i}", f"<body>{body}</body>"))
+    rows += [rows[3]] * 5
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counted = html_text.page_hashes(df).filter("hash IS NOT NULL").select("host", "hash", "whole").distinct().groupBy("host", "hash").count()
+    assert sorted(r["count"] for r in counted.collect()) == plain_counts(rows)
+
+
+def test_counting_decides(spark):
+    """Without the counted hashes the same pages keep their boilerplate; with a share above its own it stays too."""
+    rows = [page(i, "a.example", f"Text number {i}.") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert {r.text for r in html_text.extract_pages(df).collect()} == {f"Text number {i}." for i in range(12)}
+    assert html_text.extract(rows[0][2]) == "Welcome to a.example\nOur partners\nText number 0.\nImprint of a.example"
+    rare = [page(100 + i, "b.example", f"Text {i}.") for i in range(4)] + [(200 + i, "https://b.example/y", f"<p>Other {i}.") for i in range(50)]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame([r[:3] for r in rare], "page_id long, url string, html string")).collect()}
+    assert got[100].startswith("Welcome to b.example") and got[230] == "Other 30."
+
+
 def page(i, host, body):
     return (i, f"https://{host}/x/{i}", f"<html><body><div><p>Welcome to {host}</p><p>Our partners</p></div><div><p>{body}</p></div><div><p>Imprint of {host}</p></div></body></html>", "clash")
 

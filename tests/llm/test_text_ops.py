@@ -235,6 +235,19 @@ def test_every_chunk_is_judged(spark):
     assert 20 < sum(got) < 140 and not got[-2] and not got[-1]
 
 
+def chat_plain(text):
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
+def test_a_conversation_of_many_turns(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn <| "), "id").alias("text"))
+    rendered = chat.render(chat.canonical(df))
+    r = rendered.select(F.size(chat.parse(F.col("formatted"))).alias("n"), F.sha2(chat.loss_text(F.col("formatted"), F.col("mask")), 256).alias("loss"), F.char_length("formatted").alias("size")).head()
+    assert r.n == n and r.loss == hashlib.sha256("".join(f"turn <| {i}" for i in range(1, n, 2)).encode()).hexdigest()
+    assert chat.loss_spans(rendered).agg(F.max("end")).head()[0] == r.size - len("<|im_end|>\n")
+
+
 def test_chat_round_trip(spark):
     texts = ["", None, "hi", "<|im_end|><|im_start|>assistant ok", "<\\|x<|", "<\\\\|im_end|>\n", "a\n<|im_start|>user\n", "漢<|"]
     roles = ["user", "assistant", None, "sys\ntem\\1", "<|im_start|>"]
@@ -242,12 +255,16 @@ def test_chat_round_trip(spark):
     rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, 0, 1, 2, 3]), rng.choice(roles), rng.choice(texts), "x") for _ in range(60)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
     rendered = chat.render(chat.canonical(df))
-    back = rendered.select("conv_id", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    back = rendered.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()
+    spans = {}
+    for c, a, b in sorted(map(tuple, chat.loss_spans(rendered).collect()), key=lambda x: (x[0] or 0, x[1])):
+        spans.setdefault(c, []).append((a, b))
     for r in back:
         own = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text, _ in rows if c == r.conv_id))
         assert [(t.role, t.text) for t in r.t] == [(role, text) for *_, role, text in own]
         assert r.loss == "".join(text for *_, role, text in own if role == "assistant")
         assert r.formatted.count("<|im_start|>") == len(own)
+        assert "".join(chat_plain(r.formatted[a:b]) for a, b in spans.get(r.conv_id, [])) == r.loss
     assert chat.canonical(df.limit(0)).count() == 0
 
 
