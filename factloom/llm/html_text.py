@@ -278,7 +278,8 @@ def _select(pages: DataFrame) -> DataFrame:
 def page_hashes(pages: DataFrame) -> DataFrame:
     """(page_id, host, hash, inside, whole): the distinct subtree hashes of each page, and null once, for the host's total.
 
-    ``whole`` is the hash of the page, or, for the hashes inside its marked article, which come a second time, of that article.
+    ``whole`` is the page's id (its hash, if it has none), or, for the hashes inside its marked article, which come a second time,
+    that article's hash: copies of an article are one article.
     """
     out = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("hash", pa.int64()), ("inside", pa.bool_()), ("whole", pa.int64())])
     number = lambda digest: int.from_bytes(digest, "little", signed=True)
@@ -297,6 +298,8 @@ def page_hashes(pages: DataFrame) -> DataFrame:
                             whole = number(subtree_hashes(top, found))
                             if inside:
                                 found.pop(id(top), None)
+                            elif p["page_id"] is not None:
+                                whole = p["page_id"]
                             rows += [(p["page_id"], host, h, inside, whole) for h in {*found.values(), None}]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
@@ -304,7 +307,7 @@ def page_hashes(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, share: float = 0.1, least: int = 4, inner_share: float = 0.5) -> DataFrame:
-    """(host, hash, inside) of the subtrees on at least ``share`` of their host's different pages, ``least`` at least.
+    """(host, hash, inside) of the subtrees on at least ``share`` of their host's pages, ``least`` at least.
 
     ``inside`` are those in at least ``inner_share`` of the host's different marked articles, ``least`` at least.
     """

@@ -2,8 +2,8 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers, found by pattern.  Their values are the
 protected entities.  From windows of words around every occurrence in the corpus, the operator estimates how far a term
-reveals an entity: the share of the term's occurrences, over all texts, that stand near that entity, and their pointwise
-mutual information.  Terms over both thresholds are spans of kind ``term`` wherever they stand.  Copies of a text repeat
+reveals an entity: the share of the term's occurrences, over all texts, that stand near that entity, and the pointwise
+mutual information of the two: the share near the entity against the share that chance would put into the entity's windows.  Terms over both thresholds are spans of kind ``term`` wherever they stand.  Copies of a text repeat
 one piece of evidence, so a term's surroundings are counted, not its occurrences: a surrounding is the whole window of
 words around the term, and an equal window counts once, near the entity and away from it.  A term must stand near its
 entity in several surroundings.
@@ -11,18 +11,20 @@ entity in several surroundings.
 Sanitising replaces entities and terms by their kind (generalised), or by nothing.
 
 Null and empty texts have no spans.  Null ids and repeated rows are handled row by row (copies count as one surrounding);
-an empty table gives an empty result; texts are always read whole.
+spans that begin together are ordered by kind; an empty table gives an empty result; other columns are kept by ``sanitise``
+and not read by ``find``, whatever their names.  Texts are always read whole, in time linear in their length and spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ class Disclosure:
     share: float = 0.5
     bits: float = 6.0
     letters: int = 4
-    block: int = 200_000
+    block: int = 200_000  # terms that are sent to every executor; more are joined
 
 
 def luhn(digits: str) -> bool:
@@ -103,11 +105,14 @@ def _around(words: list[str], i: int, window: int) -> int:
     return _hash(*words[max(0, i - window) : i + window + 1])
 
 
-def evidence(text: str, d: Disclosure) -> Iterator[tuple[int, str, int]]:
-    """(entity, term, surrounding) for the terms near each base span; words that touch a span are no terms."""
+def evidence(text: str, d: Disclosure) -> tuple[set[tuple[int, str | None, int]], int]:
+    """{(entity, term, surrounding)} for the terms near each base span, with a null term for the span itself, and the text's words.
+
+    Words that touch a span are no terms.
+    """
     spans = base_spans(text)
     if not spans:
-        return
+        return set(), len(text.split())
     found = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     ends = [w[1] for w in found]
     begins = [w[0] for w in found]
@@ -115,101 +120,91 @@ def evidence(text: str, d: Disclosure) -> Iterator[tuple[int, str, int]]:
     touched = set()
     places = []
     for a, b, kind in spans:
-        first, last = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(begins, b, side="left"))
+        first, last = bisect_right(ends, a), bisect_left(begins, b)
         touched.update(range(first, last))
         places.append((first, last, kind + (text[a:b].lower() if kind == "email" else _NOT_DIGIT.sub("", text[a:b]) if kind != "ip" else text[a:b])))
+    out: set[tuple[int, str | None, int]] = set()
     for first, last, entity in places:
         near = _hash(entity)
+        out.add((near, None, _hash(*words[max(0, first - d.window) : last + d.window])))
         for i in (*range(max(0, first - d.window), first), *range(last, min(len(found), last + d.window))):
             if i not in touched and (term := term_of(words[i], d.letters)):
-                yield near, term, _around(words, i, d.window)
+                out.add((near, term, _around(words, i, d.window)))
+    return out, len(words)
 
 
 def _evidence_rows(docs: DataFrame, d: Disclosure) -> DataFrame:
-    """(entity, term, around): evidence, each once in a piece of texts."""
+    """(entity, term, around, words): evidence, each once in a piece of texts; a row without entity has the words of the piece."""
 
     def run(ids: list, rows: list[str]) -> dict:
-        found = {x for t in rows for x in evidence(t, d)}
-        return {"entity": [k[0] for k in found], "term": [k[1] for k in found], "around": [k[2] for k in found]}
-
-    return common.per_text(docs, run, "entity long, term string, around long")
-
+        found: set = set()
+        total = 0
+        for t in rows:
+            own, n = evidence(t, d)
+            found |= own
+            total += n
+        flat = [*found, (None, None, None)]
+        return {"entity": [k[0] for k in flat], "term": [k[1] for k in flat], "around": [k[2] for k in flat], "words": [0] * len(found) + [total]}
 
-def _blocks(rows: DataFrame, column: str, size: int) -> Iterator[set[str]]:
-    """A column's values in sets of ``size`` at most: what the executors get at once is bounded."""
-    held: set[str] = set()
-    for row in rows.select(column).toLocalIterator():
-        held.add(row[0])
-        if len(held) >= size:
-            yield held
-            held = set()
-    if held:
-        yield held
+    return common.per_text(docs, run, "entity long, term string, around long, words long")
 
 
-def _bounds(rows: DataFrame, size: int) -> Iterator[dict[str, int]]:
-    """(term, most) in dicts of ``size`` at most."""
-    held: dict[str, int] = {}
-    for row in rows.toLocalIterator():
-        held[row.term] = row.most
-        if len(held) >= size:
-            yield held
-            held = {}
-    if held:
-        yield held
+def _sent(terms: DataFrame, columns: list[str], bound: int) -> list | None:
+    """The rows if there are no more than ``bound``."""
+    rows = terms.select(*columns).limit(bound + 1).collect()
+    return rows if len(rows) <= bound else None
 
 
-def _occurrences(docs: DataFrame, most: dict[str, int], d: Disclosure) -> DataFrame:
-    """(term, around): the surroundings of the terms in all texts, each once in a piece of texts.
+def _occurrences(docs: DataFrame, terms: DataFrame, d: Disclosure) -> DataFrame:
+    """(term, around): the surroundings in all texts of the terms (term, most), each once in a piece of texts.
 
     A term with more than ``most`` surroundings in one piece is over its bound in the corpus too: its row has no surrounding.
+    Up to ``block`` terms are sent to the executors; beyond that the words of all texts are joined to them.
     """
-    held = docs.sparkSession.sparkContext.broadcast(most)
+    rows = _sent(terms, ["term", "most"], d.block)
+    held = None if rows is None else docs.sparkSession.sparkContext.broadcast({r.term: r.most for r in rows})
 
     def run(ids: list, rows: list[str]) -> dict:
-        bound = held.value
-        terms: dict[str, str | None] = {}
+        bound = held.value if held is not None else None
+        known: dict[str, str | None] = {}
         found: dict[str, set[int]] = {}
         for t in rows:
             words = t.split()
             for i, w in enumerate(words):
-                if w not in terms:
+                if w not in known:
                     term = term_of(w, d.letters)
-                    terms[w] = term if term in bound else None
-                if (term := terms[w]) is not None:
+                    known[w] = term if bound is None or term in bound else None
+                if (term := known[w]) is not None:
                     seen = found.setdefault(term, set())
-                    if len(seen) <= bound[term]:
+                    if bound is None or len(seen) <= bound[term]:
                         seen.add(_around(words, i, d.window))
-        out = [(term, a) for term, seen in found.items() for a in (seen if len(seen) <= bound[term] else (None,))]
+        out = [(term, a) for term, seen in found.items() for a in (seen if bound is None or len(seen) <= bound[term] else (None,))]
         return {"term": [x[0] for x in out], "around": [x[1] for x in out]}
 
-    return common.per_text(docs, run, "term string, around long")
+    every = common.per_text(docs, run, "term string, around long")
+    return every if held is not None else every.join(terms.select("term"), "term", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame, d: Disclosure = Disclosure(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, entity, n_near, n_all, bits): the terms of the corpus that reveal a protected entity."""
     spark = docs.sparkSession
     own = common.texts(docs, key, text)
-    near = _evidence_rows(own, d).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_near"))
-    near = common.materialise(near.filter(F.col("n_near") >= d.support), "near")
-    totals = None
-    for block in _bounds(near.groupBy("term").agg(F.floor(F.max("n_near") / F.lit(d.share)).alias("most")), d.block):
-        part = _occurrences(own, block, d)
-        totals = part if totals is None else totals.unionByName(part)
-    if totals is None:
-        return spark.createDataFrame([], "term string, entity long, n_near long, n_all long, bits double")
-    every = totals.distinct().groupBy("term").agg(F.count("around").alias("n_all"), F.count_if(F.col("around").isNull()).alias("over"))
-    every = every.filter(F.col("over") == 0).drop("over")
-    # the information that the term gives on the entity: its share near the entity against the entity's share of all windows
-    by_entity = near.groupBy("entity").agg(F.max("n_near").alias("n_entity"))
-    sizes = own.select(F.xxhash64("text").alias("h"), F.size(F.split(F.trim("text"), r"\s+")).alias("n")).distinct()  # copies count once
-    n_words = sizes.select(F.sum("n").cast("double")).first()[0]
+    seen = common.materialise(_evidence_rows(own, d).groupBy("entity", "term", "around").agg(F.sum("words").alias("words")), "evidence")
+    near = seen.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= d.support)
+    near = common.materialise(near, "near")
+    wanted = near.groupBy("term").agg(F.floor(F.max("n_near") / F.lit(d.share)).alias("most"))
+    every = _occurrences(own, wanted, d).groupBy("term", "around").agg(F.count("*").alias("c")).groupBy("term")
+    every = every.agg(F.count("around").alias("n_all"), F.count_if(F.col("around").isNull()).alias("over")).filter("over = 0").drop("over")
+    every = common.materialise(every, "every")
+    by_entity = seen.filter("entity IS NOT NULL AND term IS NULL").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_words = seen.filter("entity IS NULL").agg(F.sum("words").cast("double").alias("w")).first()[0] or 0.0
     scored = near.join(every, "term").join(by_entity, "entity")
+    # P(entity near | term) against P(entity near): its windows' share of all places
     bits = F.log2(F.col("n_near") * F.lit(n_words) / (F.col("n_all") * F.col("n_entity") * (2.0 * d.window)))
-    return scored.withColumn("bits", bits).filter((F.col("n_near") >= d.share * F.col("n_all")) & (F.col("bits") >= d.bits)).select("term", "entity", "n_near", "n_all", "bits")
+    return scored.withColumn("bits", bits).filter((F.col("n_near") >= d.share * F.col("n_all")) & (F.col("bits") >= d.bits)).select("term", "entity", "n_near", "n_all", "n_entity", "bits")
 
 
-def term_spans(text: str, terms: set[str], letters: int) -> list[tuple[int, int, str]]:
+def term_spans(text: str, terms: set[str] | frozenset[str], letters: int) -> list[tuple[int, int, str]]:
     """Spans of the terms that stand in a text, without the marks at their ends."""
     if not terms or not any(term_of(w, letters) in terms for w in {*text.split()}):
         return []
@@ -222,11 +217,18 @@ def term_spans(text: str, terms: set[str], letters: int) -> list[tuple[int, int,
 
 
 def merged(base: list[tuple[int, int, str]], terms: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """All spans in order; terms inside base spans are left out."""
-    return sorted(base + [s for s in terms if not any(a < s[1] and s[0] < b for a, b, _ in base)], key=lambda s: (s[0], _ORDER[s[2]]))
-
-
-def all_spans(text: str, terms: set[str], letters: int) -> list[tuple[int, int, str]]:
+    """All spans in order; terms that touch base spans are left out.  Both lists come in order."""
+    out, k, reach = list(base), 0, 0
+    for t in terms:
+        while k < len(base) and base[k][0] < t[1]:
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= t[0]:
+            out.append(t)
+    return sorted(out, key=lambda s: (s[0], _ORDER[s[2]]))
+
+
+def all_spans(text: str, terms: set[str] | frozenset[str], letters: int) -> list[tuple[int, int, str]]:
     return merged(base_spans(text), term_spans(text, terms, letters))
 
 
@@ -234,33 +236,27 @@ def written(spans: Iterable[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def _terms(docs: DataFrame, d: Disclosure, key: str, text: str) -> Iterator[set[str]]:
-    """The disclosing terms in bounded blocks, the empty set if there are none."""
+def _with_terms(docs: DataFrame, d: Disclosure, key: str, text: str) -> tuple[DataFrame, object]:
+    """The rows with ``_terms``, the disclosing terms of the text, if they had to be joined, and else the terms, sent to the executors."""
+    spark = docs.sparkSession
     terms = common.materialise(disclosing_terms(docs, d, key, text).select("term").distinct(), "terms")
-    some = False
-    for block in _blocks(terms, "term", d.block):
-        some = True
-        yield block
-    if not some:
-        yield set()
+    rows = _sent(terms, ["term"], d.block)
+    if rows is not None:
+        return docs.withColumn("_terms", F.lit(None).cast("array<string>")), spark.sparkContext.broadcast(frozenset(r.term for r in rows))
 
+    @F.pandas_udf("array<string>")
+    def words(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: sorted({x for w in {*(t or "").split()} if (x := term_of(w, d.letters))}))
 
-def _places(held, d: Disclosure):
-    return common.text_udf(lambda rows: ["".join(f"{a}:{b}," for a, b, _ in term_spans(t or "", held.value, d.letters)) for t in rows], "string")
-
-
-def _cleaned(held, d: Disclosure, generalise: bool):
-    return common.text_udf(lambda rows: [None if t is None else clean(t, all_spans(t, held.value, d.letters), generalise) for t in rows], "string")
+    digest = F.unhex(F.sha2(F.col(text).cast("string"), 256))
+    held = docs.select(digest.alias("_digest"), F.explode(words(F.col(text).cast("string"))).alias("term")).distinct().join(terms, "term")
+    held = held.groupBy("_digest").agg(F.collect_set("term").alias("_terms"))
+    return docs.withColumn("_digest", digest).join(held, "_digest", "left").drop("_digest"), spark.sparkContext.broadcast(frozenset())
 
 
 def find(docs: DataFrame, d: Disclosure = Disclosure(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row."""
-    spark = docs.sparkSession
-    own = common.texts(docs, key, text).withColumn("terms", F.lit(""))
-    for block in _terms(docs, d, key, text):
-        if block:
-            own = own.withColumn("terms", F.concat("terms", _places(spark.sparkContext.broadcast(block), d)("text")))
-
+    own, held = _with_terms(common.texts(docs, key, text), d, "doc_id", "text")
     out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,12 +266,12 @@ def find(docs: DataFrame, d: Disclosure = Disclosure(), key: str = "doc_id", tex
                 rows = []
                 for doc_id, t, terms in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     base = base_spans(t or "")
-                    extra = [(int(a), int(b), "term") for a, b in (x.split(":") for x in terms.split(",") if x)]
                     kinds = Counter(s[2] for s in base)
-                    rows.append((doc_id, *(kinds[k] for k in KINDS[:4]), hashlib.sha256(written(base).encode()).hexdigest(), written(merged(base, extra))))
+                    all_ = merged(base, term_spans(t or "", held.value or frozenset(terms or ()), d.letters))
+                    rows.append((doc_id, *(kinds[k] for k in KINDS[:4]), hashlib.sha256(written(base).encode()).hexdigest(), written(all_)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    return own.select("doc_id", "text", "terms").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return own.select("doc_id", "text", "_terms").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def clean(text: str, spans: list[tuple[int, int, str]], generalise: bool = True) -> str:
@@ -291,7 +287,11 @@ def clean(text: str, spans: list[tuple[int, int, str]], generalise: bool = True)
 
 def sanitise(docs: DataFrame, d: Disclosure = Disclosure(), generalise: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same rows and columns with sanitised texts; null texts stay null."""
-    spark = docs.sparkSession
-    for block in _terms(docs, d, key, text):
-        docs = docs.withColumn(text, _cleaned(spark.sparkContext.broadcast(block), d, generalise)(F.col(text).cast("string")))
-    return docs
+    own, held = _with_terms(docs, d, key, text)
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        rows = ((t, held.value or frozenset(() if x is None else x)) for t, x in zip(texts, terms))
+        return pd.Series([None if t is None else clean(t, all_spans(t, x, d.letters), generalise) for t, x in rows], index=texts.index, dtype="object")
+
+    return own.withColumn(text, cleaned(F.col(text).cast("string"), F.col("_terms"))).select(docs.columns)

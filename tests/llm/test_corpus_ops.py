@@ -36,7 +36,7 @@ def test_nothing_is_lost_in_depth_or_by_longer_names():
 
 
 def plain_counts(pages):
-    """Hash counts by another way: every block's tags and words written out as a string, counted over different pages."""
+    """Hash counts by another way: every block's tags and words written out as a string, counted over page ids."""
     def spelled(node):
         return (node.tag, *(" ".join(x.split()) if isinstance(x, str) else spelled(x) for x in node.children if (x.split() if isinstance(x, str) else x.tag not in ("script", "style"))))
 
@@ -48,10 +48,10 @@ def plain_counts(pages):
                 yield from blocks(x)
 
     seen = {}
-    for _, url, html, *_ in pages:
+    for i, url, html, *_ in pages:
         root = html_text.parse(html or "")
         for b in {*blocks(root)}:
-            seen.setdefault((html_text.host_of(url), b), set()).add(spelled(root))
+            seen.setdefault((html_text.host_of(url), b), set()).add(i)
     return sorted(len(s) for s in seen.values())
 
 
@@ -140,11 +140,58 @@ def test_terms_that_reveal(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df, d).collect()}
     assert "Zebulon" not in clean[3] and "[TERM]" in clean[3] and "[EMAIL]" in clean[3] and clean[200] is None
     assert clean[51] == "Copied Wording here with [EMAIL] and more text"
-    small = pii.Disclosure(bits=4, block=1)  # many blocks give the same
+    small = pii.Disclosure(bits=4, block=0)  # joined, they give the same
     assert {(r.doc_id, r.spans) for r in pii.find(df, small).collect()} == got
+    assert {r.doc_id: r.text for r in pii.sanitise(df, small).collect()} == clean and pii.sanitise(df, small).columns == df.columns
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_information_is_that_of_the_entitys_own_windows(spark):
+    """Against a count by hand: n_near / n_all over n_entity windows of all words."""
+    import math
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["stoning", "waters", "papers", "lighted"]) + str(rng.randint(0, 99)) for _ in range(n))
+    texts = [f"{prose(60)} {'Zebulon ' if i < 6 else ''}{prose(1)} z.q@mail.example {prose(60)}" for i in range(10)] + [f"{prose(30)} Zebulon {prose(30)}" for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d = pii.Disclosure(bits=0, support=6)
+    r = {r.term: r for r in pii.disclosing_terms(df, d).collect()}["zebulon"]
+    words = sum(len(t.split()) for t in texts)
+    assert (r.n_near, r.n_all, r.n_entity) == (6, 8, 10)
+    assert abs(r.bits - math.log2(6 / 8 * words / (10 * 2 * d.window))) < 1e-9
+
+
+def test_terms_through_the_registered_query(spark, tmp_path):
+    from factloom.llm import queries
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [f"{prose(150)} Zebulon {prose(1)} z.q@mail.example {prose(150)}" for _ in range(9)] + [prose(400) for _ in range(120)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op9_pii"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t or "")
+        at = (t or "").find("Zebulon")
+        want = sorted(base + ([(at, at + 7, "term")] if at >= 0 else []))
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for a, b, k in want) and got[i].n_email == len(base)
+
+
+def test_spans_merge_in_linear_time():
+    import time
+
+    text = " ".join(f"a{i}@b.example Zebulon, {i}" for i in range(40_000))
+    began = time.process_time()
+    found = pii.all_spans(text, {"zebulon"}, 4)
+    assert len(found) == 80_000 and time.process_time() - began < 20
+    rng = random.Random(1)
+    for _ in range(300):
+        base = sorted({(a, a + rng.randint(1, 9), "email") for a in rng.sample(range(60), 6)})
+        terms = sorted({(a, a + rng.randint(1, 5), "term") for a in rng.sample(range(60), 6)})
+        assert pii.merged(base, terms) == sorted(base + [t for t in terms if not any(a < t[1] and t[0] < b for a, b, _ in base)], key=lambda s: (s[0], pii._ORDER[s[2]]))
+
+
 # --- 10
 
 def edit_distance_within(item, text):
