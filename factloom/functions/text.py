@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.dims import SWEEP
+
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
@@ -14,10 +18,10 @@ def tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end at . ; : before white space; points in numbers (4.8) and after single letters (e.d.) end none."""
+    """Sentences end at . ; : before white space; points in numbers (4.8) end none, nor those after a single letter that another
+    such letter or a number follows (e.d. 34)."""
     t = F.regexp_replace(text, r"([0-9])\.([0-9])", "$1\u0001$2")
-    for _ in range(2):  # neighbours as in e.d. share a point
-        t = F.regexp_replace(t, r"(^|[^\p{L}\p{N}_])([A-Za-z])\.", "$1$2\u0001")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])([A-Za-z])\.(?=[A-Za-z]\.|\s*[0-9])", "$1\u0001")
     t = F.regexp_replace(t, r"([.;:])\s+", "$1\u0002")
     parts = F.transform(F.split(t, "\u0002"), lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit("."))))
     return F.filter(parts, lambda s: s != "")
@@ -78,7 +82,54 @@ def plural(word: str, items: Column) -> Column:
 
 
 def is_meaningful(value: Column, dull: tuple[str, ...] = ("normal", "none", "regular", "not_applicable", "fully_erupted", "complete", "well")) -> Column:
-    return value.isNotNull() & (value != "") & ~value.isin(*dull)
+    """Whether an answer says more than that all is well; case and blanks at its ends do not matter."""
+    said = F.lower(F.trim(value))
+    return F.coalesce((said != "") & ~said.isin(*dull), F.lit(False))
+
+
+def ranges_in(text: Column) -> Column:
+    """The ranges of positions in a text ("17 to 27", "34-37") as an array of structs (first, last)."""
+    flat = F.regexp_replace(text, r"([0-9])\.([0-9])", "$1$2")
+    pattern = r"\b([1-4][1-8])\s*(?:to|-|–|—|until|through)\s*([1-4][1-8])\b"
+    firsts, lasts = (F.regexp_extract_all(flat, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    return F.zip_with(firsts, lasts, lambda x, y: F.struct(x.cast("int").alias("first"), y.cast("int").alias("last")))
+
+
+def named_positions(text: Column) -> Column:
+    """All positions a text names, deciduous ones too, and those inside its ranges along the arch, in ascending order."""
+    flat = F.regexp_replace(text, r"([0-9])\.([0-9])", "$1$2")
+    named = F.transform(F.regexp_extract_all(flat, F.lit(r"\b([1-8][1-8])\b"), F.lit(1)), lambda x: x.cast("int"))
+
+    def inside(r: Column) -> Column:
+        swept = [F.array(*map(F.lit, order)) for order in SWEEP.values()]
+        cut = lambda order: F.slice(order, F.least(*(F.array_position(order, r[k]) for k in ("first", "last"))).cast("int"), (F.abs(F.array_position(order, r["first"]) - F.array_position(order, r["last"])) + 1).cast("int"))
+        in_one = lambda order: F.array_contains(order, r["first"]) & F.array_contains(order, r["last"])
+        return F.when(in_one(swept[0]), cut(swept[0])).when(in_one(swept[1]), cut(swept[1])).otherwise(F.array().cast("array<int>"))
+
+    return F.array_sort(F.array_distinct(F.concat(named, F.flatten(F.transform(ranges_in(text), inside)))))
+
+
+def position_list(values: Column, arch: str, ascending: bool = False) -> Column:
+    """Texts as positions of an arch: digits only, each once, along the arch or in ascending order."""
+    digits = F.filter(F.transform(values, lambda v: F.when(F.trim(v).rlike(r"^[0-9]{2}$"), F.trim(v).cast("int"))), lambda x: x.isNotNull())
+    kept = F.array_intersect(F.array(*map(F.lit, SWEEP[arch])), digits)
+    return F.array_sort(kept) if ascending else kept
+
+
+def without_label(text: Column, label: str) -> Column:
+    """A text without its leading label ("Mandible: ..."), unless nothing else would be left."""
+    body = F.trim(F.regexp_replace(text, rf"(?i)^\s*{re.escape(label)}\s*:\s*", ""))
+    return F.when(body == "", F.trim(text)).otherwise(body)
+
+
+def short_fact(name: Column) -> Column:
+    """``tooth_36_eruption`` -> ``eruption``: a position's fact without its position."""
+    return F.regexp_replace(name, r"^tooth_(?:[0-9]{2}|NN)_", "")
+
+
+def mention_rate(text: Column, pattern: str) -> Column:
+    """An aggregate: the share of texts that match."""
+    return F.avg(F.coalesce(text.rlike(pattern), F.lit(False)).cast("int"))
 
 
 def as_bool(value: Column) -> Column:

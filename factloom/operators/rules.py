@@ -13,6 +13,8 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.dims import SWEEP
+
 
 @dataclass(frozen=True)
 class RuleConfig:
@@ -109,8 +111,11 @@ def canals(df: DataFrame, c: RuleConfig) -> DataFrame:
 
 
 def atrophy(df: DataFrame, c: RuleConfig) -> DataFrame:
-    arch = F.sequence(F.lit(31), F.lit(38))
-    return df.withColumn("atrophy", F.coalesce("atrophy", F.lit(False)) | (F.size(F.array_except(arch, "absent")) == 0))
+    """An arch without any of its sixteen positions is atrophic: ``atrophy`` for the mandible, which keeps what was stated, and
+    ``atrophy_maxilla``."""
+    gone = F.coalesce("absent", F.array().cast("array<int>"))
+    bare = {arch: F.size(F.array_except(F.array(*map(F.lit, order)), gone)) == 0 for arch, order in SWEEP.items()}
+    return df.withColumns({"atrophy": F.coalesce("atrophy", F.lit(False)) | bare["mandible"], "atrophy_maxilla": bare["maxilla"]})
 
 
 def condyle(df: DataFrame, c: RuleConfig) -> DataFrame:

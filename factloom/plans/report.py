@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_list, plural
+from .dims import SWEEP
 
 LEVEL = (("complete", "completely"), ("none", "not"))
 
@@ -129,10 +130,11 @@ def assembled(*parts: Column) -> Column:
 
 def mandible(df: DataFrame) -> DataFrame:
     """(case_id, report) of summaries with the columns the rule engine leaves."""
-    gone = F.size(F.array_except(F.sequence(F.lit(31), F.lit(38)), F.coalesce("absent", F.array().cast("array<int>")))) == 0
+    lower = F.filter(F.coalesce("absent", F.array().cast("array<int>")), lambda x: x > 30)
+    gone = F.size(F.array_except(F.array(*map(F.lit, SWEEP["mandible"])), lower)) == 0
     parts = (
         edentulism("mandible", gone, F.coalesce("atrophy", F.lit(False))), scope("mandible", F.col("level")),
-        F.when(~gone, absent(F.col("pattern"), F.col("absent"), F.col("atrophy"), (48, 38))),
+        F.when(~gone, absent(F.col("pattern"), lower, F.col("atrophy"), (48, 38))),
         canal("right", F.col("canal"), F.array().cast("array<int>")), impacted(F.col("impacted")), endodontic(F.col("endodontic")),
         fillings(F.col("fillings")), condyles(F.array("condyle")),
     )

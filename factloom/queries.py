@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import repair, text, verdicts
@@ -31,7 +31,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
-SENTENCES_SQL = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '(^|[^\p{{L}}\p{{N}}_])([A-Za-z])\.', '\1\2' || chr(1), 'g'), '(^|[^\p{{L}}\p{{N}}_])([A-Za-z])\.', '\1\2' || chr(1), 'g'), '([.;:])\s+', '\1' || chr(2), 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')"""
+_ABBREVIATION = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}_])([A-Za-z])\.([A-Za-z]\.|\s*[0-9])', '\1\2' || chr(1) || '\3', 'g')"
+_GUARDED = r"regexp_replace({0}, '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g')"
+for _ in range(6):  # without look-ahead a chain of letters takes a pass for each
+    _GUARDED = _ABBREVIATION.replace("{0}", _GUARDED)
+SENTENCES_SQL = r"list_filter(list_transform(string_split(regexp_replace(GUARDED, '([.;:])\s+', '\1' || chr(2), 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')".replace("GUARDED", _GUARDED)
 
 
 # --- scalar functions
@@ -71,12 +75,14 @@ def enum_repair(spark, sf_dir):
     return rows.select("p_partkey", "raw", text.enum_by_prefix(F.col("raw"), ["economy", "small", "medium", "promo", "standard", "large"]).alias("repaired"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_id % 4 <> 3""")
+@query("""SELECT event_id, CASE WHEN event_id % 6 IN (3, 4, 5) THEN NULL ELSE CAST(json_extract(props, '$.k') AS INT) END AS k FROM events""")
 def json_repair(spark, sf_dir):
-    n = F.col("event_id") % 4
-    mangled = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(n == 2, F.regexp_replace("props", r"\}\s*$", "")).otherwise(F.lit('{"k": "cut'))
+    """Whole, fenced and cut records are read; those cut in a string, going on with a comma, or no objects are not."""
+    n = F.col("event_id") % 6
+    kinds = [F.col("props"), F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")), F.regexp_replace("props", r"\}\s*$", ""), F.lit('{"k": "cut'), F.concat(F.col("props"), F.lit(', "b": 2}')), F.lit("12")]
+    mangled = F.coalesce(*(F.when(n == i, x) for i, x in enumerate(kinds)))
     rows = _read(spark, sf_dir, "events").select("event_id", mangled.alias("m"))
-    return rows.select("event_id", F.get_json_object(repair.parse(F.col("m")), "$.k").cast("int").alias("k")).filter("k IS NOT NULL")
+    return rows.select("event_id", F.get_json_object(repair.parse(F.col("m")), "$.k").cast("int").alias("k"))
 
 
 @query("""SELECT event_id, user_id, event_type, 'k' AS field, CAST(json_extract(props, '$.k') AS INT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL""")
@@ -180,12 +186,14 @@ def dedupe_last(spark, sf_dir):
     return readers.latest(rows, ["user_id", "event_type"], "o").select("event_id", "user_id", "event_type")
 
 
-@query("""WITH a AS (SELECT p_partkey, p_type AS v FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS v FROM part WHERE p_partkey % 7 <> 0)
- SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.v IS NOT DISTINCT FROM b.v THEN a.v END AS v, a.v IS DISTINCT FROM b.v AS differs FROM a FULL JOIN b ON a.p_partkey = b.p_partkey""")
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem), b AS (SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN p_type END AS v FROM part), x AS (SELECT p_partkey AS k, p_type AS v FROM part JOIN a ON p_partkey = a.k)
+ SELECT coalesce(x.k, b.k) AS p_partkey, CASE WHEN x.v IS NOT DISTINCT FROM b.v THEN x.v END AS v, x.v IS DISTINCT FROM b.v AS differs FROM x FULL JOIN b ON x.k = b.k""")
 def null_disagreement(spark, sf_dir):
-    part, k = _read(spark, sf_dir, "part"), F.col("p_partkey")
-    a = part.filter(k % 5 != 0).select("p_partkey", F.col("p_type").alias("v"))
-    b = part.filter(k % 7 != 0).select("p_partkey", F.when(k % 3 != 0, F.col("p_type")).alias("v"))
+    """One reading has the parts that were ordered, the other all parts, without the type of small ones."""
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    ordered = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    a = part.join(ordered, "p_partkey", "left_semi").select("p_partkey", F.col("p_type").alias("v"))
+    b = part.select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_type")).alias("v"))
     return votes.null_disagreement(a, b, ["p_partkey"], "v")
 
 
@@ -239,7 +247,7 @@ def field_survey(spark, sf_dir):
     return metrics.survey(both.select(F.inline(fields)), "field", "p", "t")
 
 
-_PAIRS_SQL = """p AS (SELECT d.doc_id, d.lang, {0} AS c, {1} AS r FROM (SELECT doc_id, lang, substr(text, 1, 600) AS text FROM documents) d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark) b ON (d.doc_id % b.n = b.k OR (d.doc_id + 1) % b.n = b.k))""".format(TOKENS_SQL.format("d.text"), TOKENS_SQL.format("b.text"))
+_PAIRS_SQL = """p AS (SELECT d.doc_id, d.lang, {0} AS c, {1} AS r FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark) b ON (d.doc_id % b.n = b.k OR (d.doc_id + 1) % b.n = b.k))""".format(TOKENS_SQL.format("d.text"), TOKENS_SQL.format("b.text"))
 
 
 def _bleu_sql(by: str, corpus: bool) -> str:
@@ -255,25 +263,31 @@ def _bleu_sql(by: str, corpus: bool) -> str:
  SELECT s.{by}, round(CASE WHEN coalesce(h1.h, 0) = 0 THEN 0 ELSE CASE WHEN cl > s.rl THEN 1 ELSE exp(1 - s.rl / cl) END * exp(({' + '.join(counts)}) / 4) END, 6) AS bleu FROM s {joins}"""
 
 
-def _pairs(spark, sf_dir):
-    """Each document against two passages: a fixed pairing by ids, with token arrays of the whole texts."""
+def _with_references(spark, sf_dir):
+    """Each document with two passages, a fixed pairing by ids: (doc_id, lang, c, r1, r2), token arrays of whole texts."""
     bench = _read(spark, sf_dir, "benchmark")
     n = bench.count()
-    held = bench.groupBy().agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("all"))  # numbered by their order
-    items = held.select(F.posexplode("all").alias("k", "item")).select("k", text.tokens(F.col("item.text")).alias("r"))
-    items = F.broadcast(items) if n <= 10_000 else items
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("c"), F.explode(F.array_distinct(F.array(F.col("doc_id") % n, (F.col("doc_id") + 1) % n))).alias("k"))
-    return docs.join(items, "k").select("doc_id", "lang", "c", "r")
+    order = bench.select("item_id").withColumn("g", F.floor(F.col("item_id") / 1000))
+    # numbered by item_id: a running count of groups of ids, and a rank inside each
+    sizes = order.groupBy("g").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("item_id"))
+    items = bench.withColumn("g", F.floor(F.col("item_id") / 1000)).withColumn("rank", rank).join(sizes, "g").select((F.col("base") + F.col("rank") - 1).alias("k"), text.tokens(F.col("text")).alias("r"))
+    side = (lambda d: F.broadcast(d)) if n <= 10_000 else (lambda d: d)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("c"), (F.col("doc_id") % n).alias("k1"), ((F.col("doc_id") + 1) % n).alias("k2"))
+    one, two = items.select(F.col("k").alias("k1"), F.col("r").alias("r1")), items.select(F.col("k").alias("k2"), F.col("r").alias("r2"))
+    return docs.join(side(one), "k1").join(side(two), "k2").select("doc_id", "lang", "c", "r1", "r2")
 
 
 @query(_bleu_sql("lang", True))
 def bleu4_corpus(spark, sf_dir):
-    return metrics.bleu(_pairs(spark, sf_dir), ["lang"], "doc_id", "c", "r")
+    rows = _with_references(spark, sf_dir).select("lang", "c", F.array("r1", "r2").alias("rs"))
+    return metrics.bleu_of(rows, ["lang"], "c", "rs")
 
 
 @query(_bleu_sql("doc_id", False))
 def bleu4_case(spark, sf_dir):
-    return metrics.bleu(_pairs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("one"), "c", "r"), ["doc_id"], "one", "c", "r")
+    rows = _with_references(spark, sf_dir).select("doc_id", "c", F.array("r1", "r2").alias("rs"))
+    return metrics.bleu_of(rows, ["doc_id"], "c", "rs")
 
 
 _METEOR_SQL = f"""WITH {_PAIRS_SQL}, q AS (SELECT *, row_number() OVER () AS id FROM p),
@@ -288,8 +302,9 @@ _METEOR_SQL = f"""WITH {_PAIRS_SQL}, q AS (SELECT *, row_number() OVER () AS id
 @query(_METEOR_SQL + "SELECT doc_id, max(round(meteor, 6)) AS meteor FROM e GROUP BY doc_id")
 def meteor_lite(spark, sf_dir):
     """The best of a document's references."""
-    pairs = _pairs(spark, sf_dir).withColumn("r_id", F.xxhash64("r"))
-    return metrics.meteor_lite(pairs, ["doc_id", "r_id"], "c", "r").groupBy("doc_id").agg(F.max("meteor").alias("meteor"))
+    rows = _with_references(spark, sf_dir)
+    first, second = (metrics.meteor_lite(rows, ["doc_id"], "c", r) for r in ("r1", "r2"))
+    return first.unionAll(second).groupBy("doc_id").agg(F.max("meteor").alias("meteor"))
 
 
 @query("""SELECT event_type, round(p, 6) AS mean_p, round(sd, 6) AS sd_p, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS clinical,
@@ -319,14 +334,17 @@ def gaps_islands(spark, sf_dir):
     return series.longest_run(days, ["user_id"], "d")
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber AS n, min(l_quantity) AS q FROM lineitem GROUP BY ALL), s AS (SELECT l_orderkey, unnest(range(1, 8)) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem)),
- f AS (SELECT s.l_orderkey, s.n, a.q FROM s LEFT JOIN a ON s.l_orderkey = a.l_orderkey AND s.n = a.n),
- w AS (SELECT *, max(CASE WHEN q IS NOT NULL THEN n END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x, min(CASE WHEN q IS NOT NULL THEN n END) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM f)
- SELECT w.l_orderkey, w.n, round(CASE WHEN w.q IS NOT NULL THEN w.q WHEN x IS NULL THEN b.q WHEN y IS NULL THEN a.q ELSE a.q + (b.q - a.q) * (w.n - x) / (y - x) END, 6) AS filled
- FROM w LEFT JOIN a ON a.l_orderkey = w.l_orderkey AND a.n = w.x LEFT JOIN a b ON b.l_orderkey = w.l_orderkey AND b.n = w.y""")
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber AS n, min(l_quantity) AS q FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL),
+ k AS (SELECT l_orderkey, list({'n': n, 'q': q} ORDER BY n) AS p FROM a GROUP BY l_orderkey),
+ e AS (SELECT l_orderkey, i AS n, len(p) AS c, list_filter(p, lambda x: x.n < i) AS l, list_filter(p, lambda x: x.n = i) AS m, list_filter(p, lambda x: x.n > i) AS r FROM (SELECT *, unnest(range(1, 9)) AS i FROM k))
+ SELECT l_orderkey, n, round(CASE WHEN len(m) > 0 THEN m[1].q WHEN c < 2 THEN NULL
+   WHEN len(l) > 0 AND len(r) > 0 THEN l[-1].q + (r[1].q - l[-1].q) * (n - l[-1].n) / (r[1].n - l[-1].n)
+   WHEN len(r) = 0 THEN l[-1].q + (l[-1].q - l[-2].q) / (l[-1].n - l[-2].n) * (n - l[-1].n)
+   ELSE r[1].q + (r[2].q - r[1].q) / (r[2].n - r[1].n) * (n - r[1].n) END, 6) AS filled FROM e""")
 def interp_missing(spark, sf_dir):
-    given = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").alias("q"))
-    slots = given.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("n", "q"))).alias("m")).select("l_orderkey", F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct(i.alias("n"), F.try_element_at("m", i).alias("q")))).alias("s")).select("l_orderkey", "s.n", "s.q")
+    """Eight places of an order; those of returned lines and beyond its last one are missing."""
+    given = _read(spark, sf_dir, "lineitem").filter("l_returnflag <> 'A'").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").alias("q"))
+    slots = given.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("n", "q"))).alias("m")).select("l_orderkey", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.struct(i.alias("n"), F.try_element_at("m", i).alias("q")))).alias("s")).select("l_orderkey", "s.n", "s.q")
     return series.interpolate(slots, ["l_orderkey"], "n", "q").select("l_orderkey", F.col("n").cast("long").alias("n"), F.round("filled", 6).alias("filled"))
 
 
@@ -423,16 +441,30 @@ def label_histogram(spark, sf_dir):
     return volumes.histogram(_read(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_linenumber", 0.3)
 
 
-@query("""WITH o AS (SELECT quantile_cont(l_extendedprice::DOUBLE, 0.02) AS a, quantile_cont(l_extendedprice::DOUBLE, 0.98) AS b FROM lineitem)
- SELECT round(quantile_cont(l_extendedprice::DOUBLE, 0.02), 6) AS low, round(quantile_cont(l_extendedprice::DOUBLE, 0.98), 6) AS high FROM lineitem, o WHERE l_extendedprice BETWEEN a AND b""")
+@query("""WITH e AS (SELECT quantile_cont(l_extendedprice::DOUBLE, 0.01) AS a, quantile_cont(l_extendedprice::DOUBLE, 0.999) AS t, count(*) AS n FROM lineitem),
+ b AS (SELECT l_extendedprice::DOUBLE AS v, l_extendedprice > a + 0.1 * (t - a) AS fg, n FROM lineitem, e), c AS (SELECT *, count(*) FILTER (fg) OVER () < 0.02 * n AS few FROM b)
+ SELECT round(quantile_cont(v, 0.01), 6) AS low, round(quantile_cont(v, 0.995), 6) AS high FROM c WHERE fg OR few""")
 def percentile_window(spark, sf_dir):
-    return volumes.percentile_window(_read(spark, sf_dir, "lineitem"), "l_extendedprice", 0.02, 0.98)
+    return volumes.percentile_window(_read(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
-@query("""WITH p AS (SELECT l_suppkey, count(*) AS n, quantile_cont(l_extendedprice::DOUBLE, 0.98) AS p FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 50)
- SELECT round(CASE WHEN count(*) >= 4 THEN 1.15 * median(p) ELSE min(p) END, 6) AS ceiling, count(*) AS n_labels FROM p""")
+_CEILING_SQL = """WITH x AS (SELECT l_suppkey AS l, l_extendedprice::DOUBLE AS v, {0} AS bone FROM lineitem), p AS (SELECT l, count(*) AS n, quantile_cont(v, 0.98) AS p FROM x WHERE NOT bone GROUP BY l),
+ b AS (SELECT CASE WHEN count(*) >= 200 THEN quantile_cont(v, 0.99) END AS p99 FROM x WHERE bone), w AS (SELECT quantile_cont(v, 0.999) AS hi FROM x),
+ t AS (SELECT sum(n) AS teeth, count(*) FILTER (n >= 50) AS k, median(p) FILTER (n >= 50) AS m, min(p) FILTER (n >= 50) AS low FROM p),
+ s AS (SELECT *, CASE WHEN teeth >= 200 AND k >= 4 THEN 1.15 * m WHEN teeth >= 200 AND k > 0 THEN 1.15 * low END AS peak FROM t, b, w)
+ SELECT round(CASE WHEN peak IS NOT NULL THEN CASE WHEN p99 > 0 THEN least(peak, 2.5 * p99) ELSE peak END WHEN p99 IS NOT NULL THEN 1.6 * p99 ELSE hi END, 6) AS ceiling, k AS n_labels FROM s"""
+
+
+@query(_CEILING_SQL.format("l_quantity < 10 AND l_extendedprice < 15000"))
 def robust_ceiling(spark, sf_dir):
-    return volumes.robust_ceiling(_read(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice")
+    """Suppliers as teeth; small cheap lines as bone, whose cap holds."""
+    return volumes.robust_ceiling(_read(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice", bone=(F.col("l_quantity") < 10) & (F.col("l_extendedprice") < 15000))
+
+
+@query(_CEILING_SQL.format("false").replace("l_suppkey AS l", "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS l"))
+def robust_ceiling_few(spark, sf_dir):
+    """Three labels: the least peak, with its headroom."""
+    return volumes.robust_ceiling(_read(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
 
 
 @query("""WITH e AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label AS l, i, avg(x) AS c FROM e GROUP BY ALL),

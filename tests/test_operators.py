@@ -92,7 +92,14 @@ def test_series(spark):
     rows = frame(spark, [(1, x) for x in (1, 2, 3, 3, 7, 8)] + [(2, 5)], "k int, x int")
     assert {r.k: r.longest_run for r in series.longest_run(rows, ["k"], "x").collect()} == {1: 3, 2: 1}
     holes = frame(spark, [(1, i, v) for i, v in enumerate([None, 2.0, None, None, 8.0, None])] + [(2, 0, None)], "k int, i int, v double")
-    assert [r.filled for r in series.interpolate(holes, ["k"], "i", "v").orderBy("k", "i").collect()] == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0, None]
+    assert [r.filled for r in series.interpolate(holes, ["k"], "i", "v").orderBy("k", "i").collect()] == [0.0, 2.0, 4.0, 6.0, 8.0, 10.0, None]  # beyond the ends on the line of the two nearest
+    ends = frame(spark, [(1, i, v) for i, v in enumerate([None, None, 3.0, 4.0, None])] + [(2, i, v) for i, v in enumerate([None, 7.0])], "k int, i int, v double")
+    assert [r.filled for r in series.interpolate(ends, ["k"], "i", "v").orderBy("k", "i").collect()] == [1.0, 2.0, 3.0, 4.0, 5.0, None, 7.0]
+    line = frame(spark, [(1, i, float(x), 0.0) for i, x in enumerate([0, 1, 2, 3, 50, 5, 6, 7])], "k int, i int, x double, y double")
+    assert sorted(r.x for r in series.without_outliers(line, ["k"], ["i"], "x", "y").collect()) == [0, 1, 2, 3, 5, 6, 7]
+    bent = frame(spark, [(1, 0, 0.0, 0.0), (1, 1, 3.0, 0.0), (1, 2, 3.0, 4.0)], "k int, i int, x double, y double")
+    assert [(r.s, r.x, r.y) for r in series.resampled(bent, ["k"], ["i"], "x", "y", 2.0).orderBy("s").collect()] == [(0.0, 0.0, 0.0), (2.0, 2.0, 0.0), (4.0, 3.0, 1.0), (6.0, 3.0, 3.0)]
+    assert [r.radius for r in series.curvature(bent, ["k"], ["i"], "x", "y").orderBy("i").collect()] == [None, 2.5, None]
     assert one(spark, series.is_consecutive(F.array(F.lit(3), F.lit(1), F.lit(2)))) and not one(spark, series.is_consecutive(F.array(F.lit(3), F.lit(1))))
 
 
@@ -113,6 +120,13 @@ def test_text(spark):
     assert one(spark, text.join_list(F.array(*map(F.lit, (34, 36, 47))))) == "34, 36, and 47"
     assert [one(spark, text.join_list(F.array(*map(F.lit, x)))) for x in ((1,), (1, 2))] == ["1", "1 and 2"]
     assert one(spark, text.sentences(F.lit("e.d. 48 is here. Tooth 4.8; fine:  yes"))) == ["e.d. 48 is here.", "Tooth 4.8;", "fine:", "yes"]
+    assert one(spark, text.sentences(F.lit("type B. Next e.g. this. a.b.c. 5 and x. y"))) == ["type B.", "Next e.g.", "this.", "a.b.c. 5 and x.", "y"]
+    assert [one(spark, text.is_meaningful(F.lit(x).cast("string"))) for x in (" Normal ", "", "lesion", None, "WELL")] == [False, False, True, False, False]
+    assert one(spark, text.named_positions(F.lit("teeth 1.7 to 1.4, 42-32 and 55; 18 until 48, tooth 3.6"))) == [14, 15, 16, 17, 18, 31, 32, 36, 41, 42, 48, 55]
+    values = F.array(*map(F.lit, ("48", " 31", "x", "18", "31", "4")))
+    assert one(spark, text.position_list(values, "mandible")) == [48, 31] and one(spark, text.position_list(values, "mandible", True)) == [31, 48]
+    assert [one(spark, text.without_label(F.lit(x), "Mandible")) for x in ("mandible : ok", "Mandible:", "other")] == ["ok", "Mandible:", "other"]
+    assert one(spark, text.short_fact(F.lit("tooth_36_eruption_state"))) == "eruption_state"
     assert one(spark, text.positions_in(F.lit("48, 4.8 and 1.1, 149"))) == [48, 11]
     assert [one(spark, text.enum_by_prefix(F.lit(v), ["partial", "complete", "part_time"])) for v in ("partial", "comp", "part", "", "completely")] == ["partial", "complete", None, None, "complete"]
     names = frame(spark, [("A007.txt",), ("A007_1.txt",), ("weird-name.txt",), ("A007_doctor1.txt",)], "n string")
@@ -122,7 +136,16 @@ def test_text(spark):
 
 def test_repair(spark):
     assert repair.repair('```json\n{"a": 1}\n```') == '{"a": 1}' == repair.repair('so: {"a": 1} and more') == repair.repair('{"a": 1')
-    assert [repair.repair(x) for x in (None, "", "none", '{"a": 1,', '{"a": "cu', '{"a": [1}')] == [None] * 6
+    assert [repair.repair(x) for x in (None, "", "none", '{"a": 1,', '{"a": "cu', '{"a": [1}', '{"a": 1}, "b": 2}', "12")] == [None] * 8
+    odd = frame(spark, [(x,) for x in ('{"a":1} tail', '{"a":1}, "b":2}', "12", ' {"a":1}\n', '{"a":1}, {"b":2}', '{"a":[1,{"b":2', "[1]")], "t string")
+    assert [r[0] for r in odd.select(repair.parse(F.col("t"))).collect()] == ['{"a": 1}', None, None, ' {"a":1}\n', None, '{"a": [1, {"b": 2}]}', None]
+    assert repair.loose_pairs("{state: fully_erupted, 'note': \"a, b\", teeth: [1, 2], more text}") == {"state": "fully_erupted", "note": "a, b", "teeth": "[1, 2], more text"}
+    assert repair.loose_pairs("eruption state partial, eruption none", ("eruption", "eruption state")) == {"eruption state": "partial", "eruption": "none"}
+    assert [one(spark, repair.outermost(F.lit(x))) for x in ('a {"x":{"y":1}} b', "none", "{broken")] == ['{"x":{"y":1}}', "{}", "{}"]
+    spans = one(spark, repair.with_spans([("a", F.lit("1")), ("bé", F.lit('"x"')), ("c", F.lit(None).cast("string"))]))
+    assert spans.text == '{"a": 1, "b\\u00e9": "x", "c": null}' and [spans.text[x.begin : x.end] for x in spans.spans] == ["1", '"x"', "null"]
+    noted = frame(spark, [("fully erupted",), ("partial",), ("zzz",), (None,)], "v string").select(repair.coerce_noted(F.col("v"), "enum:fully_erupted|partially").alias("c"))
+    assert [(r.c.value, r.c.note) for r in noted.collect()] == [("fully_erupted", "repaired"), ("partially", "repaired"), (None, "unreadable"), (None, None)]
     df = frame(spark, [('{"a": 1}',), ('{"a": 2',), (None,)], "t string")
     assert [r[0] for r in df.select(F.get_json_object(repair.parse(F.col("t")), "$.a")).collect()] == ["1", "2", None]
     keys = frame(spark, [("quality",), ("qualty",), ("zzz",), (None,)], "k string")
@@ -160,8 +183,12 @@ def test_report(spark):
     got = report.mandible(rules.apply(summary(spark, endodontic=[], fillings=[34, 35, 36], canal_votes=["lingual"]))).head().report
     assert got == "Mandible is partially included in the scan volume. Absence of teeth 31. Right mandibular canal with a regular course, predominantly lingual. Tooth 38 is impacted. Conservative composite restorations on teeth 34, 35, and 36. Condyles included in the scan volume."
     assert one(spark, report.scope("maxilla", F.lit("none"))) == "Maxilla is not included in the scan volume and not assessable."
-    gone = report.mandible(rules.apply(summary(spark, f_absent=list(range(31, 39))))).head().report
+    gone = report.mandible(rules.apply(summary(spark, f_absent=[*range(31, 39), *range(41, 49)]))).head().report
     assert gone.startswith("Complete mandibular edentulism. Marked atrophy of the alveolar processes.")
+    for half in (range(31, 39), range(41, 49)):  # one quadrant is half of the mandible
+        some = rules.apply(summary(spark, f_absent=list(half)))
+        assert "edentulism" not in report.mandible(some).head().report and not some.head().atrophy
+    assert rules.apply(summary(spark, f_absent=[*range(11, 19), *range(21, 29)])).select("atrophy", "atrophy_maxilla").head() == (False, True)
 
 
 def test_dimensions(spark):
@@ -187,6 +214,18 @@ def test_volumes(spark):
     few = frame(spark, [(1, float(i)) for i in range(60)] + [(2, 1.0)], "l int, v double")
     assert volumes.robust_ceiling(few, "l", "v").head().n_labels == 1
     assert volumes.percentile_window(few.limit(0), "v", 0.1, 0.9).head().low is None
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.normal(0, 1, 3000), np.full(500, 2.5), [1e6]])
+    many = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for bins, bound in ((4096, 1_000_000), (7, 20)):  # bins cut again
+        assert volumes.exact_percentiles(many, "v", [0, 0.013, 0.5, 0.98, 1], bins, bound) == pytest.approx(np.percentile(values, [0, 1.3, 50, 98, 100]).tolist(), rel=1e-12)
+    labelled = [(t, float(v)) for t in range(3) for v in rng.normal(100 + t, 1, 80)]
+    three = frame(spark, labelled, "l int, v double")
+    low = min(np.percentile([v for t, v in labelled if t == k], 98) for k in range(3))
+    assert volumes.robust_ceiling(three, "l", "v").head().ceiling == pytest.approx(1.15 * low, abs=1e-5)  # headroom with few labels too
+    bone = frame(spark, [(None, 10.0)] * 300, "l int, v double")
+    assert volumes.robust_ceiling(three.unionAll(bone), "l", "v", bone=F.col("l").isNull()).head().ceiling == 25.0
+    assert volumes.robust_ceiling(bone, "l", "v", bone=F.col("l").isNull()).head().ceiling == 16.0
     assert one(spark, volumes.superior_axis(tuple(map(F.lit, (0, 5, 1))), tuple(map(F.lit, (0, 1, 9))))) == 2
 
 
