@@ -95,18 +95,25 @@ def ranges_in(text: Column) -> Column:
     return F.zip_with(firsts, lasts, lambda x, y: F.struct(x.cast("int").alias("first"), y.cast("int").alias("last")))
 
 
-def named_positions(text: Column) -> Column:
-    """All positions a text names, deciduous ones too, and those inside its ranges along the arch, in ascending order."""
+def range_positions(text: Column) -> Column:
+    """The positions inside a text's ranges, ends included, along the arch; a range over two arches has none."""
+    swept = [F.array(*map(F.lit, order)) for order in SWEEP.values()]
+    at = lambda order, r, k: F.array_position(order, r[k])
+    cut = lambda order, r: F.slice(order, F.least(at(order, r, "first"), at(order, r, "last")).cast("int"), (F.abs(at(order, r, "first") - at(order, r, "last")) + 1).cast("int"))
+    in_one = lambda order, r: F.array_contains(order, r["first"]) & F.array_contains(order, r["last"])
+    inside = lambda r: F.when(in_one(swept[0], r), cut(swept[0], r)).when(in_one(swept[1], r), cut(swept[1], r)).otherwise(F.array().cast("array<int>"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges_in(text), inside))))
+
+
+def numbers_named(text: Column) -> Column:
+    """The two-digit positions a text writes, deciduous ones too, in order of appearance."""
     flat = F.regexp_replace(text, r"([0-9])\.([0-9])", "$1$2")
-    named = F.transform(F.regexp_extract_all(flat, F.lit(r"\b([1-8][1-8])\b"), F.lit(1)), lambda x: x.cast("int"))
+    return F.array_distinct(F.transform(F.regexp_extract_all(flat, F.lit(r"\b([1-8][1-8])\b"), F.lit(1)), lambda x: x.cast("int")))
 
-    def inside(r: Column) -> Column:
-        swept = [F.array(*map(F.lit, order)) for order in SWEEP.values()]
-        cut = lambda order: F.slice(order, F.least(*(F.array_position(order, r[k]) for k in ("first", "last"))).cast("int"), (F.abs(F.array_position(order, r["first"]) - F.array_position(order, r["last"])) + 1).cast("int"))
-        in_one = lambda order: F.array_contains(order, r["first"]) & F.array_contains(order, r["last"])
-        return F.when(in_one(swept[0]), cut(swept[0])).when(in_one(swept[1]), cut(swept[1])).otherwise(F.array().cast("array<int>"))
 
-    return F.array_sort(F.array_distinct(F.concat(named, F.flatten(F.transform(ranges_in(text), inside)))))
+def named_positions(text: Column) -> Column:
+    """All positions a text names, and those inside its ranges, in ascending order."""
+    return F.array_sort(F.array_union(numbers_named(text), range_positions(text)))
 
 
 def position_list(values: Column, arch: str, ascending: bool = False) -> Column:

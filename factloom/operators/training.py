@@ -62,3 +62,11 @@ def composition(rows: DataFrame, text: str) -> DataFrame:
 
 def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
+
+
+def mask_crosstab(rows: DataFrame, by: list[str], reason: Column, positive: Column, prefix: Column) -> DataFrame:
+    """Per ``by`` and reason: rows, distinct prefixes, and positives among them."""
+    marked = rows.withColumns({"reason": reason, "_prefix": prefix, "_pos": F.coalesce(positive.cast("long"), F.lit(0))})
+    # two steps, each with partial sums: distinct prefixes need no row of their own beyond one a prefix
+    per = marked.groupBy(*by, "reason", "_prefix").agg(F.count("*").alias("n"), F.sum("_pos").alias("p"))
+    return per.groupBy(*by, "reason").agg(F.sum("n").alias("n"), F.count("_prefix").alias("n_prefixes"), F.sum("p").alias("n_positive"))

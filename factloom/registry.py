@@ -1,5 +1,8 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-from .queries import QUERIES, SQL
+from . import queries, queries_cases
+
+QUERIES = queries.QUERIES | queries_cases.QUERIES
+SQL = queries.SQL | queries_cases.SQL
 
 __all__ = ["QUERIES", "SQL"]
