@@ -98,19 +98,35 @@ def nearest(rows: DataFrame, key: str, vector: str, centres: DataFrame, label: s
 
     The centres' number is counted: lots of about ``bound`` go to every task, and the best of several lots is taken by key.
     """
-    lots = max(1, -(-centres.count() // bound))
-    distance = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, d: s + d)
     found = None
+    lots = max(1, -(-centres.count() // bound))
     for i in range(lots):
         lot = centres if lots == 1 else centres.filter(F.pmod(F.xxhash64(label), F.lit(lots)) == i)
-        held = F.broadcast(lot.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centre").alias("c"))).alias("_all")).withColumn("_k", F.lit(1)))
-        joined = rows.withColumn("_k", F.lit(1)).join(held, "_k")  # one row on the other side
-        part = joined.select(key, F.array_min(F.transform("_all", lambda s: F.struct(distance(s["c"]).alias("d"), s["l"].alias("l")))).alias("b"))
+        held = sorted((r[0], tuple(r[1])) for r in lot.select(label, "centre").collect())  # about ``bound`` centres
+        part = rows.select(key, _nearest_of(rows.sparkSession.sparkContext.broadcast(held), dict(lot.dtypes)[label])(vector).alias("b"))
         found = part if found is None else found.unionByName(part)
     best = found if lots == 1 else found.groupBy(key).agg(F.min("b").alias("b"))
     return best.select(key, F.col("b.l").alias("nearest"), F.col("b.d").alias("d2"))
 
 
+def _nearest_of(held, kind: str):
+    """struct (d, l): the least squared distance to the centres, and the first label that has it."""
+
+    @F.pandas_udf(f"d double, l {kind}")
+    def run(vectors: pd.Series) -> pd.DataFrame:
+        labels = [x for x, _ in held.value]
+        if not labels:
+            return pd.DataFrame({"d": [None] * len(vectors), "l": [None] * len(vectors)})
+        centres = np.array([c for _, c in held.value], np.float64)
+        out = []
+        for v in vectors:
+            d = ((centres - np.asarray(v, np.float64)) ** 2).sum(axis=1)
+            out.append((d.min(), labels[int(d.argmin())]))
+        return pd.DataFrame(out, columns=["d", "l"])
+
+    return run
+
+
 def superior_axis(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
     """The axis in which two centres differ most, 0, 1 or 2."""
     gaps = [F.abs(x - y) for x, y in zip(a, b)]
