@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text, verdicts
-from .operators import arch_rules, metrics, report_audit, series, training, votes
+from .functions import positional, repair, text, verdicts
+from .operators import arch_rules, expansion, metrics, report_audit, series, training, volumes, votes
+from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -236,3 +237,117 @@ def ranges_named(spark, sf_dir):
     ends = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by(_fdi(), place).alias("a"), F.max_by(_fdi(), place).alias("b"))
     said = F.concat(F.lit("Teeth from "), "a", F.lit(" to "), "b", F.lit(" are present."))
     return ends.select("l_orderkey", F.explode(text.named_positions(said)).alias("p")).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("p").alias("total"))
+
+
+# --- reports expanded
+
+_REPORTS_SQL = f"""WITH t AS (SELECT l_orderkey AS case_id, {FDI_SQL} AS fdi, * FROM lineitem),
+ c AS (SELECT case_id, coalesce(list(DISTINCT fdi) FILTER (l_returnflag = 'A'), []) AS p, coalesce(list(DISTINCT fdi) FILTER (l_returnflag = 'R'), []) AS a, coalesce(list(DISTINCT fdi) FILTER (l_quantity > 45), []) AS endo, coalesce(list(DISTINCT fdi) FILTER (l_tax > 0.07), []) AS post,
+   coalesce(list(DISTINCT fdi) FILTER (l_quantity < 3), []) AS imp, max(l_discount) > 0.09 AS stated FROM t GROUP BY case_id),
+ m AS (SELECT *, list_distinct(list_concat(endo, post)) AS said FROM c),
+ g AS (SELECT *, list_filter(list_distinct(list_concat(a, imp)), lambda x: NOT list_contains(said, x)) AS gone0 FROM m),
+ h AS (SELECT *, list_filter(list_distinct(list_concat(p, said)), lambda x: NOT list_contains(gone0, x)) AS there0, list_filter([48, 47, 46, 45, 44, 43, 42, 41, 31, 32, 33, 34, 35, 36, 37, 38], lambda x: true) AS every FROM g),
+ r AS (SELECT *, list_filter(every, lambda x: NOT list_contains(gone0, x) AND NOT list_contains(there0, x)) AS rest FROM h),
+ u AS (SELECT *, CASE WHEN len(a) > 0 AND len(p) = 0 THEN list_concat(there0, rest) ELSE there0 END AS there, CASE WHEN len(p) > 0 AND len(a) = 0 THEN list_concat(gone0, rest) ELSE gone0 END AS gone FROM r)
+"""
+
+
+def _reports(spark, sf_dir):
+    fdi, flag, q = _fdi(), F.col("l_returnflag"), F.col("l_quantity")
+    some = lambda c: F.collect_set(F.when(c, fdi)).cast("array<int>")
+    none = F.lit(None)
+    rows = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        some(flag == "A").alias("teeth_present"), some(flag == "R").alias("teeth_absent"), some(q > 45).alias("endodontic"), some(F.col("l_tax") > 0.07).alias("post_and_core"), some(q < 3).alias("implants"), (F.max("l_discount") > 0.09).alias("atrophy_stated"))
+    return rows.select("*", F.lit("mandible").alias("arch"), *(none.cast("array<int>").alias(n) for n in ("crowns", "fillings", "caries", "root_remnants")), none.cast("boolean").alias("edentulous"))
+
+
+@query(_REPORTS_SQL + """, o AS (SELECT case_id, there, gone, stated, len(every) - len(list_distinct(there)) - len(list_distinct(gone)) AS unstated, unnest(every) AS f, unnest(range(1, 17)) AS i FROM u),
+ x AS (SELECT *, i - row_number() OVER (PARTITION BY case_id ORDER BY i) AS grp FROM o WHERE list_contains(gone, f)), y AS (SELECT case_id, max(n) AS run FROM (SELECT case_id, grp, count(*) AS n FROM x GROUP BY ALL) GROUP BY case_id)
+ SELECT DISTINCT o.case_id, 'mandible' AS arch, len(there) AS n_present, len(gone) AS n_absent, unstated AS n_unstated, stated OR coalesce(run, 0) >= 3 AS atrophy, coalesce(run, 0) AS longest_run FROM o LEFT JOIN y ON o.case_id = y.case_id""")
+def arch_expansion(spark, sf_dir):
+    return expansion.arch_facts(_reports(spark, sf_dir))
+
+
+@query(_REPORTS_SQL + """, e AS (SELECT case_id, unnest(there) AS fdi, true AS present, endo, post FROM u UNION ALL SELECT case_id, unnest(gone), false, endo, post FROM u),
+ k AS (SELECT case_id, present, list_contains(endo, fdi) OR list_contains(post, fdi) AS e, list_contains(post, fdi) AS p FROM e)
+ SELECT case_id, present, count(*) AS n, count(*) FILTER (e) AS n_endo, count(*) FILTER (p) AS n_post, count(*) FILTER (NOT present AND NOT e) AS n_silent FROM k GROUP BY ALL""")
+def tooth_expansion(spark, sf_dir):
+    """The rows of each case's teeth, summed up: absent ones are silent on what is not claimed of them."""
+    rows = expansion.tooth_rows(_reports(spark, sf_dir))
+    return rows.groupBy("case_id", "present").agg(F.count("*").alias("n"), F.count_if("with_endo").alias("n_endo"), F.count_if("with_post").alias("n_post"), F.count_if(F.col("with_endo").isNull()).alias("n_silent"))
+
+
+@query(_REPORTS_SQL + """SELECT kind, count(*) AS n, sum(fdi)::BIGINT AS total FROM (
+  SELECT 'present_and_absent' AS kind, unnest(list_intersect(p, a)) AS fdi FROM c UNION ALL SELECT 'endodontic_at_absent', unnest(list_intersect(endo, a)) FROM c
+  UNION ALL SELECT 'post_and_core_at_absent', unnest(list_intersect(post, a)) FROM c UNION ALL SELECT 'implant_at_present', unnest(list_intersect(imp, p)) FROM c) GROUP BY kind""")
+def expansion_conflicts(spark, sf_dir):
+    return expansion.conflicts(_reports(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("fdi").alias("total"))
+
+
+@query(f"""WITH t AS (SELECT l_orderkey AS case_id, CASE WHEN l_linenumber < 4 THEN 10 + l_linenumber ELSE 30 + l_linenumber END AS fdi, * FROM lineitem),
+ c AS (SELECT case_id, list(DISTINCT fdi) FILTER (l_returnflag = 'A') AS p, list(DISTINCT fdi) FILTER (l_returnflag = 'R') AS a, sum(l_quantity) * 8 AS bone, count(*) FILTER (l_tax = 0.08) AS upper FROM t GROUP BY case_id),
+ s AS (SELECT *, bone < 500 AS out, bone < 500 AND upper = 0 AS strip FROM c)
+ SELECT case_id, CASE WHEN out THEN 'excluded' ELSE 'partial' END AS f_maxilla, len(CASE WHEN strip THEN list_filter(coalesce(p, []), lambda x: x > 30) ELSE coalesce(p, []) END) AS n_present, len(CASE WHEN strip THEN list_filter(coalesce(a, []), lambda x: x > 30) ELSE coalesce(a, []) END) AS n_absent,
+  (CASE WHEN strip THEN len(list_filter(list_concat(coalesce(p, []), coalesce(a, [])), lambda x: x < 30)) ELSE 0 END)::BIGINT AS removed FROM s""")
+def facts_audit(spark, sf_dir):
+    """Cases with too little upper bone lose the maxilla; quantities stand for bone, full tax for labelled upper teeth."""
+    fdi = F.when(F.col("l_linenumber") < 4, 10).otherwise(30) + F.col("l_linenumber")
+    some = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, fdi)).cast("array<int>")
+    facts = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(some("A").alias("teeth_present"), some("R").alias("teeth_absent"), (F.sum("l_quantity") * 8).alias("bone_mm3"), F.count_if(F.col("l_tax") == 0.08).alias("n_upper"))
+    done = expansion.audited_facts(facts.withColumns({"f_maxilla": F.lit("partial"), "implants": F.array().cast("array<int>")}))
+    return done.select("case_id", "f_maxilla", F.size("teeth_present").cast("long").alias("n_present"), F.size("teeth_absent").cast("long").alias("n_absent"), "removed")
+
+
+# --- scalars on every row of a table
+
+@query("""SELECT p_partkey, lower(trim(p_brand)) NOT IN ('normal', 'none') AND p_brand <> '' AS meaningful, 'A' || p_partkey AS case_id, CASE WHEN p_size > 25 THEN 'r' || p_size END AS reader, 'size' AS fact FROM part""")
+def name_parts(spark, sf_dir):
+    """Case and reader from a file's name, a fact without its position, and whether a value says anything."""
+    name = F.concat(F.lit("A"), "p_partkey", F.when(F.col("p_size") > 25, F.concat(F.lit("_r"), "p_size")).otherwise(""), F.lit(".txt"))
+    fact = F.concat(F.lit("tooth_"), F.lit(30) + F.col("p_size") % 8, F.lit("_size"))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.is_meaningful(F.col("p_brand")).alias("meaningful"), text.case_of(name).alias("case_id"), text.reader_of(name).alias("reader"), text.short_fact(fact).alias("fact"))
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_size AS size, p_type AS kind FROM part")
+def loose_objects(spark, sf_dir):
+    """Objects written without quotes, read back."""
+    said = F.concat(F.lit("{brand: "), "p_brand", F.lit(", 'size': "), "p_size", F.lit(', kind="'), "p_type", F.lit('"}'))
+    got = _read(spark, sf_dir, "part").select("p_partkey", repair.loose_object(said).alias("o"))
+    return got.select("p_partkey", F.col("o.brand").alias("brand"), F.col("o.size").cast("int").alias("size"), F.col("o.kind").alias("kind"))
+
+
+@query("SELECT p_partkey, p_size::VARCHAR AS size, CASE WHEN p_size > 25 THEN 'large' WHEN p_size > 10 THEN 'small' END AS word, CASE WHEN p_size > 25 THEN 'repaired' WHEN p_size > 10 THEN NULL ELSE 'unreadable' END AS note FROM part")
+def coerced_notes(spark, sf_dir):
+    size = F.col("p_size")
+    word = repair.coerce_noted(F.when(size > 25, "Large").when(size > 10, "small").otherwise("huge"), "enum:small|large -- the size")
+    return _read(spark, sf_dir, "part").select("p_partkey", repair.coerce_noted(size.cast("string"), "int")["value"].alias("size"), word["value"].alias("word"), word["note"].alias("note"))
+
+
+@query("""SELECT c_custkey, '{"name": ' || '"' || c_name || '"' || ', "balance": ' || CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'null' END || '}' AS text, length(c_name) + 2 AS name_chars, 4 AS balance_chars FROM customer""")
+def target_spans(spark, sf_dir):
+    """Targets written in a fixed order; each value's characters are found again by its span."""
+    fields = [("name", F.concat(F.lit('"'), "c_name", F.lit('"'))), ("balance", F.when(F.col("c_acctbal") > 0, F.lit("true")))]
+    made = _read(spark, sf_dir, "customer").select("c_custkey", repair.with_spans(fields).alias("t"))
+    cut = lambda i: F.substring(F.col("t.text"), F.col("t.spans")[i]["begin"] + 1, F.col("t.spans")[i]["end"] - F.col("t.spans")[i]["begin"])
+    return made.select("c_custkey", "t.text", F.char_length(cut(0)).alias("name_chars"), F.char_length(cut(1)).alias("balance_chars"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '48' WHEN 1 THEN '34,35' WHEN 2 THEN '33,43' ELSE '' END AS lower, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '' ELSE '16,17' END AS upper FROM orders""")
+def positional_phrases(spark, sf_dir):
+    """Teeth named by their place in the mouth."""
+    k = F.col("o_orderkey") % 4
+    said = F.when(k == 0, "The lower right third molar is impacted.").when(k == 1, "Left mandibular premolars are worn.").when(k == 2, "Both lower canines.").otherwise("First and second molars of the upper right side.")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", *(F.array_join(F.transform(positional.positions_meant(said, arch), lambda x: x.cast("string")), ",").alias(name) for name, arch in (("lower", "mandible"), ("upper", "maxilla"))))
+
+
+@query("SELECT o_orderkey, CASE WHEN n_perm = 0 THEN CASE WHEN n_prim = 0 THEN 'edentulous' ELSE 'primary' END WHEN n_prim > 2 AND n_un > 2 THEN 'mixed' ELSE 'permanent' END AS dentition, CASE WHEN bone >= 500 OR n_perm > 3 THEN true ELSE false END AS imaged FROM (SELECT l_orderkey AS o_orderkey, count(*) FILTER (l_returnflag = 'N') AS n_perm, count(*) FILTER (l_quantity > 20) AS n_prim, count(*) FILTER (l_tax > 0.03) AS n_un, sum(l_quantity) * 4 AS bone FROM lineitem GROUP BY l_orderkey)")
+def dentition_and_coverage(spark, sf_dir):
+    c = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "N").alias("n"), F.count_if(F.col("l_quantity") > 20).alias("p"), F.count_if(F.col("l_tax") > 0.03).alias("u"), (F.sum("l_quantity") * 4).alias("bone"))
+    return c.select("o_orderkey", verdicts.dentition(F.col("p"), F.col("u"), F.col("n")).alias("dentition"), volumes.coverage(F.col("bone"), F.col("n") > 3, F.lit(None).cast("boolean")).alias("imaged"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    """Tumbling windows, as the streaming operator counts them; an engine extension."""
+    found = incremental.windowed(_read(spark, sf_dir, "events"), "ts", "1 day", "1 hour", ["event_type"])
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
