@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes of the edges (u, v); label is the smallest node reached.  Each step is written out."""
+    """(node, label) for all nodes of the edges (u, v); label is the smallest node reached.
+
+    Each step is written out and the one before it deleted; a star's rows meet its centre in a join whose large side can be split.
+    """
     e = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(e)
     while True:
@@ -18,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionAll(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        done, e = e, materialise(small.unionAll(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        discard(done)
         now = _mark(e)
         if now == mark:
             break

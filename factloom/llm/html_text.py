@@ -311,14 +311,17 @@ def templates(pages: DataFrame, share: float = 0.1, least: int = 4, inner_share:
 
     ``inside`` are those in at least ``inner_share`` of the host's different marked articles, ``least`` at least.
     """
-    from .common import materialise
+    from .common import discard, materialise
 
     # both steps combine before they shuffle, so a host with a third of all pages is no hot key
     counts = page_hashes(pages).groupBy("host", "hash", "inside", "whole").agg(F.count("*").alias("c")).groupBy("host", "hash", "inside").agg(F.count("*").alias("n"))
     counts = materialise(counts.filter((F.col("n") >= least) | F.col("hash").isNull()), "template-counts")
     totals = counts.filter(F.col("hash").isNull()).select("host", "inside", F.col("n").alias("pages"))
     found = counts.filter(F.col("hash").isNotNull()).join(totals, ["host", "inside"])
-    return found.filter(F.col("n") >= F.col("pages") * F.when(F.col("inside"), inner_share).otherwise(share)).select("host", "hash", "inside")
+    found = found.filter(F.col("n") >= F.col("pages") * F.when(F.col("inside"), inner_share).otherwise(share)).select("host", "hash", "inside")
+    found = materialise(found, "templates")
+    discard(counts)
+    return found
 
 
 def extract_pages(pages: DataFrame, share: float = 0.1, least: int = 4, broadcast_rows: int = 200_000, inner_share: float = 0.5) -> DataFrame:
@@ -326,15 +329,16 @@ def extract_pages(pages: DataFrame, share: float = 0.1, least: int = 4, broadcas
 
     Up to ``broadcast_rows`` template hashes go to every executor; more are joined to the pages that hold them.
     """
-    from .common import materialise
+    from .common import discard
 
-    found = materialise(templates(pages, share, least, inner_share), "templates")
+    found = templates(pages, share, least, inner_share)
     spark = pages.sparkSession
     schema = "page_id long, url string, text string, n_chars long"
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
         by_host: dict[str, tuple[set[int], set[int]]] = {}
         for row in found.toLocalIterator():
             by_host.setdefault(row.host, (set(), set()))[row.inside].add(row.hash)
+        discard(found)
         held = spark.sparkContext.broadcast(by_host)
         return _select(pages).mapInArrow(lambda batches: _extracted(batches, lambda p: held.value.get(host_of(p["url"]), (frozenset(), frozenset()))), schema)
     own = page_hashes(pages).join(found, ["host", "hash", "inside"], "left_semi")

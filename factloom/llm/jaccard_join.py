@@ -172,7 +172,9 @@ def _verify(pairs: DataFrame, own: DataFrame, block: DataFrame, k: int, share: i
                 good = []
 
     dealt = rows.repartition(partitions, "i", "j").sortWithinPartitions("i", "j", "kind")
-    return dealt.mapInArrow(run, "u long, v long")
+    found = common.materialise(dealt.mapInArrow(run, "u long, v long").distinct(), "hub-links")
+    common.discard(placed, need, ids)
+    return found
 
 
 def _bits_allow(rows: DataFrame, share: int) -> DataFrame:
@@ -319,6 +321,7 @@ def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", tex
     members = common.materialise(members, "members")
     first = node.select(F.col("digest").alias("d"), F.col("node"))
     nodes = common.materialise(named.join(first, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node"))).select("node", "n", "bits", "prefix", _bucket(F.col("n"), share).alias("bucket")).dropDuplicates(["node", "n", "bits"]), "nodes")
+    common.discard(sets)
 
     tokens = nodes.select("node", "bucket", F.explode("prefix").alias("token"))
     groups = tokens.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
@@ -336,9 +339,10 @@ def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", tex
     homes = rows.groupBy("node").agg(F.min("token").alias("home"))
     sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / SPAN).alias("parts"))
     block = common.materialise(homes.join(sizes, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "blocks")
-    edges = common.materialise(_verify(pairs, own, block, k, share, partitions).distinct(), "hub-links")
+    near = _verify(pairs, own, block, k, share, partitions)
+    common.discard(pairs, block)
     common.release(spark)
-    label = components(edges)
+    label = components(near)
 
     labelled = rows.filter("members > 2").join(label, "node", "left").select("token", "bucket", "node", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("token")
@@ -355,8 +359,8 @@ def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", tex
     ids = common.materialise(live.select(F.col("node").alias("id")).distinct(), "live-ids")
     keys = _keys(common.rows_of(own, ids, "doc_id"), k).dropDuplicates(["node"])
     more = _tree_links(dealt.join(live, [*_GROUP, "node"], "left_semi").join(keys, "node"), share, partitions)
-    edges = edges.unionAll(common.materialise(more, "tree-links"))
-    edges = common.materialise(edges.distinct(), "links")
+    edges = common.materialise(near.unionAll(more).distinct(), "links")
+    common.discard(nodes, rows, hubs, near, dealt, live, ids)
     common.release(spark)
     return members, edges
 

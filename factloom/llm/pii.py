@@ -201,7 +201,10 @@ def disclosing_terms(docs: DataFrame, d: Disclosure = Disclosure(), key: str = "
     scored = near.join(every, "term").join(by_entity, "entity")
     # P(entity near | term) against P(entity near): its windows' share of all places
     bits = F.log2(F.col("n_near") * F.lit(n_words) / (F.col("n_all") * F.col("n_entity") * (2.0 * d.window)))
-    return scored.withColumn("bits", bits).filter((F.col("n_near") >= d.share * F.col("n_all")) & (F.col("bits") >= d.bits)).select("term", "entity", "n_near", "n_all", "n_entity", "bits")
+    scored = scored.withColumn("bits", bits).filter((F.col("n_near") >= d.share * F.col("n_all")) & (F.col("bits") >= d.bits))
+    scored = common.materialise(scored.select("term", "entity", "n_near", "n_all", "n_entity", "bits"), "disclosing")
+    common.discard(seen, near, every)
+    return scored
 
 
 def term_spans(text: str, terms: set[str] | frozenset[str], letters: int) -> list[tuple[int, int, str]]:
@@ -239,9 +242,10 @@ def written(spans: Iterable[tuple[int, int, str]]) -> str:
 def _with_terms(docs: DataFrame, d: Disclosure, key: str, text: str) -> tuple[DataFrame, object]:
     """The rows with ``_terms``, the disclosing terms of the text, if they had to be joined, and else the terms, sent to the executors."""
     spark = docs.sparkSession
-    terms = common.materialise(disclosing_terms(docs, d, key, text).select("term").distinct(), "terms")
-    rows = _sent(terms, ["term"], d.block)
+    terms = disclosing_terms(docs, d, key, text)
+    rows = _sent(terms.select("term").distinct(), ["term"], d.block)
     if rows is not None:
+        common.discard(terms)
         return docs.withColumn("_terms", F.lit(None).cast("array<string>")), spark.sparkContext.broadcast(frozenset(r.term for r in rows))
 
     @F.pandas_udf("array<string>")
@@ -249,7 +253,7 @@ def _with_terms(docs: DataFrame, d: Disclosure, key: str, text: str) -> tuple[Da
         return column.map(lambda t: sorted({x for w in {*(t or "").split()} if (x := term_of(w, d.letters))}))
 
     digest = F.unhex(F.sha2(F.col(text).cast("string"), 256))
-    held = docs.select(digest.alias("_digest"), F.explode(words(F.col(text).cast("string"))).alias("term")).distinct().join(terms, "term")
+    held = docs.select(digest.alias("_digest"), F.explode(words(F.col(text).cast("string"))).alias("term")).distinct().join(terms.select("term").distinct(), "term")
     held = held.groupBy("_digest").agg(F.collect_set("term").alias("_terms"))
     return docs.withColumn("_digest", digest).join(held, "_digest", "left").drop("_digest"), spark.sparkContext.broadcast(frozenset())
 
