@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again as the next one's input."""
+"""A training-data pipeline over ``documents``: five stages, each written as Parquet and read again as the next one's input.
+
+Rows with null or empty text fail the quality rules and go.  Rows without doc_id cannot be named: they stay through the near
+duplicates and are judged by their texts elsewhere.  Rows that repeat a doc_id are one document: they stay or go together, and
+of a group of near copies the smallest doc_id stays.  Columns besides doc_id and text are carried to the last stage, whatever
+their names; an empty table gives an empty result; texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -47,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        done, docs = docs, common.materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            common.discard(done)
     return docs
