@@ -8,8 +8,10 @@ alignment inside the band.  Items too short for the bound take fewer edits, down
 searched for as they are.
 
 Items are taken to the executors in blocks of ``block_chars`` characters, one pass over the documents for each block.
-Null and empty texts and items match nothing; null ids are carried through; repeated rows and items each give matches;
-empty tables give none.
+Null and empty texts and items match nothing; null ids are carried through; repeated rows and items each give matches; of
+overlapping matches of an item the one with fewest edits counts, of those the first; columns besides ids and texts are not
+read by ``matches`` and kept by ``keep_clean``; empty tables give none.  Texts are read whole, some 60 bytes of memory for
+each character of a long one.
 """
 
 from __future__ import annotations

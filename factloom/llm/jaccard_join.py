@@ -18,8 +18,8 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
 Shingles are known by 64-bit hashes, words of over 32 bytes by a cryptographic one.
 
 Null and empty texts have no shingles and link with nothing.  A null doc_id cannot be named, so such a row links with
-nothing and has a null component.  Repeated rows each get their row; rows that share a doc_id are one document, in one
-component whatever their texts.  Ties go to the smallest doc_id.  Texts are read whole, some 50 bytes of memory for each of
+nothing and has a null component.  Repeated rows each get their row; a doc_id is taken to name one text, and rows that share
+one without sharing the text are each placed by their own text, but met with others by one of them.  Ties go to the smallest doc_id.  Texts are read whole, some 50 bytes of memory for each of
 a long text's.  An empty table gives an empty result; columns besides id and text are not read.
 """
 
@@ -377,5 +377,5 @@ def keep_one(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id",
 
     Rows that repeat a doc_id are one document and stay or go together; rows without doc_id stay.
     """
-    found = join(docs, k, share, key, text).filter("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("id")).distinct()
-    return common.rows_of(docs, common.materialise(found, "kept"), key)
+    gone = join(docs, k, share, key, text).filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
+    return common.rows_without(docs, common.materialise(gone, "copies"), key)
