@@ -30,12 +30,13 @@ def reconcile(votes: DataFrame, keys: list[str], vote: str = "verdict", rule: st
 
 
 def majority_first_seen(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """The most frequent value of each key, of equally frequent ones the first seen; with its share of the answers.
+    """The most frequent value of each key, of equally frequent ones the first seen, of those seen together the greatest; with its
+    share of the answers.
 
     Nulls are no answers.  Two aggregations with partial sums; no key's rows meet in one task.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
-    best = F.max_by(F.col(value), F.struct(F.col("n"), -F.col("seen")))
+    best = F.max_by(F.col(value), F.struct(F.col("n"), -F.col("seen"), F.col(value)))
     return counts.groupBy(*keys).agg(best.alias("majority"), (F.max("n") / F.sum("n")).alias("agreement"))
 
 

@@ -28,7 +28,7 @@ def preamble(dentition: Column) -> Column:
 
 
 def absent(pattern: Column, items: Column, atrophy: Column, ends: tuple[int, int]) -> Column:
-    some = F.concat(F.lit("Absence of teeth "), join_list(items), F.when(atrophy, ", with associated bone atrophy").otherwise(""), F.lit("."))
+    some = F.concat(F.lit("Absence of "), F.when(F.size(items) == 1, "tooth ").otherwise("teeth "), join_list(items), F.when(atrophy, ", with associated bone atrophy").otherwise(""), F.lit("."))
     return F.when(pattern == "none", f"Teeth from {ends[0]} to {ends[1]} are present in the arch.").when(pattern.isin("unknown", "unassessable") | (F.size(items) == 0), None).otherwise(some)
 
 
@@ -133,14 +133,27 @@ def mandible(df: DataFrame) -> DataFrame:
     lower = F.filter(F.coalesce("absent", F.array().cast("array<int>")), lambda x: x > 30)
     gone = F.size(F.array_except(F.array(*map(F.lit, SWEEP["mandible"])), lower)) == 0
     parts = (
-        edentulism("mandible", gone, F.coalesce("atrophy", F.lit(False))), scope("mandible", F.col("level")),
-        F.when(~gone, absent(F.col("pattern"), lower, F.col("atrophy"), (48, 38))),
-        canal("right", F.col("canal"), F.array().cast("array<int>")), impacted(F.col("impacted")), endodontic(F.col("endodontic")),
-        fillings(F.col("fillings")), condyles(F.array("condyle")),
+        scope("mandible", F.col("level")), edentulism("mandible", gone, F.coalesce("atrophy", F.lit(False))),
+        canal("right", F.col("canal"), F.array().cast("array<int>")), F.when(~gone, absent(F.col("pattern"), lower, F.col("atrophy"), (48, 38))),
+        impacted(F.col("impacted")), endodontic(F.col("endodontic")), fillings(F.col("fillings")), condyles(F.array("condyle")),
     )
     return df.select("case_id", assembled(*parts).alias("report"))
 
 
+def lower_arch(df: DataFrame, level: Column, dentition: Column, primary_teeth: Column, bone_lesion: Column) -> DataFrame:
+    """(case_id, report) of the mandible rows that the arch rules leave: all its sentences, in order."""
+    gone = F.size(F.coalesce("absent", F.array().cast("array<int>"))) == 16
+    atrophic = F.coalesce("atrophy", F.lit(False))
+    side = lambda s: canal(s, F.col(f"canal_{s}")["location"], F.coalesce(F.col(f"canal_{s}")["adjacent"], F.array().cast("array<int>")))
+    held = lambda state: F.transform(F.filter("wisdom", lambda w: w["state"] == state), lambda w: w["tooth"])
+    parts = (
+        scope("mandible", level), edentulism("mandible", gone, atrophic), side("right"), side("left"), F.when(~gone, absent(F.col("pattern"), F.col("absent"), atrophic, (48, 38))), primary(primary_teeth),
+        impacted(F.transform("impacted", lambda i: i["tooth"])), wisdom(dentition, held("unerupted"), held("partially_erupted")) if "wisdom" in df.columns else F.lit(None), endodontic(F.col("endodontic")), fillings(F.col("fillings")),
+        implants(F.col("implants")), F.when(F.col("bridge"), "Prosthetic bridge exists."), bone(bone_lesion), condyles(F.array("condyle_right", "condyle_left")),
+    )
+    return df.filter("arch = 'mandible'").select("case_id", assembled(*parts).alias("report"))
+
+
 def maxilla(df: DataFrame) -> DataFrame:
     """(case_id, report) of upper-arch summaries; out of the volume, the scope is all there is to say."""
     parts = (

@@ -124,10 +124,8 @@ _MAJORITY_SQL = """WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS n, mi
 
 @query(_MAJORITY_SQL + "SELECT l_orderkey, l_returnflag AS majority FROM r WHERE k = 1")
 def majority_first_seen(spark, sf_dir):
-    rows = _read(spark, sf_dir, "lineitem")
-    counts = rows.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("seen"))
-    best = F.max_by("l_returnflag", F.struct(F.col("n"), -F.col("seen"), F.col("l_returnflag")))  # two values on one line: the greater
-    return counts.groupBy("l_orderkey").agg(best.alias("majority"))
+    found = votes.majority_first_seen(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", "l_linenumber")
+    return found.select("l_orderkey", "majority")
 
 
 @query(_MAJORITY_SQL + "SELECT l_orderkey, round(n / total, 6) AS agreement FROM r WHERE k = 1")
@@ -523,8 +521,8 @@ def rule_chain(spark, sf_dir):
 
 
 @query(_RULES_SQL + f"""SELECT case_id, concat_ws(' ', 'Mandible is completely included in the scan volume.',
-  CASE WHEN len(absent) > 0 THEN 'Absence of teeth ' || {_JOIN_SQL.format('absent')} || '.' END,
-  'Right mandibular canal with a regular course, predominantly ' || canal || '.', CASE WHEN NOT list_contains(absent, 38) THEN 'Tooth 38 is impacted.' END,
+  'Right mandibular canal with a regular course, predominantly ' || canal || '.',
+  CASE WHEN len(absent) > 0 THEN 'Absence of ' || CASE WHEN len(absent) = 1 THEN 'tooth ' ELSE 'teeth ' END || {_JOIN_SQL.format('absent')} || '.' END, CASE WHEN NOT list_contains(absent, 38) THEN 'Tooth 38 is impacted.' END,
   CASE WHEN len(endodontic) > 0 THEN 'Endodontic treatment involving teeth ' || {_JOIN_SQL.format('endodontic')} || '.' END,
   CASE WHEN len(fillings) > 0 THEN 'Conservative composite restoration' || CASE WHEN len(fillings) = 1 THEN ' on tooth ' ELSE 's on teeth ' END || {_JOIN_SQL.format('fillings')} || '.' END,
   CASE WHEN condyle = 'not_included' THEN 'Condyles not included in the scan volume.' ELSE 'Condyles included in the scan volume.' END) AS report FROM g""")

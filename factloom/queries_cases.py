@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import positional, repair, text, verdicts
 from .operators import arch_rules, expansion, metrics, report_audit, series, training, volumes, votes
+from .plans import report
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,28 @@ def arch_rules_upper(spark, sf_dir):
     return rows.select("case_id", "pattern", F.greatest(F.size("unassessable"), F.lit(0)).cast("long").alias("n_unassessable"), F.when(F.col("present").isNotNull(), F.size("present")).cast("long").alias("n_present"))
 
 
+_AND_SQL = "CASE len({0}) WHEN 1 THEN {0}[1]::VARCHAR WHEN 2 THEN {0}[1] || ' and ' || {0}[2] ELSE array_to_string({0}[1:len({0}) - 1], ', ') || ', and ' || {0}[len({0})] END"
+
+
+@query(_ARCHES_SQL + f""", k AS (SELECT *, list_filter(coalesce(endo, []), lambda x: NOT list_contains(gone, x)) AS e, list_filter(coalesce(fill, []), lambda x: NOT list_contains(gone, x)) AS f, list_filter(coalesce(near, []), lambda x: x > 40) AS nr, list_filter(coalesce(near, []), lambda x: x < 40) AS nl FROM l)
+ SELECT case_id, concat_ws(' ', 'Mandible is completely included in the scan volume.',
+  'Right mandibular canal with a regular course, predominantly ' || CASE WHEN len(vr) = 1 THEN vr[1] ELSE 'lingual' END || CASE WHEN len(nr) > 0 THEN ', with close relationship with the ' || CASE WHEN len(nr) = 1 THEN 'root of tooth ' ELSE 'roots of teeth ' END || {_AND_SQL.format('nr')} ELSE '' END || '.',
+  'Left mandibular canal with a regular course, predominantly ' || CASE WHEN len(vl) = 1 THEN vl[1] ELSE 'lingual' END || CASE WHEN len(nl) > 0 THEN ', with close relationship with the ' || CASE WHEN len(nl) = 1 THEN 'root of tooth ' ELSE 'roots of teeth ' END || {_AND_SQL.format('nl')} ELSE '' END || '.',
+  CASE WHEN len(gone) > 0 THEN 'Absence of ' || CASE WHEN len(gone) = 1 THEN 'tooth ' ELSE 'teeth ' END || {_AND_SQL.format('gone')} || '.' END,
+  CASE WHEN first = 1 OR tax > 0.05 THEN 'Tooth 38 is impacted.' END, CASE WHEN len(e) > 0 THEN 'Endodontic treatment involving teeth ' || {_AND_SQL.format('e')} || '.' END,
+  CASE WHEN len(f) > 0 THEN 'Conservative composite restoration' || CASE WHEN len(f) = 1 THEN ' on tooth ' ELSE 's on teeth ' END || {_AND_SQL.format('f')} || '.' END,
+  CASE WHEN implants IS NULL THEN 'Endosseous implant in position 36, restored with an implant-supported crown, with radiographically well osseointegration.'
+       ELSE concat_ws(' ', CASE WHEN implants[1] = 36 THEN 'Endosseous implant in position 36, restored with an implant-supported crown, with radiographically well osseointegration.' END,
+         CASE WHEN len(list_filter(implants, lambda x: x <> 36)) = 1 THEN 'Endosseous implant in position ' || list_filter(implants, lambda x: x <> 36)[1] || '.' WHEN len(list_filter(implants, lambda x: x <> 36)) > 1 THEN 'Endosseous implants in position ' || array_to_string(list_filter(implants, lambda x: x <> 36), ', ') || '.' END,
+         CASE WHEN list_contains(implants, 36) AND implants[1] <> 36 THEN 'Endosseous implant in position 36, restored with an implant-supported crown, with radiographically well osseointegration.' END) END,
+  CASE WHEN o_totalprice > 200000 THEN 'Prosthetic bridge exists.' END, 'No definite osteolytic or osteocondensing lesions.',
+  CASE WHEN o_orderstatus IN ('F', 'P') THEN 'Condyles not included in the scan volume.' ELSE 'Condyles included in the scan volume.' END) AS report FROM k""")
+def lower_reports(spark, sf_dir):
+    """The mandible's whole report of each case after the arch rules."""
+    none = F.lit(None)
+    return report.lower_arch(_arches(spark, sf_dir), F.lit("complete"), F.lit("permanent"), none.cast("array<int>"), F.lit(False))
+
+
 def _arches(spark, sf_dir):
     fdi, flag, q = _fdi(), F.col("l_returnflag"), F.col("l_quantity")
     some = lambda c: F.collect_set(F.when(c, fdi)).cast("array<int>")
