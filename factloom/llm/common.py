@@ -49,12 +49,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose result is written.
 
-    They go when the driver's objects are collected; events under way may hold those a moment longer, hence two rounds.
+    They go when the driver's objects are collected; events under way may hold those a moment longer, hence several rounds, and
+    the files are deleted in the background, for which a busy machine, told by the time a collection takes, gets more time.
     """
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
+        began = time.monotonic()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(min(2.0, 0.2 + 2 * (time.monotonic() - began)))
 
 
 def discard(*tables: DataFrame) -> None:
