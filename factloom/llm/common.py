@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -66,12 +67,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give what earlier tasks of this Python worker have freed back to the system; without glibc nothing happens."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def kept(kind: str, key: object, make: Callable[[], object]) -> object:
     """What a Python worker holds on to between batches: one thing only, so a worker that serves several operators in turn does
     not gather their tables."""
     held = _kept.get("one")
     if held is None or held[0] != (kind, key):
         _kept["one"] = held = None
+        trim()
         _kept["one"] = held = ((kind, key), make())
     return held[1]
 
@@ -93,6 +104,7 @@ def per_text(df: DataFrame, fn: Callable[[list, list[str]], dict], schema: str,
     out = pa.schema(_arrow_fields(df.sparkSession, schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             for ids, rows in pieces(batch, chars):
                 columns = fn(ids, rows)

@@ -143,6 +143,7 @@ def _verify(pairs: DataFrame, own: DataFrame, block: DataFrame, k: int, share: i
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
+        common.trim()
         at, sets, waiting, good = None, {}, [], []
 
         def build() -> None:
@@ -208,6 +209,7 @@ def _group_walk(rows: DataFrame, payload: str, fn, partitions: int, schema: str,
     columns = (*_GROUP, "own", "bucket", "node", "n", "label", "hub", payload)
 
     def run(batches):
+        common.trim()
         held: dict[str, np.ndarray] | None = None
 
         def group(c):

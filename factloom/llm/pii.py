@@ -259,9 +259,9 @@ def _with_terms(docs: DataFrame, d: Disclosure, key: str, text: str) -> tuple[Da
 
 
 def find(docs: DataFrame, d: Disclosure = Disclosure(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of each row; n_spans counts all spans, terms too."""
     own, held = _with_terms(common.texts(docs, key, text), d, "doc_id", "text")
-    out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,10 +272,10 @@ def find(docs: DataFrame, d: Disclosure = Disclosure(), key: str = "doc_id", tex
                     base = base_spans(t or "")
                     kinds = Counter(s[2] for s in base)
                     all_ = merged(base, term_spans(t or "", held.value or frozenset(terms or ()), d.letters))
-                    rows.append((doc_id, *(kinds[k] for k in KINDS[:4]), hashlib.sha256(written(base).encode()).hexdigest(), written(all_)))
+                    rows.append((doc_id, *(kinds[k] for k in KINDS[:4]), hashlib.sha256(written(base).encode()).hexdigest(), written(all_), len(all_)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    return own.select("doc_id", "text", "_terms").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return own.select("doc_id", "text", "_terms").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def clean(text: str, spans: list[tuple[int, int, str]], generalise: bool = True) -> str:
