@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import positional, repair, text, verdicts
-from .operators import arch_rules, expansion, metrics, report_audit, series, training, volumes, votes
+from .operators import arch_rules, calls, expansion, metrics, report_audit, series, training, volumes, votes
 from .plans import report
 from .streaming import incremental
 
@@ -374,3 +374,54 @@ def windowed_counts(spark, sf_dir):
     """Tumbling windows, as the streaming operator counts them; an engine extension."""
     found = incremental.windowed(_read(spark, sf_dir, "events"), "ts", "1 day", "1 hour", ["event_type"])
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+# --- plans of questions
+
+@query("""WITH c AS (SELECT l_orderkey AS call, l_partkey + 7 AS fact, CASE WHEN l_linenumber < 5 THEN ['Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22', 'Brand#23'] ELSE ['Brand#31', 'Brand#33', 'Brand#44', 'Brand#55'] END AS images FROM lineitem WHERE l_returnflag = 'R')
+ SELECT error, count(*) AS n, sum(fact)::BIGINT AS total FROM (
+  SELECT DISTINCT fact, 'unknown' AS error FROM c WHERE fact NOT IN (SELECT p_partkey FROM part)
+  UNION ALL SELECT fact, 'duplicate' FROM c GROUP BY fact HAVING count(*) > 1
+  UNION ALL SELECT p_partkey, 'unplaced' FROM part WHERE p_partkey NOT IN (SELECT fact FROM c)
+  UNION ALL SELECT DISTINCT fact, 'image_mismatch' FROM c JOIN part ON fact = p_partkey WHERE NOT list_contains(images, p_brand)) GROUP BY error""")
+def plan_errors(spark, sf_dir):
+    """Returned lines as a plan over parts: what it asks that is unknown, asked twice, not asked, or not shown."""
+    some = lambda *b: F.array(*map(F.lit, b))
+    images = F.when(F.col("l_linenumber") < 5, some("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22", "Brand#23")).otherwise(some("Brand#31", "Brand#33", "Brand#44", "Brand#55"))
+    plan = _read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("call"), (F.col("l_partkey") + 7).alias("fact"), images.alias("images"))
+    found = calls.plan_errors(plan, _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("fact"), F.col("p_brand").alias("image")))
+    return found.groupBy("error").agg(F.count("*").alias("n"), F.sum("fact").alias("total"))
+
+
+@query("""SELECT o_orderkey AS case_id, array_to_string(list_sort(list('p' || l_linenumber || l_returnflag) FILTER (l_returnflag IS NOT NULL)), ',') AS paths, count(*) FILTER (l_returnflag IS NULL) AS n_missing FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 3) ON o_orderkey = l_orderkey GROUP BY o_orderkey""".replace(
+    "FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 3) ON o_orderkey = l_orderkey GROUP BY o_orderkey",
+    "FROM (SELECT o_orderkey, unnest([1, 2, 3]) AS k FROM orders) LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = k GROUP BY o_orderkey"))
+def calls_with_images(spark, sf_dir):
+    """Each order asks for three images; lines stand for those there are."""
+    plan = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("q").alias("call"), F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("images"))
+    images = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("image_key"), F.concat(F.lit("p"), "l_linenumber", "l_returnflag").alias("path"))
+    return calls.with_images(plan, images).select("case_id", F.array_join("paths", ",").alias("paths"), "n_missing")
+
+
+@query("""SELECT field, count(*) AS n FROM (SELECT 'status' AS field, CASE o_orderstatus WHEN 'F' THEN ' Normal' WHEN 'O' THEN 'open' END AS v FROM orders UNION ALL SELECT 'priority', CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' WHEN o_orderpriority LIKE '5%' THEN 'NONE' ELSE '' END FROM orders) WHERE v IS NOT NULL AND lower(trim(v)) NOT IN ('', 'normal', 'none') GROUP BY field""")
+def abnormal_answers(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", " Normal").when(F.col("o_orderstatus") == "O", "open").alias("status"), F.when(F.col("o_orderpriority").startswith("1"), "urgent").when(F.col("o_orderpriority").startswith("5"), "NONE").otherwise("").alias("priority"))
+    return calls.abnormal(rows, ["o_orderkey"], ["status", "priority"]).groupBy("field").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT l_orderkey, array_to_string(list_sort(coalesce(list(DISTINCT {FDI_SQL}) FILTER (l_returnflag <> 'N'), [])), ',') AS covered,
+  array_to_string(list_sort(list_filter(coalesce(list(DISTINCT {FDI_SQL}) FILTER (l_returnflag = 'R'), []), lambda x: NOT list_contains(coalesce(list(DISTINCT {FDI_SQL}) FILTER (l_quantity > 40), []), x))), ',') AS toothless FROM lineitem GROUP BY l_orderkey""")
+def coverage_sets(spark, sf_dir):
+    """Positions with an answer, and missing ones without a remnant."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", _fdi().alias("fdi"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("answer"), "l_returnflag", "l_quantity")
+    covered = calls.coverage_sets(rows, ["l_orderkey"], "fdi", "answer")
+    lists = rows.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("fdi"))).alias("gone"), F.collect_set(F.when(F.col("l_quantity") > 40, F.col("fdi"))).alias("roots"))
+    met = covered.join(lists, "l_orderkey").withColumn("toothless", F.array_sort(calls.toothless(F.col("gone"), F.col("roots"))))
+    return met.select("l_orderkey", *_joined("covered", "toothless"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS found, event_id % 3 = 0 OR user_id % 4 = 1 AS asked FROM events")
+def path_walk(spark, sf_dir):
+    """A path with a side, and whether a fact's scope takes in a position."""
+    scope = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    return _read(spark, sf_dir, "events").select("event_id", calls.dig(F.col("props"), "{side}", "k").alias("found"), calls.applicable(scope, (F.col("user_id") % 4).cast("int")).alias("asked"))
