@@ -153,6 +153,7 @@ def text_udf(fn: Callable[[list], list], returns: str):
 
     @F.pandas_udf(returns)
     def run(rows: pd.Series) -> pd.Series:
+        trim()
         return pd.Series(fn([None if t is None else t for t in rows]), index=rows.index, dtype="bool" if returns == "boolean" else "object")
 
     return run

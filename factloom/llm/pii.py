@@ -295,6 +295,7 @@ def sanitise(docs: DataFrame, d: Disclosure = Disclosure(), generalise: bool = T
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        common.trim()
         rows = ((t, held.value or frozenset(() if x is None else x)) for t, x in zip(texts, terms))
         return pd.Series([None if t is None else clean(t, all_spans(t, x, d.letters), generalise) for t, x in rows], index=texts.index, dtype="object")
 
