@@ -9,11 +9,12 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    most groups whole.
 4. Groups still in several components are searched with signature trees: nodes hold OR-combined bitmaps, size ranges and
    the most shingles that share a bit; two trees are walked together and node pairs dropped when no pair under them can
-   overlap enough.  A first walk tells which rows have a possible partner in another component; only these come back, with
-   their shingles, for a second walk that compares what is left and keeps a link only if it joins components that no link
-   kept before has joined.  So a group gives fewer links than it has rows, however many of its pairs are close.
-5. Large groups are cut into blocks, each pair of blocks a task of its own, so no task holds an unbounded group and nothing
-   is capped.  Components of all links give the result.
+   overlap enough.  What is left joins documents to clusters of possible partners: a group gives one row for each document
+   that has any.  Clusters over several components are walked with trees again, this time with the shingles of their
+   documents, each sent once: pairs are compared, and a link is kept only if it joins components that no link kept before has
+   joined.  So links stay fewer than documents, however many pairs of a group are close.
+5. Large groups and clusters are cut into blocks, each pair of blocks a task of its own, so no task holds an unbounded group
+   and nothing is capped.  Components of all links give the result.
 
 Shingles are known by 64-bit hashes, words of over 32 bytes by a cryptographic one.
 
@@ -256,21 +257,32 @@ def _candidates(c: dict[str, np.ndarray], bits: np.ndarray, share: int) -> Itera
             yield p[new], q[new]
 
 
-def _live_rows(rows: DataFrame, share: int, partitions: int) -> DataFrame:
-    """(token, low, i, j, node) of the rows with a possible partner in another component."""
-    kinds = {"token": "long", "low": "int", "i": "int", "j": "int", "node": "long"}
-    out = pa.schema([(k, pa.int64() if t == "long" else pa.int32()) for k, t in kinds.items()])
+def _candidate_stars(rows: DataFrame, share: int, partitions: int) -> DataFrame:
+    """(u, v): each row with a possible partner in another component, joined to one row of those it is connected with in its group."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def fn(c):
         words = min(map(len, c["bits"])) // 8
-        live = np.zeros(len(c["node"]), bool)
+        root = np.arange(len(c["node"]))
+        live = np.zeros(len(root), bool)
         for p, q in _candidates(c, np.stack([shingles.folded(b, words) for b in c["bits"]]), share):
             live[p] = live[q] = True
+            while True:  # rows point to the least row they are connected with, as far as the pairs seen tell
+                a, b = root[p], root[q]
+                if (a == b).all():
+                    break
+                low = np.minimum(a, b)
+                np.minimum.at(root, a, low)
+                np.minimum.at(root, b, low)
+                while not (root[root] == root).all():
+                    root = root[root]
         at = np.flatnonzero(live)
-        if len(at):
-            yield [c[k][at] for k in kinds]
+        u, v = c["node"][at], c["node"][root[at]]
+        apart = u != v
+        if apart.any():
+            yield np.maximum(u, v)[apart], np.minimum(u, v)[apart]
 
-    return _group_walk(rows, "bits", fn, partitions, ", ".join(f"{k} {t}" for k, t in kinds.items()), out)
+    return _group_walk(rows, "bits", fn, partitions, "u long, v long", out).distinct()
 
 
 def _tree_links(rows: DataFrame, share: int, partitions: int) -> DataFrame:
@@ -355,14 +367,20 @@ def links(docs: DataFrame, k: int = 5, share: int = 80, key: str = "doc_id", tex
     lows = lows.filter("lower IS NOT NULL AND c > 2").select("token", "low", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     dealt = at_low.join(lows, ["token", "low"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "bucket", "node", "label")
-    dealt = common.materialise(dealt.join(hubs, ["token", "bucket"]).join(facts.select("node", "n"), "node"), "open-rows")
-    live = common.materialise(_live_rows(dealt.join(facts.select("node", "bits"), "node"), share, partitions), "live-rows")
+    dealt = dealt.join(hubs, ["token", "bucket"]).join(facts, "node")
+    stars = common.materialise(_candidate_stars(dealt, share, partitions), "candidates")
     common.release(spark)
-    ids = common.materialise(live.select(F.col("node").alias("id")).distinct(), "live-ids")
-    keys = _keys(common.rows_of(own, ids, "doc_id"), k).dropDuplicates(["node"])
-    more = _tree_links(dealt.join(live, [*_GROUP, "node"], "left_semi").join(keys, "node"), share, partitions)
+    cluster = components(stars).select("node", F.col("label").alias("token"))
+    cluster = common.materialise(cluster.join(label, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")), "clusters")
+    sizes = cluster.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("a <> b").select("token", "blocks")
+    met = cluster.join(sizes, "token").join(facts.select("node", "n"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("token", F.lit(0).alias("low"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.lit(0).alias("bucket"), "node", "n", "label", F.lit(-(2**63)).cast("long").alias("hub"))  # no hub: all pairs of a cluster are open
+    met = common.materialise(met, "cluster-rows")
+    ids = common.materialise(met.select(F.col("node").alias("id")).distinct(), "live-ids")
+    more = _tree_links(met.join(_keys(common.rows_of(own, ids, "doc_id"), k), "node"), share, partitions)
     edges = common.materialise(near.unionAll(more).distinct(), "links")
-    common.discard(nodes, rows, hubs, near, dealt, live, ids)
+    common.discard(nodes, rows, hubs, near, stars, cluster, met, ids)
     common.release(spark)
     return members, edges
 
