@@ -220,7 +220,7 @@ def term_spans(text: str, terms: set[str] | frozenset[str], letters: int) -> lis
 
 
 def merged(base: list[tuple[int, int, str]], terms: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """All spans in order; terms that touch base spans are left out.  Both lists come in order."""
+    """All spans in order; terms that touch base spans are left out.  Both lists come in order, and terms are apart from each other."""
     out, k, reach = list(base), 0, 0
     for t in terms:
         while k < len(base) and base[k][0] < t[1]:
