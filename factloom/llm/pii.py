@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+HELD = 500_000  # surroundings that a task gathers before it gives them on
 KINDS = ("email", "ip", "card", "phone", "term")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -156,32 +157,50 @@ def _sent(terms: DataFrame, columns: list[str], bound: int) -> list | None:
 
 
 def _occurrences(docs: DataFrame, terms: DataFrame, d: Disclosure) -> DataFrame:
-    """(term, around): the surroundings in all texts of the terms (term, most), each once in a piece of texts.
+    """(term, around): the surroundings in all texts of the terms (term, most), each once in a task, or in HELD of them.
 
-    A term with more than ``most`` surroundings in one piece is over its bound in the corpus too: its row has no surrounding.
+    A term with more than ``most`` surroundings in one task is over its bound in the corpus too: its row has no surrounding.
     Up to ``block`` terms are sent to the executors; beyond that the words of all texts are joined to them.
     """
     rows = _sent(terms, ["term", "most"], d.block)
     held = None if rows is None else docs.sparkSession.sparkContext.broadcast({r.term: r.most for r in rows})
 
-    def run(ids: list, rows: list[str]) -> dict:
+    out = pa.schema([("term", pa.string()), ("around", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         bound = held.value if held is not None else None
         known: dict[str, str | None] = {}
         found: dict[str, set[int]] = {}
-        for t in rows:
-            words = t.split()
-            for i, w in enumerate(words):
-                if w not in known:
-                    term = term_of(w, d.letters)
-                    known[w] = term if bound is None or term in bound else None
-                if (term := known[w]) is not None:
-                    seen = found.setdefault(term, set())
-                    if bound is None or len(seen) <= bound[term]:
-                        seen.add(_around(words, i, d.window))
-        out = [(term, a) for term, seen in found.items() for a in (seen if bound is None or len(seen) <= bound[term] else (None,))]
-        return {"term": [x[0] for x in out], "around": [x[1] for x in out]}
-
-    every = common.per_text(docs, run, "term string, around long")
+        total = 0
+
+        def settled() -> pa.RecordBatch:
+            rows = [(term, a) for term, seen in found.items() for a in (seen if bound is None or len(seen) <= bound[term] else (None,))]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(out)], schema=out)
+
+        for batch in batches:
+            for _, rows in common.pieces(batch, 250_000):
+                for t in rows:
+                    words = t.split()
+                    for i, w in enumerate(words):
+                        if w not in known:
+                            term = term_of(w, d.letters)
+                            known[w] = term if bound is None or term in bound else None
+                        if (term := known[w]) is not None:
+                            seen = found.setdefault(term, set())
+                            if bound is None or len(seen) <= bound[term]:
+                                total -= len(seen)
+                                seen.add(_around(words, i, d.window))
+                                total += len(seen)
+                if len(known) > 1_000_000:
+                    known.clear()
+                if total > HELD:
+                    yield settled()
+                    found.clear()
+                    total = 0
+        yield settled()
+
+    every = docs.mapInArrow(run, "term string, around long")
     return every if held is not None else every.join(terms.select("term"), "term", "left_semi")
 
 
