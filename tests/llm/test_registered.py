@@ -42,8 +42,19 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_all_ten_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == set(NAMES)
+def test_all_are_registered():
+    assert {f"op{n}" for n in range(1, 14)} == set(NAMES)
+
+
+def test_op11(spark):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[NAMES["op11"]]).df()
+    have = entry.queries()[NAMES["op11"]](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(have.columns) == columns and len(have) == len(want)
+    assert sorted(map(tuple, have[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values))
 
 
 def test_op1(spark):
