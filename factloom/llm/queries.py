@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, common, decontaminate, filter_audit, html_text, id_blocks, jaccard_join, periodic, pii, quality, repeats, token_counts
+from . import bpe_codec, chat, common, decontaminate, filter_audit, html_text, id_blocks, jaccard_join, lm_score, periodic, pii, quality, repeats, token_counts
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -115,6 +115,10 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 """
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(common.documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(common.documents(spark, sf_dir), planted=True)
 
@@ -131,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
