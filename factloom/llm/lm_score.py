@@ -10,7 +10,8 @@ Spark deals everything out in packed rows.  Texts are cut into pieces of many do
 counts of its distinct words, then the restaurant buckets for its distinct pairs, and gets answers in the order it asked.  Buckets
 are as many as the tokens need (``per_bucket``); a restaurant with over ``share`` customers is dealt out in shares by dish, whose
 tables are summed by key.  A word or pair is asked for once a piece, so a word that is a third of all tokens weighs as much as any
-other.  Words are told apart by 64-bit digests.  A row's work grows with its text; a dish's seating is kept whole.
+other.  Words are told apart by 64-bit digests.  A row's work grows with its text; a dish takes the same
+work however many customers it has.
 
 Null and empty texts are a single end token.  Rows without doc_id are training rows (the checksum of no digits is 0); repeated rows
 count and are scored each.  Without training tokens every probability is that of the base.  An empty table gives an empty result;
@@ -19,9 +20,7 @@ other columns are not read; texts are read whole.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,25 +30,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, words
 from .seating import distinct_pairs, draw_tables, pack, unpack
 
 
-def _digest(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LETTER = np.random.default_rng(12).integers(1, 1 << 63, 256).astype(np.uint64)
+#: No word has these digests, but for one in 2^63.
+END, BEGIN = 1, 2
 
 
-#: No word holds a blank.
-END, BEGIN = _digest(b" "), _digest(b"  ")
+def _digests(rows: list[str], lot: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A digest of every word of the texts, A-Z in lower case, and the number of words of each text.
+
+    Digests are polynomials in the word's bytes, taken from prefix sums over lots of texts, and mixed.
+    """
+    found, sizes = [], np.zeros(len(rows), np.int64)
+    at = 0
+    while at < len(rows):
+        to, size, held = at, 0, []
+        while to < len(rows) and (not held or size < lot):
+            held.append(rows[to].encode().lower())
+            size += len(held[-1]) + 1
+            to += 1
+        raw = np.frombuffer(b"\n" + b"\n".join(held) + b"\n", np.uint8)
+        space = _SPACE[raw]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        first, last = edge[::2], edge[1::2]
+        up, down = words._powers(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_LETTER[raw] * up[:-1], out=total[1:])
+            h = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        found.append(h)
+        ends = np.cumsum([len(x) + 1 for x in held])
+        sizes[at:to] = np.diff(np.searchsorted(first, ends, "right"), prepend=0)
+        at = to
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), sizes
 
 
 @dataclass(frozen=True)
 class Model:
-    """``strength``: of the contexts' and the parent's restaurants; ``moves``: Gibbs steps of a dish in a sweep at most."""
+    """``strength``: of the contexts' and the parent's restaurants; ``steps``: of the walk of dishes of many customers in a sweep."""
 
     burn: int = 2
     samples: int = 3
-    moves: int = 48
+    steps: int = 4
     strength: tuple[float, float] = (1.0, 1.0)
     folds: int = 5
     held: int = 1
@@ -74,23 +104,15 @@ def _schema(df: DataFrame, ddl: str) -> pa.Schema:
 
 def _piece(ids: list, rows: list[str], m: Model) -> dict:
     """The piece's tokens as places among its sorted distinct keys, which are digests of words."""
-    place: defaultdict = defaultdict()
-    place.default_factory = place.__len__
-    words: list[bytes] = []
-    sizes = np.empty(len(rows), np.int64)
-    for k, t in enumerate(rows):
-        own = t.encode().lower().split()
-        sizes[k] = len(own) + 1
-        words += own
-    found = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-    keys = np.fromiter(map(_digest, place), np.uint64, len(place))
-    keys = np.concatenate([keys, np.array([END, BEGIN], np.uint64)])
-    tokens = np.full(int(sizes.sum()), len(place), np.int64)
-    inner = np.ones(len(tokens), bool)
-    inner[np.cumsum(sizes) - 1] = False
-    tokens[inner] = found
-    keys, nth = np.unique(keys, return_inverse=True)
-    tokens = nth[tokens]
+    found, sizes = _digests(rows)
+    sizes += 1
+    every = np.full(int(sizes.sum()) + 1, END, np.uint64)
+    every[-1] = BEGIN
+    inner = np.ones(len(every), bool)
+    inner[np.cumsum(sizes) - 1] = inner[-1] = False
+    every[inner] = found
+    keys, tokens = np.unique(every, return_inverse=True)
+    tokens = tokens[:-1]
     held = np.array([held_out(i, m.folds, m.held) for i in ids], bool)
     counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(keys))
     return {"ids": ids, "n_tokens": len(tokens), "n_train": int(counts.sum()), "sizes": pack(sizes), "held": pack(held.astype(np.int64)), "tokens": pack(tokens), "keys": keys.tobytes(), "counts": pack(counts)}
@@ -212,7 +234,7 @@ class _Pairs:
         self.order = np.argsort(bucket, kind="stable")
         self.nth = nth
         self.u, self.w, self.times, self.split, self.bucket = (x[self.order] for x in (u, w, times, shares > 1, bucket))
-        self.words = np.unique(self.ids[self.ids > 0])
+        self.words = np.sort(self.ids[self.ids > 0])  # a key's id is its own
 
 
 _ASKED = "kind string, bucket long, piece long, a binary, b binary, c binary, d binary"
@@ -304,7 +326,7 @@ def _recount(state: list[dict], sent: list[dict], m: Model, scale: _Scale | None
     else:
         rng = np.random.default_rng([m.seed, sweep, bucket, 1])
         before = unpack(state[0]["t"])
-        t = draw_tables(c, scale.tables - before, np.full(len(c), 1 / (scale.words + 1)), scale.d0, scale.strength0, m.moves, rng)
+        t = draw_tables(c, np.minimum(before, c), scale.tables - before, np.full(len(c), 1 / (scale.words + 1)), scale.d0, scale.strength0, m.steps, rng, sweep == 0)
     kept = (state[0]["kept"] if state else []) + ([pack(c), pack(t)] if keep else [])
     none = dict.fromkeys(("n1", "n2", "tables", "customers"))
     yield {"kind": "state", "bucket": bucket, "sender": None, "ids": pack(ids), "once": pack(once), "c": pack(c), "t": pack(t), "n1": int((c == 1).sum()), "n2": int((c == 2).sum()), "tables": int(t.sum()), "customers": int(c.sum()), "kept": kept}
@@ -332,7 +354,7 @@ def _resample(leaf: list[dict], replies: list[dict], m: Model, scale: _Scale, bu
         replies = sorted((r for r in replies if r["c"] is not None), key=lambda r: r["bucket"])
         p[np.argsort((dishes - 1) % buckets, kind="stable")] = np.concatenate([scale.parent(unpack(r["c"]), unpack(r["t"])) for r in replies])
     rng = np.random.default_rng([m.seed, sweep, row["bucket"], 0])
-    t = draw_tables(c, tables[which] - before, p[np.searchsorted(dishes, w)], scale.d, scale.strength, m.moves, rng)
+    t = draw_tables(c, before, tables[which] - before, p[np.searchsorted(dishes, w)], scale.d, scale.strength, m.steps, rng, sweep == 0)
     now = _tables_of_contexts(row, contexts, which, t)
     at = np.searchsorted(contexts, np.array([x["u"] for x in row["split"]], np.int64))
     row |= {"t": pack(t), "split": [{"u": x["u"], "t": int(n)} for x, n in zip(row["split"], now[at])]}
@@ -438,10 +460,10 @@ def score(docs: DataFrame, model: Model = Model(), key: str = "doc_id", text: st
     asks = _mapped(pieces.select("piece", "keys", "counts"), lambda r: _ask_words(r, buckets), "bucket long, piece long, keys binary, counts binary")
     answered = _schema(docs, _WORDS)
     count = lambda t: pa.Table.from_pylist(list(_count_words(_rows(t), buckets)), schema=answered)
-    words = common.materialise(asks.groupBy("bucket").applyInArrow(count, _WORDS), "lm-words")
-    n_words = words.agg(F.sum("known")).first()[0] or 0
+    counted = common.materialise(asks.groupBy("bucket").applyInArrow(count, _WORDS), "lm-words")
+    n_words = counted.agg(F.sum("known")).first()[0] or 0
 
-    asked = common.materialise(_met(pieces, words, "piece", lambda a, b: _ask_pairs(a, b, buckets, m), _ASKED), "lm-asked")
+    asked = common.materialise(_met(pieces, counted, "piece", lambda a, b: _ask_pairs(a, b, buckets, m), _ASKED), "lm-asked")
     common.release(spark)
     leaf_schema = _schema(docs, _LEAF)
     open_ = lambda t: pa.Table.from_pylist(list(_open_restaurants(_rows(t))), schema=leaf_schema)
@@ -477,5 +499,5 @@ def score(docs: DataFrame, model: Model = Model(), key: str = "doc_id", text: st
     answers = common.materialise(of_pairs.unionByName(of_words), "lm-answers")
     common.discard(asked, leaf, parent)
     common.release(spark)
-    given = answers.unionByName(words.select(F.lit("id").alias("kind"), "piece", "bucket", "ids", "counts", F.lit(None).cast("array<binary>").alias("more")))
+    given = answers.unionByName(counted.select(F.lit("id").alias("kind"), "piece", "bucket", "ids", "counts", F.lit(None).cast("array<binary>").alias("more")))
     return _met(pieces, given, "piece", lambda a, b: _scores(a, b, m, buckets, scales, n_train, n_words), _SCORES)

@@ -2,7 +2,8 @@
 
 A dish with c customers in a restaurant of discount d and strength s: the first customer opens a table; another one joins a table of
 n customers with weight n - d or opens one with weight (s + d * tables of the restaurant) * p, p being the dish's probability in
-the parent restaurant.  Only the number of tables enters the predictive probability and the parent's counts.
+the parent restaurant.  Only the number of tables enters the predictive probability and the parent's counts, so a Gibbs step draws
+that number for all customers of a dish at once.
 """
 
 from __future__ import annotations
@@ -38,77 +39,121 @@ def distinct_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return us[new], ws[new], nth
 
 
-def _seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each dish and their sizes, padded: customers come one after another.
+#: Up to so many customers all numbers of tables are weighed at once.
+WEIGHED = 96
 
-    Until the next table opens customers join an urn, so how many do is beta-geometric.  Sizes follow from the opening times, the last
-    table first: what it took of those who came after it is beta-binomial.
+
+def _ways(d: float) -> np.ndarray:
+    """log of the weight of all seatings of c customers at t tables, by (c, t): generalised Stirling numbers."""
+    ways = np.zeros((WEIGHED + 1, WEIGHED + 1))
+    ways[0, 0] = 1
+    t = np.arange(WEIGHED + 1)
+    for c in range(WEIGHED):
+        ways[c + 1] = np.maximum(c - d * t, 0) * ways[c]
+        ways[c + 1, 1:] += ways[c, :-1]
+    with np.errstate(divide="ignore"):
+        return np.log(ways)
+
+
+def _weigh(c: int, others: np.ndarray, p: np.ndarray, strength: float, d: float, ways: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of ``c`` customers each, from their distribution given all other tables: a Gibbs step of the whole dish."""
+    k = np.arange(c)
+    if c == 2:  # the two weights' ratio is all there is
+        new = (strength + d * (others + 1)) * p
+        return 1 + (rng.random(len(p)) * (1 - d + new) < new)
+    opened = np.log((strength + d * (others[:, None] + k)) * p[:, None])
+    weight = ways[c, 1 : c + 1] + np.cumsum(opened, axis=1)
+    weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    return 1 + (weight <= (rng.random(len(p)) * weight[:, -1])[:, None]).sum(axis=1)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x >= 1, by Stirling's series seven places on."""
+    z = x + 7.0
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(np.prod([x + k for k in range(7)], axis=0))
+
+
+def log_ways(c: np.ndarray, t: np.ndarray, d: float, nodes: int = 41) -> np.ndarray:
+    """log of the generalised Stirling number of many customers at t tables, in steps that do not grow with either.
+
+    It is c! / (t! d^t) times the coefficient of z^c in (1 - (1 - z)^d)^t: Cauchy's integral over z = exp(-q) through the saddle of
+    the integrand, by the trapezoid rule; near the singularity at q = 0 the path bends away from it.
+    """
+    c, t = c.astype(float), t.astype(float)
+    inner = t < c - 1.5
+    m = np.where(inner, t, 1.0)
+    low, high = np.full(len(c), np.log(1e-9)), np.full(len(c), np.log(60.0))
+    for _ in range(40):
+        mid = (low + high) / 2
+        y = -np.expm1(-np.exp(mid))
+        steep = m * d * y ** (d - 1) * (1 - y) / -np.expm1(d * np.log(y)) > c
+        low, high = np.where(steep, mid, low), np.where(steep, high, mid)
+    q0 = np.maximum(np.exp(mid), 4 / c)
+    y, e = -np.expm1(-q0), np.exp(-q0)
+    f, f1 = -np.expm1(d * np.log(y)), -d * y ** (d - 1) * e
+    f2 = -f1 + d * (1 - d) * y ** (d - 2) * e * e
+    bend = np.where(q0 < 0.3, 1 / (4 * q0), 0.0)
+    width = 1 / np.sqrt(np.maximum(m * (f2 / f - (f1 / f) ** 2), 0) + 2 * bend * c)
+    v = np.linspace(0, 9, nodes)[:, None] * width
+    q = q0 + 1j * v - bend * v * v
+    part = (np.exp(c * (q - q0) + m * (np.log(1 - (-np.expm1(-q)) ** d) - np.log(f))) * (1 + 2j * bend * v)).real
+    part[0] /= 2
+    found = _log_gamma(c + 1) - _log_gamma(m + 1) - m * np.log(d) + c * q0 + m * np.log(f) + np.log(np.abs(part.sum(axis=0)) * v[1] / np.pi)
+    return np.where(inner, found, np.where(t > c - 0.5, 0.0, np.log(c * (c - 1) / 2 * (1 - d))))
+
+
+def _walk(c: np.ndarray, t: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, steps: int, rng: np.random.Generator) -> np.ndarray:
+    """Metropolis steps from ``t`` towards the distribution that ``_weigh`` draws from, for dishes of many customers.
+
+    The first proposal is the limit of that distribution for customers that far outnumber the tables, a negative binomial; then
+    follow ``steps`` steps of a random walk as wide as it.
     """
-    n = len(c)
-    live, seated, births = np.arange(n), np.ones(n, np.int64), []
-    tables = np.ones(n, np.int64)
-    while len(live):
-        t, have = tables[live], seated[live]
-        open_ = (strength + d * (others[live] + t)) * p[live]
-        q = rng.beta(have - d * t, open_)
-        joins = np.minimum(np.floor(np.log1p(-rng.random(len(live))) / np.log(np.clip(q, 1e-300, 1 - 1e-16))), c[live]).astype(np.int64)
-        more = have + joins < c[live]
-        live = live[more]
-        seated[live] = (have + joins)[more] + 1
-        tables[live] += 1
-        births.append((live, seated[live].copy()))
-    sizes, left = np.zeros((n, int(tables.max(initial=1))), np.int64), c.copy()
-    for k, (rows, at) in reversed(list(enumerate(births, 1))):
-        if len(rows):
-            taken = 1 + rng.binomial(left[rows] - at, rng.beta(1 - d, at - 1 - d * k))
-            sizes[rows, k] = taken
-            left[rows] -= taken
-    sizes[:, 0] = left
-    return tables, sizes
-
-
-def _move(c: np.ndarray, sizes: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, moves: int, rng: np.random.Generator) -> np.ndarray:
-    """Gibbs steps: a random customer of each dish leaves and is seated anew, ``moves`` times, or as often as three scans of the
-    dish's customers take.  Tables after them."""
-    steps = np.minimum(moves, 3 * c)
-    rows = np.arange(len(c))
-    for k in range(int(steps.max(initial=0))):
-        live = rows if steps.min() > k else np.flatnonzero(steps > k)
-        m, size = sizes[live], c[live]
-        at = (np.cumsum(m, axis=1) <= (rng.random(len(live)) * size).astype(np.int64)[:, None]).sum(axis=1)
-        nth = np.arange(len(live))
-        m[nth, at] -= 1
-        t = (m > 0).sum(axis=1)
-        joined = np.cumsum(np.where(m > 0, m - d, 0.0), axis=1)
-        new = (strength + d * (others[live] + t)) * p[live]
-        pick = rng.random(len(live)) * (joined[:, -1] + new)
-        opens = pick >= joined[:, -1]
-        if opens.any() and (m[opens].min(axis=1) > 0).any():
-            m, sizes = np.pad(m, ((0, 0), (0, 1))), np.pad(sizes, ((0, 0), (0, 1)))
-        seat = np.where(opens, (m == 0).argmax(axis=1), np.minimum((joined <= pick[:, None]).sum(axis=1), m.shape[1] - 1))
-        m[nth, seat] += 1
-        sizes[live] = m
-    return (sizes > 0).sum(axis=1)
-
-
-def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, moves: int, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish: its customers are seated one after another and then moved by up to ``moves`` Gibbs steps.
-
-    ``others``: the restaurant's tables of other dishes.  A single customer has one table.
+    r = strength / d + others
+    mean = np.minimum(r * p / (1 - p), c)
+    side = lambda x: log_ways(c, x, d) + x * np.log(d) + _log_gamma(x.astype(float))
+    full = lambda s, x: s - _log_gamma(x.astype(float)) + _log_gamma(r + x + 1.0) - np.log(r + x) + x * np.log(p)
+    at = side(t)
+    for k in range(1 + steps):
+        if k == 0:
+            new = 1 + rng.negative_binomial(r + 1, 1 - p)
+        else:
+            step = np.rint(rng.normal(size=len(c)) * 1.5 * np.sqrt(1 + mean)).astype(np.int64)
+            new = t + np.where(step == 0, rng.choice([-1, 1], len(c)), step)
+        fits = (new >= 1) & (new <= c)
+        new = np.where(fits, new, t)
+        then = side(new)
+        gain = then - at if k == 0 else full(then, new) - full(at, t)
+        taken = fits & (np.log1p(-rng.random(len(c))) <= gain)
+        t, at = np.where(taken, new, t), np.where(taken, then, at)
+    return t
+
+
+def draw_tables(c: np.ndarray, before: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, steps: int, rng: np.random.Generator, first: bool = False) -> np.ndarray:
+    """Tables of each dish, a Gibbs step of all its customers, given ``before``, what it had, and ``others``, the tables of the
+    restaurant's other dishes.
+
+    A single customer has one table.  Up to ``WEIGHED`` customers the number of tables is drawn from its distribution; for more,
+    Metropolis steps within the Gibbs sweep leave that distribution as it is; at ``first`` they begin at a guess.
     """
     out = np.ones(len(c), np.int64)
-    many = np.flatnonzero(c > 1)
-    expected = (strength + d * (others[many] + 1)) * p[many]
-    expected = np.minimum(c[many], expected * np.log1p(c[many] / np.maximum(expected, 1e-9)))
-    many = many[np.lexsort((expected, c[many]))]
-    expected = np.sort(expected)
-    at = 0
-    while at < len(many):  # dishes of like size together, so that rows are padded little
-        size = int(c[many[at]])
-        to = min(at + 16384, int(np.searchsorted(c[many], size + max(0, size // 4), "right")))
-        to = max(at + 1, min(to, at + 4_000_000 // max(8, int(expected[to - 1]))))
-        rows = many[at:to]
-        _, sizes = _seat(c[rows], others[rows], p[rows], d, strength, rng)
-        out[rows] = _move(c[rows], sizes, others[rows], p[rows], d, strength, moves, rng)
-        at = to
+    ways = _ways(d)
+    order = np.argsort(c, kind="stable")
+    order = order[np.searchsorted(c[order], 2) :]
+    sizes, at = np.unique(c[order], return_index=True)
+    ends = [*at[1:].tolist(), len(order)]
+    done = 0
+    for size, start, end in zip(sizes.tolist(), at.tolist(), ends):
+        if size > WEIGHED:
+            break
+        for k in range(start, end, 1 << 16):
+            rows = order[k : min(end, k + (1 << 16))]
+            out[rows] = _weigh(size, others[rows], p[rows], strength, d, ways, rng)
+        done = end
+    for k in range(done, len(order), 1 << 14):
+        rows = order[k : k + (1 << 14)]
+        t = before[rows]
+        if first:
+            guess = 1 + (strength / d + others[rows]) * p[rows] / (1 - p[rows])
+            t = np.clip(guess, 1, 0.8 * c[rows]).astype(np.int64)
+        out[rows] = _walk(c[rows], t, others[rows], p[rows], d, strength, steps, rng)
     return out

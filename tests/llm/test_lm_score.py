@@ -32,38 +32,47 @@ def plain_base(docs):
     return [(i, held(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, sum(log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))) for i, t in docs]
 
 
+def exact_ways(c, d):
+    """log of the weight of all seatings of c customers at 0, 1, ... tables, customer by customer."""
+    t, ways = np.arange(c + 1), np.full(c + 1, -np.inf)
+    ways[0] = 0
+    with np.errstate(divide="ignore"):
+        for k in range(c):
+            ways = np.logaddexp(np.log(np.maximum(k - d * t, 0)) + ways, np.append(-np.inf, ways[:-1]))
+    return ways
+
+
 def exact_tables(c, others, p, d, strength):
-    ways = np.zeros((c + 1, c + 2))
-    ways[0, 0] = 1
-    for i in range(c):
-        for t in range(i + 2):
-            ways[i + 1, t] += (ways[i, t - 1] if t else 0) + (i - d * t) * ways[i, t]
-    w = np.array([ways[c, t] * np.prod([(strength + d * (others + i)) * p for i in range(t)]) for t in range(1, c + 1)])
-    return w / w.sum()
+    weight = exact_ways(c, d)[1:] + np.cumsum(np.log((strength + d * (others + np.arange(c))) * p))
+    weight = np.exp(weight - weight.max())
+    return weight / weight.sum()
+
+
+@pytest.mark.parametrize("d", [0.05, 0.3, 0.72, 0.85])
+def test_ways_of_many_customers(d):
+    for c in (97, 400, 1500):
+        t = np.unique(np.clip(np.array([1, 2, 3, 5, 9, 20, 50, 90, 200, 380, 1000, 1490, c - 1, c]), 1, c))
+        assert abs(seating.log_ways(np.full(len(t), c), t, d) - exact_ways(c, d)[t]).max() < 0.01
+    assert abs(np.exp(seating._ways(d)[40, 1:41] - exact_ways(40, d)[1:]) - 1).max() < 1e-9
 
 
-@pytest.mark.parametrize("c, others, p", [(2, 3, 0.2), (5, 4, 0.3), (9, 10, 0.1), (12, 500, 0.002)])
+@pytest.mark.parametrize("c, others, p", [(2, 3, 0.2), (5, 4, 0.3), (9, 10, 0.1), (60, 500, 0.01), (97, 10, 0.3), (300, 500, 0.01), (300, 20_000, 0.01)])
 def test_gibbs_steps_leave_the_exact_distribution(c, others, p):
-    rng, n = np.random.default_rng(5), 40_000
-    sizes = np.zeros((n, 1), np.int64)
-    sizes[:, 0] = c
-    full = [np.full(n, x) for x in (c, others, p)]
-    for _ in range(12):
-        t, padded = seating._seat(*full, 0.7, 1.0, rng) if _ == 0 else (t, sizes)
-        assert (padded.sum(axis=1) == c).all()
-        sizes = np.pad(padded, ((0, 0), (0, c + 1 - padded.shape[1]))) if padded.shape[1] <= c else padded
-        t = seating._move(full[0], sizes, full[1], full[2], 0.7, 1.0, 3 * c, rng)
-    seen = np.bincount(t, minlength=c + 1)[1 : c + 1] / n
-    assert abs(seen - exact_tables(c, others, p, 0.7, 1.0)).max() < 0.012
-
-
-def test_seating_of_many_customers():
-    rng = np.random.default_rng(0)
-    c = np.array([1, 2, 3, 10, 1000, 10**6, 10**9])
-    t = seating.draw_tables(c, np.full(7, 100), np.full(7, 0.01), 0.7, 1.0, 48, rng)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1 and t[-1] > 3
-    _, sizes = seating._seat(c, np.full(7, 100), np.full(7, 0.01), 0.7, 1.0, rng)
-    assert (sizes.sum(axis=1) == c).all()
+    rng, n = np.random.default_rng(5), 20_000
+    full, t = [np.full(n, x) for x in (c, others, p)], np.ones(n, np.int64)
+    for sweep in range(12 if c > seating.WEIGHED else 1):
+        t = seating.draw_tables(full[0], t, full[1], full[2], 0.7, 1.0, 4, rng, sweep == 0)
+    want, at = exact_tables(c, others, p, 0.7, 1.0), np.arange(1, c + 1)
+    mean = (want * at).sum()
+    assert abs(np.bincount(t, minlength=c + 1)[1 : c + 1] / n - want).max() < 0.015
+    assert t.mean() == pytest.approx(mean, rel=0.02) and t.var() == pytest.approx((want * at**2).sum() - mean**2, rel=0.1)
+
+
+def test_any_number_of_customers():
+    c = np.array([1, 2, 3, 10, 1000, 10**6, 10**9, 10**12])
+    t = seating.draw_tables(c, np.ones(8, np.int64), np.full(8, 100), np.full(8, 0.01), 0.7, 1.0, 4, np.random.default_rng(0), True)
+    assert (t >= 1).all() and (t <= np.minimum(c, 20)).all()
+    assert seating.draw_tables(c[:0], c[:0], c[:0], np.zeros(0), 0.7, 1.0, 4, np.random.default_rng(0)).tolist() == []
 
 
 def test_packed_arrays_and_pairs():
