@@ -1,14 +1,14 @@
-"""Labelled volumes: histograms, thresholds, intensity windows, nearest centres, voxel components."""
+"""Labelled volumes: histograms, thresholds, intensity windows, nearest centres."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import nearest_of_many
+
 
 def histogram(rows: DataFrame, keys: list[str], label: str, unit: float) -> DataFrame:
     """Voxels and volume of each label but the background, 0."""
@@ -96,16 +96,12 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 def nearest(rows: DataFrame, key: str, vector: str, centres: DataFrame, label: str, bound: int = 10_000) -> DataFrame:
     """(key, nearest label, squared distance), of equally near labels the smallest.
 
-    The centres' number is counted: lots of about ``bound`` go to every task, and the best of several lots is taken by key.
+    The centres are counted: up to ``bound`` of them go to every task, more are met in blocks by projection.
     """
-    found = None
-    lots = max(1, -(-centres.count() // bound))
-    for i in range(lots):
-        lot = centres if lots == 1 else centres.filter(F.pmod(F.xxhash64(label), F.lit(lots)) == i)
-        held = sorted((r[0], tuple(r[1])) for r in lot.select(label, "centre").collect())  # about ``bound`` centres
-        part = rows.select(key, _nearest_of(rows.sparkSession.sparkContext.broadcast(held), dict(lot.dtypes)[label])(vector).alias("b"))
-        found = part if found is None else found.unionByName(part)
-    best = found if lots == 1 else found.groupBy(key).agg(F.min("b").alias("b"))
+    if centres.limit(bound + 1).count() > bound:
+        return nearest_of_many(rows, key, vector, centres, label, "centre").select(key, "nearest", "d2")
+    held = sorted((r[0], tuple(r[1])) for r in centres.select(label, "centre").collect())  # ``bound`` at most
+    best = rows.select(key, _nearest_of(rows.sparkSession.sparkContext.broadcast(held), dict(centres.dtypes)[label])(vector).alias("b"))
     return best.select(key, F.col("b.l").alias("nearest"), F.col("b.d").alias("d2"))
 
 
@@ -118,11 +114,14 @@ def _nearest_of(held, kind: str):
         if not labels:
             return pd.DataFrame({"d": [None] * len(vectors), "l": [None] * len(vectors)})
         centres = np.array([c for _, c in held.value], np.float64)
-        out = []
-        for v in vectors:
-            d = ((centres - np.asarray(v, np.float64)) ** 2).sum(axis=1)
-            out.append((d.min(), labels[int(d.argmin())]))
-        return pd.DataFrame(out, columns=["d", "l"])
+        given = np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), -1)
+        d = np.full(len(given), np.inf)
+        nth = np.zeros(len(given), np.int64)
+        for k, c in enumerate(centres):  # one centre against the batch
+            own = ((given - c) ** 2).sum(axis=1)
+            nth[own < d] = k
+            d = np.minimum(d, own)
+        return pd.DataFrame({"d": d, "l": [labels[k] for k in nth.tolist()]})
 
     return run
 
@@ -131,34 +130,3 @@ def superior_axis(a: tuple[Column, Column, Column], b: tuple[Column, Column, Col
     """The axis in which two centres differ most, 0, 1 or 2."""
     gaps = [F.abs(x - y) for x, y in zip(a, b)]
     return F.array_max(F.array(*(F.struct(g.alias("g"), F.lit(-i).alias("i")) for i, g in enumerate(gaps))))["i"] * -1
-
-
-def voxel_components(volumes: DataFrame, connectivity: int = 6) -> DataFrame:
-    """(case_id, label, component, n_voxels) of volumes (case_id, shape array<int>, voxels binary int16), a volume at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for case, shape, data in zip(pdf["case_id"], pdf["shape"], pdf["voxels"]):
-                grid = np.frombuffer(data, "<i2").reshape(tuple(shape))
-                rows = [(case, int(label), k, n) for label in np.unique(grid) if label for k, n in enumerate(component_sizes(grid == label))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["case_id", "label", "component", "n_voxels"])
-
-    return volumes.select("case_id", "shape", "voxels").mapInPandas(run, "case_id string, label int, component int, n_voxels long")
-
-
-def component_sizes(mask: np.ndarray) -> list[int]:
-    """Sizes of the face-connected parts of a mask, largest first: labels spread by minimum until nothing changes."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        new = label.copy()
-        for axis in range(mask.ndim):
-            for one, two in (((slice(1, None)), (slice(None, -1))), ((slice(None, -1)), (slice(1, None)))):
-                a = tuple(one if k == axis else slice(None) for k in range(mask.ndim))
-                b = tuple(two if k == axis else slice(None) for k in range(mask.ndim))
-                both = mask[a] & mask[b]
-                new[a] = np.where(both, np.maximum(new[a], label[b]), new[a])
-        if (new == label).all():
-            break
-        label = new
-    return sorted(np.unique(label[mask], return_counts=True)[1].tolist(), reverse=True)

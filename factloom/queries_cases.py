@@ -378,27 +378,27 @@ def windowed_counts(spark, sf_dir):
 
 # --- plans of questions
 
-@query("""WITH c AS (SELECT l_orderkey AS call, l_partkey + 7 AS fact, CASE WHEN l_linenumber < 5 THEN ['Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22', 'Brand#23'] ELSE ['Brand#31', 'Brand#33', 'Brand#44', 'Brand#55'] END AS images FROM lineitem WHERE l_returnflag = 'R')
+@query("""WITH c AS (SELECT l_orderkey AS call, l_partkey + 7 AS fact, CASE WHEN l_linenumber < 5 THEN ['Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22', 'Brand#23'] ELSE ['Brand#31', 'Brand#33', 'Brand#44', 'Brand#55'] END AS images FROM lineitem)
  SELECT error, count(*) AS n, sum(fact)::BIGINT AS total FROM (
   SELECT DISTINCT fact, 'unknown' AS error FROM c WHERE fact NOT IN (SELECT p_partkey FROM part)
   UNION ALL SELECT fact, 'duplicate' FROM c GROUP BY fact HAVING count(*) > 1
   UNION ALL SELECT p_partkey, 'unplaced' FROM part WHERE p_partkey NOT IN (SELECT fact FROM c)
   UNION ALL SELECT DISTINCT fact, 'image_mismatch' FROM c JOIN part ON fact = p_partkey WHERE NOT list_contains(images, p_brand)) GROUP BY error""")
 def plan_errors(spark, sf_dir):
-    """Returned lines as a plan over parts: what it asks that is unknown, asked twice, not asked, or not shown."""
+    """Lines as a plan over parts: what it asks that is unknown, asked twice, not asked, or not shown."""
     some = lambda *b: F.array(*map(F.lit, b))
     images = F.when(F.col("l_linenumber") < 5, some("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22", "Brand#23")).otherwise(some("Brand#31", "Brand#33", "Brand#44", "Brand#55"))
-    plan = _read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("call"), (F.col("l_partkey") + 7).alias("fact"), images.alias("images"))
+    plan = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call"), (F.col("l_partkey") + 7).alias("fact"), images.alias("images"))
     found = calls.plan_errors(plan, _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("fact"), F.col("p_brand").alias("image")))
     return found.groupBy("error").agg(F.count("*").alias("n"), F.sum("fact").alias("total"))
 
 
-@query("""SELECT o_orderkey AS case_id, array_to_string(list_sort(list('p' || l_linenumber || l_returnflag) FILTER (l_returnflag IS NOT NULL)), ',') AS paths, count(*) FILTER (l_returnflag IS NULL) AS n_missing FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 3) ON o_orderkey = l_orderkey GROUP BY o_orderkey""".replace(
-    "FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber <= 3) ON o_orderkey = l_orderkey GROUP BY o_orderkey",
-    "FROM (SELECT o_orderkey, unnest([1, 2, 3]) AS k FROM orders) LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = k GROUP BY o_orderkey"))
+@query("""WITH asked AS (SELECT o_orderkey, unnest(range(1, 8)) AS k FROM orders)
+ SELECT o_orderkey AS case_id, coalesce(array_to_string(list_sort(list('p' || l_linenumber || l_returnflag) FILTER (l_returnflag IS NOT NULL)), ','), '') AS paths, count(*) FILTER (l_returnflag IS NULL) AS n_missing
+ FROM asked LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = k GROUP BY o_orderkey""")
 def calls_with_images(spark, sf_dir):
-    """Each order asks for three images; lines stand for those there are."""
-    plan = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("q").alias("call"), F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("images"))
+    """Each order asks for seven images; lines stand for those there are."""
+    plan = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("q").alias("call"), F.array(*(F.lit(str(k)) for k in range(1, 8))).alias("images"))
     images = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("image_key"), F.concat(F.lit("p"), "l_linenumber", "l_returnflag").alias("path"))
     return calls.with_images(plan, images).select("case_id", F.array_join("paths", ",").alias("paths"), "n_missing")
 

@@ -1,8 +1,9 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-from . import queries, queries_cases
+from . import queries, queries_cases, queries_space
 
-QUERIES = queries.QUERIES | queries_cases.QUERIES
-SQL = queries.SQL | queries_cases.SQL
+_MODULES = (queries, queries_cases, queries_space)
+QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 
 __all__ = ["QUERIES", "SQL"]

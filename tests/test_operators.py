@@ -205,12 +205,6 @@ def test_audit(spark):
 
 
 def test_volumes(spark):
-    grid = np.zeros((3, 4, 5), "<i2")
-    grid[0, 0, :3] = 7
-    grid[2, 3, 4] = 7
-    grid[1, 1, 1] = 9
-    df = spark.createDataFrame([("c", [3, 4, 5], bytearray(grid.tobytes()))], "case_id string, shape array<int>, voxels binary")
-    assert sorted((r.label, r.component, r.n_voxels) for r in volumes.voxel_components(df).collect()) == [(7, 0, 3), (7, 1, 1), (9, 0, 1)]
     few = frame(spark, [(1, float(i)) for i in range(60)] + [(2, 1.0)], "l int, v double")
     assert volumes.robust_ceiling(few, "l", "v").head().n_labels == 1
     assert volumes.percentile_window(few.limit(0), "v", 0.1, 0.9).head().low is None

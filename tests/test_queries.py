@@ -13,11 +13,14 @@ OWN = sorted(k for k in entry.oracle_sql() if not k.startswith("op"))
 
 
 def plain(x):
-    if isinstance(x, (float, np.floating)):
-        return "" if x != x else f"{x:.5f}"
-    if x is None or x is pd.NaT or x is pd.NA:
-        return ""
-    return f"{float(x):.5f}" if isinstance(x, (int, np.integer)) and not isinstance(x, (bool, np.bool_)) else str(x)
+    """Null (NaN too, which pandas makes of it) is not the empty string, and numbers keep ten digits."""
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, (float, np.floating)) and x != x):
+        return "<null>"
+    if isinstance(x, (bool, np.bool_)):
+        return str(bool(x))
+    if isinstance(x, (float, np.floating, int, np.integer)):
+        return f"{float(x):.10g}"
+    return repr(x) if isinstance(x, str) else str(x)
 
 
 def rows_of(df):
