@@ -1,55 +1,84 @@
-"""Teeth that a sentence names by their place in the mouth ("upper right third molar") instead of by number."""
+"""Teeth that a sentence names by their place in the mouth ("upper right third molar") instead of by number.
+
+Two small dimensions hold what there is, teeth by place in a quadrant and quadrants by arch and side; patterns are made from their
+words, and a sentence keeps the rows it speaks of.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: words for tooth kinds with their places in a quadrant (the last of a family is its general word), ordinals,
-# quadrant names, and the quadrants of each arch
-FAMILIES = (
-    (("third molar|wisdom", (8,)), ("second molar", (7,)), ("first molar", (6,)), (r"\bmolars?\b", (6, 7, 8))),
-    (("second premolar|second bicuspid", (5,)), ("first premolar|first bicuspid", (4,)), (r"\b(?:premolars?|bicuspids?)\b", (4, 5))),
-    (("lateral incisor", (2,)), ("central incisor", (1,)), (r"\bincisors?\b", (1, 2))),
-    ((r"\b(?:canines?|cuspids?)\b", (3,)),),
-)
-ORDINALS = (("first", "1st"), ("second", "2nd"), ("third", "3rd"), ("fourth", "4th"), ("fifth", "5th"), ("sixth", "6th"), ("seventh", "7th"), ("eighth", "8th"))
-QUADRANTS = (("1st|first|I", "1|I"), ("2nd|second|II", "2|II"), ("3rd|third|III", "3|III"), ("4th|fourth|IV", "4|IV"))
-ARCHES = {"maxilla": (1, 2), "mandible": (3, 4)}
-SHARED = r"(?i)((?:(?:first|second|third|1st|2nd|3rd)\b[\s,]*(?:and\s+)?){2,3})(molars?|premolars?|bicuspids?)"
+# fixed values: words of the language
+ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth"]
+ROMAN = ["I", "II", "III", "IV"]
+NOUNS = {"incisor": ["incisor"], "canine": ["canine", "cuspid"], "premolar": ["premolar", "bicuspid"], "molar": ["molar"]}
+TEETH = [(1, "central", "incisor"), (2, "lateral", "incisor"), (3, "", "canine"), (4, "first", "premolar"), (5, "second", "premolar"), (6, "first", "molar"), (7, "second", "molar"), (8, "third", "molar")]
+OWN_NAMES = {8: "wisdom"}
+ARCH_WORDS = {"maxilla": "maxill|upper", "mandible": "mandib|lower"}
+SIDE_WORDS = {"right": r"\bright\b", "left": r"\bleft\b"}
+BOTH_SIDES = "bilat|both|ipsilateral|contralateral"
+QUADRANTS = [(1, "maxilla", "right"), (2, "maxilla", "left"), (3, "mandible", "left"), (4, "mandible", "right")]
+COUNTED = r"tooth|element|dental element|e\.?d\.?"
+
+
+def _nth(n: int) -> str:
+    """The ordinal in letters and in figures."""
+    return f"{ORDINALS[n - 1]}|{n}{ {1: 'st', 2: 'nd', 3: 'rd'}.get(n, 'th')}"
+
+
+def _says(text: Column, pattern: Column | str) -> Column:
+    return F.rlike(text, F.concat(F.lit("(?i)"), F.lit(pattern) if isinstance(pattern, str) else pattern))
+
+
+def _dimension(rows: list[dict]) -> Column:
+    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in rows))
 
 
-def _has(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?i){pattern}")
+def _teeth() -> Column:
+    """(place, noun, whole name, bare noun) of every tooth of a quadrant; one without a qualifier has no whole name of its own."""
+    rows = []
+    for place, qualifier, noun in TEETH:
+        words = NOUNS[noun]
+        names = [f"{qualifier} {w}" for w in words if qualifier] + [w for p, w in OWN_NAMES.items() if p == place]
+        rows.append({"place": place, "noun": noun, "named": "|".join(names) or r"(?!)", "bare": rf"\b(?:{'|'.join(words)})s?\b"})
+    return _dimension(rows)
 
 
-def _some(condition: Column, values) -> Column:
-    return F.when(condition, F.array(*map(F.lit, values))).otherwise(F.array().cast("array<int>"))
+def _listed(text: Column) -> Column:
+    """Places of teeth that share a noun: "first and second molars"."""
+    few = "|".join(_nth(n) for n in (1, 2, 3))
+    nouns = {w: kind for kind in ("molar", "premolar") for w in NOUNS[kind]}
+    phrase = rf"(?i)(?:(?:{few})\b[\s,]*(?:and\s+)?){{2,3}}(?:{'|'.join(sorted(nouns))})s?"
+    before = {kind: min(place for place, _, noun in TEETH if noun == kind) - 1 for kind in ("molar", "premolar")}
+    shift = lambda p: F.coalesce(*(F.when(_says(p, rf"(?<![a-z]){w}s?$"), F.lit(before[kind])) for w, kind in nouns.items()))
+    own = lambda p: F.filter(_dimension([{"n": n, "says": rf"\b(?:{_nth(n)})\b"} for n in (1, 2, 3)]), lambda r: _says(p, r["says"]))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(phrase), F.lit(0)), lambda p: F.transform(own(p), lambda r: r["n"] + shift(p))))
 
 
 def kinds_named(text: Column) -> Column:
-    """Places in a quadrant (1 to 8) of the tooth kinds a sentence names."""
-    found = []
-    for *specific, (word, places) in FAMILIES:
-        own = F.flatten(F.array(*(_some(_has(text, p), d) for p, d in specific))) if specific else F.array().cast("array<int>")
-        found.append(F.when(F.size(own) > 0, own).otherwise(_some(_has(text, word), places)))
-    heads = F.zip_with(F.regexp_extract_all(text, F.lit(SHARED), F.lit(1)), F.regexp_extract_all(text, F.lit(SHARED), F.lit(2)), lambda o, h: F.transform(
-        F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.coalesce(*(F.when((n == i + 1) & o.rlike(rf"(?i)\b(?:{a}|{b})\b"), F.lit(True)) for i, (a, b) in enumerate(ORDINALS[:3])), F.lit(False))),
-        lambda n: n + F.when(h.rlike("(?i)^molar"), 5).otherwise(3)))
-    counted = [_some(_has(text, rf"\b(?:{a}|{b})\s+(?:tooth|element|dental element|e\.?d\.?)"), (i + 1,)) for i, (a, b) in enumerate(ORDINALS)]
-    return F.array_distinct(F.concat(*found, F.flatten(heads), *counted))
+    """Places in a quadrant (1 to 8) of the tooth kinds a sentence names: by whole name, by bare noun if no tooth of that noun has
+    its whole name there, by a shared noun, or by count ("fourth tooth")."""
+    teeth = _teeth()
+    whole = F.transform(F.filter(teeth, lambda r: _says(text, r["named"])), lambda r: r["noun"])
+    spoken = F.filter(teeth, lambda r: _says(text, r["named"]) | (_says(text, r["bare"]) & ~F.array_contains(whole, r["noun"])))
+    counted = F.filter(_dimension([{"n": n, "says": rf"\b(?:{_nth(n)})\s+(?:{COUNTED})"} for n in range(1, 9)]), lambda r: _says(text, r["says"]))
+    return F.array_distinct(F.concat(F.transform(spoken, lambda r: r["place"]), _listed(text), F.transform(counted, lambda r: r["n"])))
 
 
 def quadrants_named(text: Column, arch: str) -> Column:
-    """The arch's quadrants a sentence means: those it names, else those its words for arch and side leave."""
-    named = F.flatten(F.array(*(_some(_has(text, rf"(?:\b(?:{a})\s+quadrant|quadrant\s+(?:{b})\b)"), (i + 1,)) for i, (a, b) in enumerate(QUADRANTS))))
-    right, left = _has(text, r"\bright\b"), _has(text, r"\bleft\b")
-    both = _has(text, "bilat|both|ipsilateral|contralateral") | (right & left)
-    meant = F.filter(
-        F.array(*map(F.lit, ARCHES[arch])),
-        lambda q: ~(_has(text, "maxill|upper") & ~q.isin(1, 2)) & ~(_has(text, "mandib|lower") & ~q.isin(3, 4)) & (both | (~(right & ~q.isin(1, 4)) & ~(left & ~q.isin(2, 3)))),
-    )
-    return F.array_intersect(F.when(F.size(named) > 0, named).otherwise(meant), F.array(*map(F.lit, ARCHES[arch])))
+    """The arch's quadrants a sentence means: those it names as quadrants, else those that its words for arch and side leave."""
+    rows = []
+    for n, own_arch, side in QUADRANTS:
+        other_arch, other_side = next(w for a, w in ARCH_WORDS.items() if a != own_arch), next(w for s, w in SIDE_WORDS.items() if s != side)
+        called = rf"\b(?:{_nth(n)}|{ROMAN[n - 1]})\s+quadrant|quadrant\s+(?:{n}|{ROMAN[n - 1]})\b"
+        rows.append({"n": n, "arch": own_arch, "called": called, "other_arch": other_arch, "other_side": other_side})
+    quadrants = _dimension(rows)
+    both = _says(text, BOTH_SIDES) | (_says(text, SIDE_WORDS["right"]) & _says(text, SIDE_WORDS["left"]))
+    called = F.filter(quadrants, lambda r: _says(text, r["called"]))
+    left = F.filter(quadrants, lambda r: ~_says(text, r["other_arch"]) & (both | ~_says(text, r["other_side"])))
+    meant = F.filter(F.when(F.size(called) > 0, called).otherwise(left), lambda r: r["arch"] == arch)
+    return F.transform(meant, lambda r: r["n"])
 
 
 def positions_meant(text: Column, arch: str) -> Column:
