@@ -95,7 +95,7 @@ def held_out(doc_id: int | None, folds: int = 5, held: int = 1) -> bool:
 
 # --- pieces
 
-_PIECE = "piece long, ids array<long>, n_tokens long, n_train long, sizes binary, held binary, tokens binary, keys binary, counts binary"
+_PIECE = "piece long, ids array<long>, n_tokens long, n_train long, begin long, end long, sizes binary, held binary, tokens binary, keys binary, counts binary"
 
 
 def _schema(df: DataFrame, ddl: str) -> pa.Schema:
@@ -115,7 +115,8 @@ def _piece(ids: list, rows: list[str], m: Model) -> dict:
     tokens = tokens[:-1]
     held = np.array([held_out(i, m.folds, m.held) for i in ids], bool)
     counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(keys))
-    return {"ids": ids, "n_tokens": len(tokens), "n_train": int(counts.sum()), "sizes": pack(sizes), "held": pack(held.astype(np.int64)), "tokens": pack(tokens), "keys": keys.tobytes(), "counts": pack(counts)}
+    begin, end = np.searchsorted(keys, np.array([BEGIN, END], np.uint64)).tolist()
+    return {"ids": ids, "n_tokens": len(tokens), "n_train": int(counts.sum()), "begin": begin, "end": end, "sizes": pack(sizes), "held": pack(held.astype(np.int64)), "tokens": pack(tokens), "keys": keys.tobytes(), "counts": pack(counts)}
 
 
 def _pieces(docs: DataFrame, m: Model) -> DataFrame:
@@ -210,8 +211,7 @@ class _Pairs:
         answers = sorted((a for a in answers if a["ids"] is not None), key=lambda a: a["bucket"])
         self.ids = np.concatenate([unpack(a["ids"]) for a in answers])
         self.counts = np.concatenate([unpack(a["counts"]) for a in answers])
-        keys = np.frombuffer(piece["keys"], np.uint64)
-        begin, end = np.searchsorted(keys, np.array([BEGIN, END], np.uint64)).tolist()
+        begin, end = piece["begin"], piece["end"]
         self.customers = self.counts.copy()  # of a word's restaurant; that of the beginning has one for each text
         self.customers[begin], self.customers[end] = self.counts[end], 0
         self.sizes, held = unpack(piece["sizes"]), unpack(piece["held"]) > 0
@@ -456,6 +456,7 @@ def score(docs: DataFrame, model: Model = Model(), key: str = "doc_id", text: st
     pieces = common.materialise(_pieces(common.texts(docs, key, text), m), "lm-pieces")
     n_all, n_train = (x or 0 for x in pieces.agg(F.sum("n_tokens"), F.sum("n_train")).first())
     buckets = max(1, -(-n_all // m.per_bucket))
+    texts = pieces.select("piece", "ids", "begin", "end", "sizes", "held", "tokens")  # once the words are asked for, their digests stay behind
 
     asks = _mapped(pieces.select("piece", "keys", "counts"), lambda r: _ask_words(r, buckets), "bucket long, piece long, keys binary, counts binary")
     answered = _schema(docs, _WORDS)
@@ -463,7 +464,7 @@ def score(docs: DataFrame, model: Model = Model(), key: str = "doc_id", text: st
     counted = common.materialise(asks.groupBy("bucket").applyInArrow(count, _WORDS), "lm-words")
     n_words = counted.agg(F.sum("known")).first()[0] or 0
 
-    asked = common.materialise(_met(pieces, counted, "piece", lambda a, b: _ask_pairs(a, b, buckets, m), _ASKED), "lm-asked")
+    asked = common.materialise(_met(texts, counted, "piece", lambda a, b: _ask_pairs(a, b, buckets, m), _ASKED), "lm-asked")
     common.release(spark)
     leaf_schema = _schema(docs, _LEAF)
     open_ = lambda t: pa.Table.from_pylist(list(_open_restaurants(_rows(t))), schema=leaf_schema)
@@ -500,4 +501,4 @@ def score(docs: DataFrame, model: Model = Model(), key: str = "doc_id", text: st
     common.discard(asked, leaf, parent)
     common.release(spark)
     given = answers.unionByName(counted.select(F.lit("id").alias("kind"), "piece", "bucket", "ids", "counts", F.lit(None).cast("array<binary>").alias("more")))
-    return _met(pieces, given, "piece", lambda a, b: _scores(a, b, m, buckets, scales, n_train, n_words), _SCORES)
+    return _met(texts, given, "piece", lambda a, b: _scores(a, b, m, buckets, scales, n_train, n_words), _SCORES)
