@@ -27,22 +27,19 @@ def _nth(n: int) -> str:
     return f"{ORDINALS[n - 1]}|{n}{ {1: 'st', 2: 'nd', 3: 'rd'}.get(n, 'th')}"
 
 
-def _says(text: Column, pattern: Column | str) -> Column:
-    return F.rlike(text, F.concat(F.lit("(?i)"), F.lit(pattern) if isinstance(pattern, str) else pattern))
+def _says(text: Column, pattern: str) -> Column:
+    return text.rlike(f"(?i){pattern}")
 
 
-def _dimension(rows: list[dict]) -> Column:
-    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in rows))
+def _those(pairs: list[tuple[Column, Column | int]]) -> Column:
+    """The values whose condition holds; patterns stay literals, which are compiled once."""
+    return F.array_compact(F.array(*(F.when(holds, value if isinstance(value, Column) else F.lit(value)) for holds, value in pairs)))
 
 
-def _teeth() -> Column:
-    """(place, noun, whole name, bare noun) of every tooth of a quadrant; one without a qualifier has no whole name of its own."""
-    rows = []
-    for place, qualifier, noun in TEETH:
-        words = NOUNS[noun]
-        names = [f"{qualifier} {w}" for w in words if qualifier] + [w for p, w in OWN_NAMES.items() if p == place]
-        rows.append({"place": place, "noun": noun, "named": "|".join(names) or r"(?!)", "bare": rf"\b(?:{'|'.join(words)})s?\b"})
-    return _dimension(rows)
+def _whole_name(qualifier: str, noun: str, place: int) -> str:
+    """Pattern of a tooth's name with its qualifier, or of a name of its own; one without either matches nothing."""
+    names = [f"{qualifier} {w}" for w in NOUNS[noun] if qualifier] + [w for p, w in OWN_NAMES.items() if p == place]
+    return "|".join(names) or "(?!)"
 
 
 def _listed(text: Column) -> Column:
@@ -52,35 +49,36 @@ def _listed(text: Column) -> Column:
     phrase = rf"(?i)(?:(?:{few})\b[\s,]*(?:and\s+)?){{2,3}}(?:{'|'.join(sorted(nouns))})s?"
     before = {kind: min(place for place, _, noun in TEETH if noun == kind) - 1 for kind in ("molar", "premolar")}
     shift = lambda p: F.coalesce(*(F.when(_says(p, rf"(?<![a-z]){w}s?$"), F.lit(before[kind])) for w, kind in nouns.items()))
-    own = lambda p: F.filter(_dimension([{"n": n, "says": rf"\b(?:{_nth(n)})\b"} for n in (1, 2, 3)]), lambda r: _says(p, r["says"]))
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(phrase), F.lit(0)), lambda p: F.transform(own(p), lambda r: r["n"] + shift(p))))
+    own = lambda p: _those([(_says(p, rf"\b(?:{_nth(n)})\b"), n + shift(p)) for n in (1, 2, 3)])
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(phrase), F.lit(0)), own))
 
 
 def kinds_named(text: Column) -> Column:
     """Places in a quadrant (1 to 8) of the tooth kinds a sentence names: by whole name, by bare noun if no tooth of that noun has
     its whole name there, by a shared noun, or by count ("fourth tooth")."""
-    teeth = _teeth()
-    whole = F.transform(F.filter(teeth, lambda r: _says(text, r["named"])), lambda r: r["noun"])
-    spoken = F.filter(teeth, lambda r: _says(text, r["named"]) | (_says(text, r["bare"]) & ~F.array_contains(whole, r["noun"])))
-    counted = F.filter(_dimension([{"n": n, "says": rf"\b(?:{_nth(n)})\s+(?:{COUNTED})"} for n in range(1, 9)]), lambda r: _says(text, r["says"]))
-    return F.array_distinct(F.concat(F.transform(spoken, lambda r: r["place"]), _listed(text), F.transform(counted, lambda r: r["n"])))
+    spoken = []
+    for noun, words in NOUNS.items():
+        own = [(place, _whole_name(qualifier, noun, place)) for place, qualifier, n in TEETH if n == noun]
+        bare = _says(text, rf"\b(?:{'|'.join(words)})s?\b") & ~_says(text, "|".join(f"(?:{name})" for _, name in own))
+        spoken += [(_says(text, name) | bare, place) for place, name in own]
+    counted = [(_says(text, rf"\b(?:{_nth(n)})\s+(?:{COUNTED})"), n) for n in range(1, 9)]
+    return F.array_distinct(F.concat(_those(spoken), _listed(text), _those(counted)))
 
 
 def quadrants_named(text: Column, arch: str) -> Column:
     """The arch's quadrants a sentence means: those it names as quadrants, else those that its words for arch and side leave."""
-    rows = []
+    both = _says(text, BOTH_SIDES) | (_says(text, SIDE_WORDS["right"]) & _says(text, SIDE_WORDS["left"]))
+    called, left = [], []
     for n, own_arch, side in QUADRANTS:
         other_arch, other_side = next(w for a, w in ARCH_WORDS.items() if a != own_arch), next(w for s, w in SIDE_WORDS.items() if s != side)
-        called = rf"\b(?:{_nth(n)}|{ROMAN[n - 1]})\s+quadrant|quadrant\s+(?:{n}|{ROMAN[n - 1]})\b"
-        rows.append({"n": n, "arch": own_arch, "called": called, "other_arch": other_arch, "other_side": other_side})
-    quadrants = _dimension(rows)
-    both = _says(text, BOTH_SIDES) | (_says(text, SIDE_WORDS["right"]) & _says(text, SIDE_WORDS["left"]))
-    called = F.filter(quadrants, lambda r: _says(text, r["called"]))
-    left = F.filter(quadrants, lambda r: ~_says(text, r["other_arch"]) & (both | ~_says(text, r["other_side"])))
-    meant = F.filter(F.when(F.size(called) > 0, called).otherwise(left), lambda r: r["arch"] == arch)
-    return F.transform(meant, lambda r: r["n"])
+        called.append((_says(text, rf"\b(?:{_nth(n)}|{ROMAN[n - 1]})\s+quadrant|quadrant\s+(?:{n}|{ROMAN[n - 1]})\b"), n))
+        left.append((~_says(text, other_arch) & (both | ~_says(text, other_side)), n))
+    meant = F.when(F.size(_those(called)) > 0, _those(called)).otherwise(_those(left))
+    return F.array_intersect(meant, F.array(*(F.lit(n) for n, own_arch, _ in QUADRANTS if own_arch == arch)))
 
 
 def positions_meant(text: Column, arch: str) -> Column:
     """Every kind a sentence names in every quadrant it means, as positions in ascending order."""
-    return F.array_sort(F.flatten(F.transform(quadrants_named(text, arch), lambda q: F.transform(kinds_named(text), lambda t: q * 10 + t))))
+    found = F.array(F.struct(quadrants_named(text, arch).alias("q"), kinds_named(text).alias("k")))  # worked out once a sentence
+    each = F.transform(found, lambda s: F.flatten(F.transform(s["q"], lambda q: F.transform(s["k"], lambda t: q * 10 + t))))
+    return F.array_sort(each[0])

@@ -63,15 +63,18 @@ def _supported() -> Column:
 
 
 def findings(claims: DataFrame, reports: DataFrame, masked: DataFrame | None = None) -> DataFrame:
-    """(case_id, arch, field, fdi, screen, level) of all screens; a claim that is masked as unresolved is a note."""
+    """(case_id, arch, field, fdi, screen, level) of all screens; a claim that is masked as unresolved is a note.
+
+    Canals are looked at in the lower arch alone, sinuses in the upper one.
+    """
     met = claims.join(said(reports), "case_id", "left")
     head = F.substring_index("field", ".", 1)
     screens = F.array(
-        F.when(_side().isNotNull() & (F.floor(F.col("fdi") / 10) != _side()), F.struct(F.lit("laterality").alias("screen"), F.lit(ERROR).alias("level"))),
-        F.when(~_legal(), F.struct(F.lit("other_arch").alias("screen"), F.lit(ERROR).alias("level"))),
+        F.when(_side().isNotNull() & (F.col("arch") == F.when(_side() < 3, "maxilla").otherwise("mandible")) & (F.floor(F.col("fdi") / 10) != _side()), F.struct(F.lit("laterality").alias("screen"), F.lit(ERROR).alias("level"))),
+        F.when(~_legal(), F.struct(F.lit("laterality").alias("screen"), F.lit(ERROR).alias("level"))),  # a tooth of the other arch
         F.when(~_has("named"), F.struct(F.lit("not_in_text").alias("screen"), F.when(head.isin(*DERIVED) | F.coalesce(_supported(), F.lit(False)), NOTE).otherwise(ERROR).alias("level"))),
-        F.when(F.col("field").startswith("canal") & ~_has("contact"), F.struct(F.lit("canal_adjacency").alias("screen"), F.lit(ERROR).alias("level"))),
-        F.when(F.col("field").startswith("sinus") & ~_has("sinus"), F.struct(F.lit("intrasinusal").alias("screen"), F.lit(ERROR).alias("level"))),
+        F.when((F.col("arch") == "mandible") & F.col("field").startswith("canal") & ~_has("contact"), F.struct(F.lit("canal_adjacency").alias("screen"), F.lit(ERROR).alias("level"))),
+        F.when((F.col("arch") == "maxilla") & F.col("field").startswith("sinus") & ~_has("sinus"), F.struct(F.lit("intrasinusal").alias("screen"), F.lit(ERROR).alias("level"))),
     )
     single = met.select(*KEYS, F.explode(F.array_compact(screens)).alias("s")).select(*KEYS, "s.screen", "s.level")
     # what a case says of one position: both present and absent, or a finding where the tooth is called absent

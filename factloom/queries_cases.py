@@ -215,10 +215,10 @@ _CLAIMS_SQL = f"""WITH t AS (SELECT l_orderkey AS case_id, {FDI_SQL} AS fdi, CAS
  s AS (SELECT case_id, arch, fdi, bool_or(l_extendedprice > 60000) AS masked FROM t GROUP BY ALL),
  m AS (SELECT * FROM c JOIN n USING (case_id, fdi) JOIN s USING (case_id, arch, fdi)),
  a AS (SELECT * FROM m WHERE field = 'teeth_absent'),
- f AS (SELECT 'laterality' AS screen, 'ERROR' AS level, masked FROM m WHERE field = 'canal_right.adjacent_teeth' AND fdi < 40 OR field = 'canal_left.adjacent_teeth' AND fdi > 40
-   UNION ALL SELECT 'other_arch', 'ERROR', masked FROM m WHERE arch = 'maxilla'
+ f AS (SELECT 'laterality' AS screen, 'ERROR' AS level, masked FROM m WHERE arch = 'mandible' AND (field = 'canal_right.adjacent_teeth' AND fdi < 40 OR field = 'canal_left.adjacent_teeth' AND fdi > 40)
+   UNION ALL SELECT 'laterality', 'ERROR', masked FROM m WHERE arch = 'maxilla'
    UNION ALL SELECT 'not_in_text', CASE WHEN field LIKE 'teeth%' THEN 'NOTE' ELSE 'ERROR' END, masked FROM m WHERE NOT named
-   UNION ALL SELECT 'canal_adjacency', 'ERROR', masked FROM m WHERE field LIKE 'canal%' AND NOT contact
+   UNION ALL SELECT 'canal_adjacency', 'ERROR', masked FROM m WHERE arch = 'mandible' AND field LIKE 'canal%' AND NOT contact
    UNION ALL SELECT 'contradiction', CASE WHEN a.gone THEN 'NOTE' ELSE 'ERROR' END, false FROM a JOIN c USING (case_id, arch, fdi) WHERE c.field = 'teeth_present'
    UNION ALL SELECT 'contradiction', 'NOTE', false FROM a JOIN c USING (case_id, arch, fdi) WHERE c.field = 'crowns')
 """

@@ -75,7 +75,7 @@ def test_report_screens_and_repairs(spark):
     reports = spark.createDataFrame([("A", "Teeth 17 to 14 are present. Tooth 1.6 is missing; crown on 14. The lower right third molar is in close relationship with the canal. Tooth 26 reaches the sinus."), ("B", None)], "case_id string, text string")
     found = {(r.field, r.fdi, r.screen, r.level) for r in report_audit.findings(claims, reports).collect()}
     assert found == {
-        ("sinus_right.intrasinusal_teeth", 26, "laterality", "ERROR"), ("crowns", 46, "other_arch", "ERROR"), ("crowns", 46, "not_in_text", "ERROR"), ("canal_right.adjacent_teeth", 48, "not_in_text", "NOTE"),
+        ("sinus_right.intrasinusal_teeth", 26, "laterality", "ERROR"), ("crowns", 46, "laterality", "ERROR"), ("crowns", 46, "not_in_text", "ERROR"), ("canal_right.adjacent_teeth", 48, "not_in_text", "NOTE"),
         ("canal_right.adjacent_teeth", 38, "laterality", "ERROR"), ("canal_right.adjacent_teeth", 38, "not_in_text", "ERROR"), ("canal_right.adjacent_teeth", 38, "canal_adjacency", "ERROR"), ("canal_left.adjacent_teeth", 38, "not_in_text", "ERROR"),
         ("canal_left.adjacent_teeth", 38, "canal_adjacency", "ERROR"), ("primary_teeth", 75, "not_in_text", "NOTE"), ("presence", 16, "contradiction", "NOTE"), ("crowns", 36, "not_in_text", "ERROR"),
         ("presence", 17, "arch_range", "ERROR"), ("presence", 15, "arch_range", "ERROR"), ("presence", 14, "arch_range", "ERROR"),
