@@ -87,22 +87,36 @@ def is_meaningful(value: Column, dull: tuple[str, ...] = ("normal", "none", "reg
     return F.coalesce((said != "") & ~said.isin(*dull), F.lit(False))
 
 
-def ranges_in(text: Column) -> Column:
+# fixed values: what joins the ends of a range; a bare hyphen joins the items of a list as well
+JOINS = "to|-|–|—|until|through"
+RANGE_JOINS = "(?i:to|until|through)|–|—"
+
+
+def ranges_in(text: Column, joins: str = JOINS) -> Column:
     """The ranges of positions in a text ("17 to 27", "34-37") as an array of structs (first, last)."""
     flat = F.regexp_replace(text, r"([0-9])\.([0-9])", "$1$2")
-    pattern = r"\b([1-4][1-8])\s*(?:to|-|–|—|until|through)\s*([1-4][1-8])\b"
+    pattern = rf"\b([1-4][1-8])\s*(?:{joins})\s*([1-4][1-8])\b"
     firsts, lasts = (F.regexp_extract_all(flat, F.lit(pattern), F.lit(k)) for k in (1, 2))
     return F.zip_with(firsts, lasts, lambda x, y: F.struct(x.cast("int").alias("first"), y.cast("int").alias("last")))
 
 
-def range_positions(text: Column) -> Column:
+def range_positions(text: Column, joins: str = JOINS) -> Column:
     """The positions inside a text's ranges, ends included, along the arch; a range over two arches has none."""
     swept = [F.array(*map(F.lit, order)) for order in SWEEP.values()]
     at = lambda order, r, k: F.array_position(order, r[k])
     cut = lambda order, r: F.slice(order, F.least(at(order, r, "first"), at(order, r, "last")).cast("int"), (F.abs(at(order, r, "first") - at(order, r, "last")) + 1).cast("int"))
     in_one = lambda order, r: F.array_contains(order, r["first"]) & F.array_contains(order, r["last"])
     inside = lambda r: F.when(in_one(swept[0], r), cut(swept[0], r)).when(in_one(swept[1], r), cut(swept[1], r)).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges_in(text), inside))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges_in(text, joins), inside))))
+
+
+def swept_positions(text: Column, clause: str, unless: str) -> Column:
+    """The positions inside the ranges of a text's sentences that match ``clause``, without the clauses (between commas) that
+    match ``unless``; in ascending order.  Lists joined by hyphens are no ranges.  A null text sweeps nothing."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9])\.([0-9])", "$1$2")
+    stated = F.filter(F.split(flat, r"(?<=[.;:])\s+"), lambda s: s.rlike(clause))
+    parts = F.filter(F.flatten(F.transform(stated, lambda s: F.split(s, "[,;]"))), lambda p: ~p.rlike(unless))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: range_positions(p, RANGE_JOINS)))))
 
 
 def numbers_named(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Claims about positions held against the report they were read from: six screens, and the repairs that follow them.
 
 Claims are rows (case_id, arch, field, fdi); a report is one row (case_id, text).  What a report says is worked out once for
-each case, as arrays of positions, and met with the claims by one join; each screen is a filter on that.
+each case, as arrays of positions, and met by one join with the claims of each arch, gathered in one aggregation (an arch has no more
+claims than fields times positions); every screen is an expression on that.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.positional import positions_meant
-from ..functions.text import named_positions, numbers_named, range_positions, sentences
+from ..functions.text import named_positions, numbers_named, sentences, swept_positions
 from ..plans.dims import PRIMARY, SWEEP
 from .audit import ERROR, NOTE
 
@@ -22,7 +23,11 @@ FINDINGS = ("post_and_core", "crowns", "fillings", "caries", "root_fractures", "
 ABSENCE = "(?i)absen|missing|edentul|extract|agenes|avuls"
 CONTACT = "(?i)close relationship|relationship with|contiguity|continuity|continuous with|in contact|in relation|proximity|adjacen|contact with|abut|impinge|encroach|intimate"
 SINUS = "(?i)sinus"
-PRESENCE = "(?i)presen"
+PRESENCE = "(?i)in the arch|are present|present in the arch|are visible|complete dentition"
+FINDING_CLAUSES = {
+    "crowns": "(?i)crown|prosthe|capsul|bridge|rehabilitat", "endodontic": "(?i)endodont|root canal|endocanal",
+    "fillings": "(?i)filling|restorat|conservative|composite|amalgam", "caries": "(?i)cari|decay",
+}
 KEYS = ["case_id", "arch", "field", "fdi"]
 
 
@@ -41,58 +46,83 @@ def said(reports: DataFrame) -> DataFrame:
         meant(of(CONTACT), ("mandible",)).alias("contact"),
         meant(of(SINUS), ("maxilla",)).alias("sinus"),
         meant(of(ABSENCE), ("mandible", "maxilla")).alias("gone"),
-        F.array_distinct(F.flatten(F.transform(of(PRESENCE), range_positions))).alias("swept"),
+        swept_positions(F.col("text"), PRESENCE, ABSENCE).alias("swept"),
     )
 
 
-def _has(array: str) -> Column:
-    return F.coalesce(F.array_contains(array, F.col("fdi")), F.lit(False))
+def stated_ranges(reports: DataFrame) -> DataFrame:
+    """(case_id, field, fdi): positions inside the ranges a report states for presence and for each kind of finding."""
+    clauses = {"teeth_present": PRESENCE} | FINDING_CLAUSES
+    each = F.array(*(F.struct(F.lit(k).alias("field"), swept_positions(F.col("text"), v, ABSENCE).alias("fdis")) for k, v in clauses.items()))
+    return reports.select("case_id", F.inline(each)).select("case_id", "field", F.explode("fdis").alias("fdi"))
 
 
-def _legal() -> Column:
-    in_arch = [(F.col("arch") == a) & F.col("fdi").isin(*SWEEP[a], *PRIMARY[a]) for a in SWEEP]
-    return in_arch[0] | in_arch[1] | F.col("fdi").isin(*(p for own in PRIMARY.values() for p in own))
+def _has(array: str, fdi: Column) -> Column:
+    return F.coalesce(F.array_contains(array, fdi), F.lit(False))
 
 
-def _side() -> Column:
-    return F.coalesce(*(F.when(F.col("field") == f, F.lit(q)) for f, q in SIDES.items()))
+def _legal(fdi: Column) -> Column:
+    in_arch = [(F.col("arch") == a) & fdi.isin(*SWEEP[a], *PRIMARY[a]) for a in SWEEP]
+    return in_arch[0] | in_arch[1] | fdi.isin(*(p for own in PRIMARY.values() for p in own))
 
 
-def _supported() -> Column:
-    return F.when(F.col("field").startswith("canal"), _has("contact")).when(F.col("field").startswith("sinus"), _has("sinus"))
+def _side(field: Column) -> Column:
+    return F.coalesce(*(F.when(field == f, F.lit(q)) for f, q in SIDES.items()))
+
+
+def _supported(field: Column, fdi: Column) -> Column:
+    return F.when(field.startswith("canal"), _has("contact", fdi)).when(field.startswith("sinus"), _has("sinus", fdi))
+
+
+def _finding(field: Column, fdi: Column, screen: str, level: Column) -> Column:
+    return F.struct(field.alias("field"), fdi.alias("fdi"), F.lit(screen).alias("screen"), level.alias("level"))
+
+
+def _of_claim(c: Column) -> Column:
+    """The findings of one claim by itself, nulls where a screen passes it."""
+    field, fdi, error = c["field"], c["fdi"], F.lit(ERROR)
+    side, lower = _side(field), F.col("arch") == "mandible"
+    derived = F.substring_index(field, ".", 1).isin(*DERIVED) | F.coalesce(_supported(field, fdi), F.lit(False))
+    return F.array(
+        F.when(side.isNotNull() & (lower == (side > 2)) & (F.floor(fdi / 10) != side), _finding(field, fdi, "laterality", error)),
+        F.when(~_legal(fdi), _finding(field, fdi, "laterality", error)),  # a tooth of the other arch
+        F.when(~_has("named", fdi), _finding(field, fdi, "not_in_text", F.when(derived, NOTE).otherwise(ERROR))),
+        F.when(lower & field.startswith("canal") & ~_has("contact", fdi), _finding(field, fdi, "canal_adjacency", error)),
+        F.when(~lower & field.startswith("sinus") & ~_has("sinus", fdi), _finding(field, fdi, "intrasinusal", error)),
+    )
 
 
 def findings(claims: DataFrame, reports: DataFrame, masked: DataFrame | None = None) -> DataFrame:
     """(case_id, arch, field, fdi, screen, level) of all screens; a claim that is masked as unresolved is a note.
 
-    Canals are looked at in the lower arch alone, sinuses in the upper one.
+    Canals are looked at in the lower arch alone, sinuses in the upper one.  Positions inside a stated range of presence that no
+    claim calls present are errors; ranges of findings are stated by ``stated_ranges`` but not screened, since a bridge's range
+    holds positions without a crown.  Repeated claims count once; a case without a report has one that says nothing.
     """
-    met = claims.join(said(reports), "case_id", "left")
-    head = F.substring_index("field", ".", 1)
-    screens = F.array(
-        F.when(_side().isNotNull() & (F.col("arch") == F.when(_side() < 3, "maxilla").otherwise("mandible")) & (F.floor(F.col("fdi") / 10) != _side()), F.struct(F.lit("laterality").alias("screen"), F.lit(ERROR).alias("level"))),
-        F.when(~_legal(), F.struct(F.lit("laterality").alias("screen"), F.lit(ERROR).alias("level"))),  # a tooth of the other arch
-        F.when(~_has("named"), F.struct(F.lit("not_in_text").alias("screen"), F.when(head.isin(*DERIVED) | F.coalesce(_supported(), F.lit(False)), NOTE).otherwise(ERROR).alias("level"))),
-        F.when((F.col("arch") == "mandible") & F.col("field").startswith("canal") & ~_has("contact"), F.struct(F.lit("canal_adjacency").alias("screen"), F.lit(ERROR).alias("level"))),
-        F.when((F.col("arch") == "maxilla") & F.col("field").startswith("sinus") & ~_has("sinus"), F.struct(F.lit("intrasinusal").alias("screen"), F.lit(ERROR).alias("level"))),
-    )
-    single = met.select(*KEYS, F.explode(F.array_compact(screens)).alias("s")).select(*KEYS, "s.screen", "s.level")
-    # what a case says of one position: both present and absent, or a finding where the tooth is called absent
-    per = met.groupBy("case_id", "arch", "fdi").agg(
-        F.max((F.col("field") == "teeth_present").cast("int")).alias("p"), F.max((F.col("field") == "teeth_absent").cast("int")).alias("a"),
-        F.collect_set(F.when(F.col("field").isin(*FINDINGS), F.col("field"))).alias("f"), F.first(_has("gone")).alias("g"),
-    )
-    both = per.filter("p = 1 AND a = 1").select("case_id", "arch", F.lit("presence").alias("field"), "fdi", F.lit("contradiction").alias("screen"), F.when(F.col("g"), NOTE).otherwise(ERROR).alias("level"))
-    odd = per.filter("a = 1").select("case_id", "arch", F.explode("f").alias("field"), "fdi", F.lit("contradiction").alias("screen"), F.lit(NOTE).alias("level"))
-    arches = claims.select("case_id", "arch").distinct()
-    swept = said(reports).select("case_id", F.explode("swept").alias("fdi")).join(arches, "case_id").filter(_of_own_arch())
-    lacking = swept.join(claims.filter("field = 'teeth_present'").select("case_id", "arch", "fdi"), ["case_id", "arch", "fdi"], "left_anti")
-    ranged = lacking.select("case_id", "arch", F.lit("presence").alias("field"), "fdi", F.lit("arch_range").alias("screen"), F.lit(ERROR).alias("level"))
-    found = single.unionByName(both).unionByName(odd).unionByName(ranged)
-    if masked is None:
-        return found
-    known = masked.select(*KEYS).distinct().withColumn("_m", F.lit(True))
-    return found.join(known, KEYS, "left").withColumn("level", F.when(F.col("_m"), NOTE).otherwise(F.col("level"))).drop("_m")
+    rows = claims.select(*KEYS, F.lit(False).alias("_m"))
+    if masked is not None:
+        rows = rows.unionByName(masked.select(*KEYS, F.lit(True).alias("_m")))
+    claim = F.struct("field", "fdi")
+    per = rows.groupBy("case_id", "arch").agg(F.collect_set(F.when(~F.col("_m"), claim)).alias("_claims"), F.collect_set(F.when(F.col("_m"), claim)).alias("_masked"))
+    met = per.filter(F.size("_claims") > 0).join(said(reports), "case_id", "left")
+    of = lambda name: F.transform(F.filter("_claims", lambda c: c["field"] == name), lambda c: c["fdi"])
+    present, absent = of("teeth_present"), of("teeth_absent")
+    pair, note = F.lit("presence"), F.lit(NOTE)
+    own = _of_arch_positions()
+    every = F.flatten(F.array(
+        F.array_compact(F.flatten(F.transform("_claims", _of_claim))),
+        # what a case says of one position: both present and absent, or a finding where the tooth is called absent
+        F.transform(F.array_intersect(present, absent), lambda x: _finding(pair, x, "contradiction", F.when(_has("gone", x), NOTE).otherwise(ERROR))),
+        F.transform(F.filter("_claims", lambda c: c["field"].isin(*FINDINGS) & F.array_contains(absent, c["fdi"])), lambda c: _finding(c["field"], c["fdi"], "contradiction", note)),
+        F.transform(F.array_except(F.array_intersect(F.coalesce("swept", F.array().cast("array<int>")), own), present), lambda x: _finding(pair, x, "arch_range", F.lit(ERROR))),
+    ))
+    found = met.select("case_id", "arch", "_masked", F.explode(every).alias("f"))
+    hidden = F.exists("_masked", lambda m: (m["field"] == F.col("f.field")) & (m["fdi"] == F.col("f.fdi")))
+    return found.select("case_id", "arch", "f.field", "f.fdi", "f.screen", F.when(hidden, NOTE).otherwise(F.col("f.level")).alias("level"))
+
+
+def _of_arch_positions() -> Column:
+    return F.when(F.col("arch") == "maxilla", F.array(*map(F.lit, SWEEP["maxilla"]))).otherwise(F.array(*map(F.lit, SWEEP["mandible"])))
 
 
 def _of_own_arch() -> Column:
@@ -101,7 +131,8 @@ def _of_own_arch() -> Column:
 
 def fix_laterality(claims: DataFrame) -> DataFrame:
     """Claims on the wrong side move to the other one, where they count once; positions of another arch are left for review."""
-    wrong = _side().isNotNull() & (F.floor(F.col("fdi") / 10) != _side()) & _of_own_arch()
+    side = _side(F.col("field"))
+    wrong = side.isNotNull() & (F.floor(F.col("fdi") / 10) != side) & _of_own_arch()
     other = F.coalesce(*(F.when(F.col("field") == f, F.lit(o)) for f, o in OTHER_SIDE.items()))
     return claims.withColumn("field", F.when(wrong, other).otherwise(F.col("field"))).dropDuplicates(KEYS)
 
@@ -109,13 +140,13 @@ def fix_laterality(claims: DataFrame) -> DataFrame:
 def fix_unsupported(claims: DataFrame, reports: DataFrame) -> DataFrame:
     """Contacts with a canal or a sinus that no sentence states go."""
     met = claims.join(said(reports).select("case_id", "contact", "sinus"), "case_id", "left")
-    return met.filter(F.coalesce(_supported(), F.lit(True))).select(claims.columns)
+    return met.filter(F.coalesce(_supported(F.col("field"), F.col("fdi")), F.lit(True))).select(claims.columns)
 
 
 def fix_arch_range(claims: DataFrame, reports: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
     """Positions inside a stated range of present teeth are added, unless they are called absent or unresolved."""
     arches = claims.select("case_id", "arch").distinct()
-    swept = said(reports).select("case_id", F.explode("swept").alias("fdi")).join(arches, "case_id").filter(_of_own_arch())
+    swept = reports.select("case_id", F.explode(swept_positions(F.col("text"), PRESENCE, ABSENCE)).alias("fdi")).join(arches, "case_id").filter(_of_own_arch())
     stands = claims.filter("field IN ('teeth_present', 'teeth_absent')").select("case_id", "arch", "fdi")
     if unresolved is not None:
         stands = stands.unionByName(unresolved.filter("field = 'presence'").select("case_id", "arch", "fdi"))

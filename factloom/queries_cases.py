@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import positional, repair, text, verdicts
-from .operators import arch_rules, calls, expansion, metrics, report_audit, series, training, volumes, votes
+from .operators import arch_rules, audit, calls, expansion, metrics, report_audit, series, training, volumes, votes
 from .plans import report
+from .plans.dims import SWEEP
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +253,51 @@ def report_repairs(spark, sf_dir):
     return fixed.groupBy("arch", "field").agg(F.count("*").alias("n"), F.sum("fdi").alias("total"))
 
 
+# --- ranges that reports state: a line tells of the teeth from its own to another one's
+
+_RANGE_SENTENCES = [  # the sentence, and what its ranges are about; by a line's part
+    ("Teeth from {a} to {b} are present in the arch.", "teeth_present"), ("Elements {a} until {b} are visible, {a} to 31 absent.", "teeth_present"), ("Prosthetic bridge {a}-{b} is presented.", None),
+    ("Prosthetic crowns of teeth {a} through {b}.", "crowns"), ("Teeth {a} – {b} endodontically treated.", "endodontic"), ("Caries of {a} to {b}; missing teeth {a} to {b} are visible.", "caries"),
+    ("Composite fillings of decayed teeth {a}—{b}, extractions from 18 to 28.", "fillings"),
+]
+_RANGES_SQL = f"""WITH o AS (SELECT * FROM (VALUES {', '.join(f"('{arch}', {p}, {i})" for arch, order in SWEEP.items() for i, p in enumerate(order))}) v(arch, p, i)),
+ t AS (SELECT l_orderkey AS case_id, CASE WHEN l_orderkey % 2 = 0 THEN 'maxilla' ELSE 'mandible' END AS arch, ({FDI_SQL} - CASE WHEN l_orderkey % 2 = 0 THEN 20 ELSE 0 END)::INT AS a,
+   ((CASE WHEN (l_orderkey % 2 = 0) <> (l_discount = 0.05) THEN 0 ELSE 20 END) + (CASE WHEN l_partkey % 2 = 0 THEN 10 ELSE 20 END) + 1 + (l_partkey // 2) % 8)::INT AS b, * FROM lineitem),
+ k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}')" for i, (_, f) in enumerate(_RANGE_SENTENCES) if f)}, (6, 'caries')) v(mode, field)),
+ s AS (SELECT DISTINCT case_id, field, z.p AS fdi FROM t JOIN k ON mode = (l_partkey // 16) % 7 JOIN o x ON x.p = a JOIN o y ON y.p = b AND y.arch = x.arch JOIN o z ON z.arch = x.arch AND z.i BETWEEN least(x.i, y.i) AND greatest(x.i, y.i))
+"""
+
+
+def _range_reports(spark, sf_dir):
+    upper, part, flag = F.col("l_orderkey") % 2 == 0, F.col("l_partkey"), F.col("l_returnflag")
+    other = F.when(upper != (F.col("l_discount") == 0.05), 0).otherwise(20) + F.when(part % 2 == 0, 10).otherwise(20) + 1 + F.floor(part / 2) % 8
+    t = _read(spark, sf_dir, "lineitem").select("*", F.col("l_orderkey").alias("case_id"), F.when(upper, "maxilla").otherwise("mandible").alias("arch"), (_fdi() - F.when(upper, 20).otherwise(0)).alias("fdi"), other.cast("int").alias("other"))
+    sentence = F.coalesce(*(F.when(F.floor(part / 16) % len(_RANGE_SENTENCES) == i, F.replace(F.replace(F.lit(words), F.lit("{a}"), F.col("fdi").cast("string")), F.lit("{b}"), F.col("other").cast("string"))) for i, (words, _) in enumerate(_RANGE_SENTENCES)))
+    reports = t.groupBy("case_id").agg(F.array_join(F.collect_list(sentence), " ").alias("text"))
+    claims = t.select("case_id", "arch", F.when(flag == "N", "teeth_present").when(flag == "R", "teeth_absent").otherwise("crowns").alias("field"), "fdi")
+    unresolved = t.filter("l_quantity > 40").select("case_id", "arch", F.lit("presence").alias("field"), "fdi")
+    return claims, reports, unresolved
+
+
+@query(_RANGES_SQL + "SELECT field, fdi, count(*) AS n FROM s GROUP BY ALL")
+def stated_ranges(spark, sf_dir):
+    """Positions inside ranges, by what the sentences are about: presence and four kinds of findings."""
+    return report_audit.stated_ranges(_range_reports(spark, sf_dir)[1]).groupBy("field", "fdi").agg(F.count("*").alias("n"))
+
+
+@query(_RANGES_SQL + """, w AS (SELECT case_id, x.arch, s.fdi FROM s JOIN (SELECT DISTINCT case_id, arch FROM t) x USING (case_id) JOIN o ON o.p = s.fdi AND o.arch = x.arch WHERE field = 'teeth_present'),
+ l AS (SELECT w.*, EXISTS (FROM t WHERE t.case_id = w.case_id AND t.a = w.fdi AND l_quantity > 40) AS masked, EXISTS (FROM t WHERE t.case_id = w.case_id AND t.a = w.fdi AND l_returnflag = 'R') AS gone
+   FROM w WHERE NOT EXISTS (FROM t WHERE t.case_id = w.case_id AND t.a = w.fdi AND l_returnflag = 'N'))
+ SELECT arch, fdi, count(*) FILTER (NOT masked) AS n_errors, count(*) FILTER (masked) AS n_notes, count(*) FILTER (NOT masked AND NOT gone) AS n_added FROM l GROUP BY ALL""")
+def range_screens(spark, sf_dir):
+    """Positions that a range of presence sweeps and no claim holds, and those the repair adds."""
+    claims, reports, unresolved = _range_reports(spark, sf_dir)
+    found = report_audit.findings(claims, reports, unresolved).filter("screen = 'arch_range'").select("case_id", "arch", "fdi", "level", F.lit(0).alias("added"))
+    fixed = report_audit.fix_arch_range(claims.select("*"), reports, unresolved).join(claims, report_audit.KEYS, "left_anti").select("case_id", "arch", "fdi", F.lit("").alias("level"), F.lit(1).alias("added"))
+    counts = [F.count_if(F.col("level") == level).alias(name) for level, name in ((audit.ERROR, "n_errors"), (audit.NOTE, "n_notes"))]
+    return found.unionByName(fixed).groupBy("arch", "fdi").agg(*counts, F.sum("added").alias("n_added"))
+
+
 @query(f"""WITH t AS (SELECT l_orderkey, {FDI_SQL} AS fdi FROM lineitem), o AS (SELECT * FROM (VALUES {', '.join(f'({f}, {i})' for i, f in enumerate([*range(48, 40, -1), *range(31, 39)]))}) v(p, i)),
  e AS (SELECT l_orderkey, min(i) AS a, max(i) AS b FROM t JOIN o ON fdi = p GROUP BY l_orderkey) SELECT l_orderkey, count(*) AS n, sum(p)::BIGINT AS total FROM e JOIN o ON i BETWEEN a AND b GROUP BY l_orderkey""")
 def ranges_named(spark, sf_dir):

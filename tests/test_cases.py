@@ -93,6 +93,19 @@ def test_report_screens_and_repairs(spark):
     assert report_audit.findings(claims.limit(0), reports).count() == 0
 
 
+def test_ranges_of_presence_and_of_findings(spark):
+    texts = {
+        "Prosthetic bridge 33-34-35-36 is presented.": {}, "Teeth from 34 to 37 in the arch.": {"teeth_present": {34, 35, 36, 37}}, "Teeth 3.4 UNTIL 3.6 are visible, 37 to 38 absent.": {"teeth_present": {34, 35, 36}},
+        "Teeth 12 – 21 are present; missing teeth 41 to 42 are visible.": {"teeth_present": {12, 11, 21}}, "Crowns from 17 to 15. Root canal fillings of 46—45.": {"crowns": {17, 16, 15}, "endodontic": {46, 45}, "fillings": {46, 45}},
+        "Teeth 38 to 28 are present.": {}, "": {}, None: {},
+    }
+    reports = spark.createDataFrame(list(enumerate(texts)), "case_id int, text string")
+    got: dict = {}
+    for r in report_audit.stated_ranges(reports).collect():
+        got.setdefault(r.case_id, {}).setdefault(r.field, set()).add(r.fdi)
+    assert [got.get(i, {}) for i in range(len(texts))] == list(texts.values())
+
+
 def test_item_keys(spark):
     items = [{"fdi": "36", "note": "x"}, {"span_start": "37", "span_end": "35"}, {"span_start": "35", "span_end": "37"}, {"b": "2", "a": "1"}, {"position": "p"}]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in items], "m map<string,string>").select(metrics.item_key(F.col("m"))).collect()]
