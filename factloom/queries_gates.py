@@ -1,4 +1,4 @@
-"""Gates between sources, bound to the test tables: an order is a case, its lines are its positions, their keys what sources say."""
+"""Gates between sources and blocks of sections, bound to the test tables: an order is a case, its lines are its positions, their keys what sources say."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import gates
+from .operators import gates, sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,3 +149,72 @@ def bone_gate(spark, sf_dir):
         kind.alias("type"), F.when(customer % 3 == 0, " near 36 ").when(customer % 3 == 1, "none").alias("location"),
     )
     return _both(lambda g: gates.bone(facts, _readings(spark, sf_dir), g)).groupBy("gate", "arch", "present", "type", "location", "confirmed").agg(F.count("*").alias("n"))
+
+
+# --- blocks of sections: an order's keys are the answers for its arches
+
+_FACTS = {  # from k, a number of the order
+    "cr": _one_of("k", "fully_included", "partially_included", "not_included", "  ", None), "cl": _one_of("k // 5", "fully_included", " fully_included ", "not_included", "odd", None, "fully_included"),
+    "mi": _one_of("k // 2", "fully_included", "included", "not_included", None), "rs": _one_of("k // 3", "fully_included", "not_included", "", None, "fully_included"), "ls": _one_of("k // 7", "not_included", "fully_included", None),
+    "rm": _one_of("k // 11", "normal", "thickened", None), "lm": _one_of("k // 13", "normal", None, "cyst"), "rc": _one_of("k // 17", "air", None, "opaque"), "lc": _one_of("k // 19", "air", "fluid", None),
+    "edent": _one_of("k // 4", "true", "false", None), "bare": _one_of("k // 6", "true", "false", None), "atrophic": _one_of("k // 8", "true", "false", None),
+    "extent": _one_of("k // 9", "none", "mild", "severe", None), "pattern": _one_of("k // 10", "horizontal", "none", None),
+}
+_FACTS_SQL = f"""WITH b AS (SELECT o_orderkey AS case_id, (o_orderkey * 31 + o_custkey * 7)::BIGINT AS k FROM orders), f AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _FACTS.items())}, k % 17 > 1 AS rf, k % 23 > 1 AND k % 17 > 0 AS lf FROM b)"""
+
+
+def _facts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS case_id", "CAST(o_orderkey * 31 + o_custkey * 7 AS BIGINT) AS k")
+    rows = rows.selectExpr("*", *(f"{v.replace('//', 'DIV')} AS {k}" for k, v in _FACTS.items()))
+
+    def of(side: str, there, base: int):
+        teeth = F.when(F.col("k") % 3 == 0, F.array(F.lit(base + 6), F.lit(base + 7))).when(F.col("k") % 3 == 1, F.array().cast("array<int>"))
+        return F.when(there, F.struct(F.col(f"{side}s").alias("scope"), F.col(f"{side}m").alias("mucosa_state"), F.col(f"{side}c").alias("sinus_content"), teeth.alias("intrasinusal_teeth")))
+
+    return rows.withColumns({
+        "right": of("r", F.col("k") % 17 > 1, 10), "left": of("l", (F.col("k") % 23 > 1) & (F.col("k") % 17 > 0), 20),
+        "ridge": F.struct(F.col("edent").alias("present"), F.col("bare").alias("fully_edentulous"), F.col("atrophic").alias("atrophy")), "loss": F.struct("extent", "pattern"),
+    })
+
+
+@query(_FACTS_SQL + """, n AS (SELECT *, nullif(trim(cr), '') AS r, nullif(trim(cl), '') AS l, CASE WHEN rf THEN nullif(rs, '') END AS rsc, CASE WHEN lf THEN ls END AS lsc FROM f)
+ SELECT CASE WHEN (cr = 'fully_included' OR r IS NULL) AND (cl = 'fully_included' OR l IS NULL) AND coalesce(r, l) IS NOT NULL THEN 'complete' ELSE 'partial' END AS mandible,
+  CASE WHEN r = 'not_included' OR l = 'not_included' THEN 'not_included' WHEN nullif(l, 'odd') IS NULL AND r IS NULL THEN 'unknown' ELSE 'included' END AS condyles,
+  CASE WHEN mi = 'not_included' THEN 'none' WHEN mi = 'fully_included' AND coalesce(rsc, 'fully_included') = 'fully_included' AND coalesce(lsc, 'fully_included') = 'fully_included' THEN 'complete' ELSE 'partial' END AS maxilla,
+  CASE WHEN edent AND atrophic IS NOT NULL THEN atrophic END AS atrophy, CASE WHEN edent AND atrophic IS NOT NULL AND bare THEN true END AS bare,
+  CASE WHEN extent <> 'none' THEN extent END AS extent, CASE WHEN extent <> 'none' AND pattern <> 'none' THEN pattern END AS pattern, count(*) AS n FROM n GROUP BY ALL""")
+def scope_blocks(spark, sf_dir):
+    """What is in the volume, condyles as one, ridges and bone loss."""
+    right, left, loss = F.col("right"), F.col("left"), sections.resorption(F.col("loss"))
+    inside = sections.consistent(F.col("mi"), [right["scope"], left["scope"]])
+    ridge = sections.ridge(F.col("ridge"))
+    keys = [
+        sections.mandible_scope(F.col("cr"), F.col("cl"))["level"].alias("mandible"), sections.condyles(F.col("cr"), F.col("cl")).alias("condyles"), sections.maxilla_scope(inside, F.lit(None).cast("string"))["level"].alias("maxilla"),
+        ridge["atrophy"].alias("atrophy"), ridge["fully_edentulous"].alias("bare"), loss["extent"].alias("extent"), F.get(loss["pattern"], F.lit(0)).alias("pattern"),
+    ]
+    return _facts(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+@query(_FACTS_SQL + """, s AS (SELECT k, CASE WHEN rf THEN coalesce(nullif(rs, ''), 'unknown') WHEN lf THEN 'unknown' ELSE 'not_included' END AS scope_right, CASE WHEN lf THEN coalesce(ls, 'unknown') WHEN rf THEN 'unknown' ELSE 'not_included' END AS scope_left,
+   NOT rf AND NOT lf AS inferred, rf, lf, (NOT rf OR coalesce(rm, 'normal') = 'normal' AND coalesce(rc, 'air') = 'air') AS rn, (NOT lf OR coalesce(lm, 'normal') = 'normal' AND coalesce(lc, 'air') = 'air') AS ln FROM f),
+ t AS (SELECT *, scope_right <> 'not_included' AS ri, scope_left <> 'not_included' AS li FROM s)
+ SELECT scope_right, scope_left, inferred, CASE WHEN ri AND li THEN CASE WHEN rn AND ln THEN 'all_normal' ELSE 'mixed' END WHEN ri THEN 'right_only' WHEN li THEN 'left_only' ELSE 'none_included' END AS status,
+  CASE WHEN ri THEN rn END AS right_normal, CASE WHEN li THEN ln END AS left_normal, CASE WHEN k % 3 = 0 THEN concat_ws(',', CASE WHEN rf THEN '16,17' END, CASE WHEN lf THEN '26,27' END) ELSE '' END AS teeth, count(*) AS n FROM t GROUP BY ALL""")
+def sinus_blocks(spark, sf_dir):
+    """Sinuses of both sides: scope, state of the pair, roots inside."""
+    group, roots = sections.sinus_group(F.col("right"), F.col("left")), sections.intrasinusal(F.col("right"), F.col("left"))
+    keys = [
+        group["scope_right"].alias("scope_right"), group["scope_left"].alias("scope_left"), group["source"].isNotNull().alias("inferred"), group["status"].alias("status"),
+        group["right"]["normal"].alias("right_normal"), group["left"]["normal"].alias("left_normal"), F.array_join(roots["teeth"].cast("array<string>"), ",").alias("teeth"),
+    ]
+    return _facts(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+@query(_READINGS_SQL + """, p AS (SELECT case_id, arch, list_sort(list(fdi) FILTER (is_remnant)) AS kept, list_sort(list(fdi) FILTER (is_remnant AND filling_quality IN ('good', 'short'))) AS lost, list_sort(list(fdi) FILTER (absent AND is_remnant IS NOT TRUE)) AS gone FROM r GROUP BY ALL)
+ SELECT case_id, arch, array_to_string(kept, ',') AS remnants, CASE WHEN kept IS NOT NULL THEN coalesce(array_to_string(lost, ','), '') END AS resorbed, coalesce(array_to_string(gone, ','), '') AS toothless FROM p""")
+def remnant_blocks(spark, sf_dir):
+    """Roots left in each arch, those with bone loss around them, and positions with nothing left."""
+    found = sections.remnants(_readings(spark, sf_dir).withColumnRenamed("filling_quality", "bone_loss"))
+    joined = lambda items: F.array_join(F.transform(items, lambda x: x.cast("string")), ",")
+    fdis = lambda rows: F.transform(rows, lambda r: r["fdi"])
+    return found.select("case_id", "arch", joined(fdis(F.col("remnants"))).alias("remnants"), joined(fdis(F.filter("remnants", lambda r: r["resorbed"]))).alias("resorbed"), joined(F.col("toothless")).alias("toothless"))
