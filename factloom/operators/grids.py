@@ -1,6 +1,7 @@
 """Voxels as rows: exact distance transforms, connected parts, thresholds on them.
 
-A volume is never gathered: rows are shuffled by line (one axis of a volume) or by slab (some planes of a label).
+A volume is never gathered: rows are shuffled by tile, by line (one axis of a volume) or by slab (some planes of a label); of labels, those
+of few voxels are whole in one task.
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import settled
 from .graphs import components
 
+_CELLS = 1 << 24  # of a tile's grid at most
+_SIDE = 64  # of a tile, in voxels
+_WHOLE = 50_000  # voxels of a label that is joined in one task
+
 
 def lower_envelope(at: list[int], height: list[float], unit: float, bound: float) -> Iterator[tuple[int, float]]:
     """(place, value) of the lower envelope of the parabolas ``(unit * (place - at))^2 + height`` where it is ``bound`` at most.
@@ -73,10 +79,66 @@ def squared_distances(sites: DataFrame, keys: list[str], axes: list[str], spacin
     return rows
 
 
+def _of_tile(at: np.ndarray, of: np.ndarray, spacing: list[float], reach: list[int]) -> np.ndarray:
+    """Squared distances of one tile's places ``at`` to the nearest of ``of``: each axis in turn takes the least over its offsets."""
+    low, high = at.min(axis=0) - reach, at.max(axis=0) + reach
+    grid = np.full(high - low + 1, np.inf)
+    grid[tuple((of[((of >= low) & (of <= high)).all(axis=1)] - low).T)] = 0.0
+    for axis, (unit, far) in enumerate(zip(spacing, reach)):
+        n = grid.shape[axis] - 2 * far
+        part = lambda k: grid[(slice(None),) * axis + (slice(k, k + n),)]  # noqa: E731, B023
+        least = part(far).copy()
+        for k in range(2 * far + 1):
+            np.minimum(least, part(k) + unit * unit * (k - far) ** 2, out=least)
+        grid = least
+    return grid[tuple((at - at.min(axis=0)).T)]
+
+
+def _by_tiles(asked: DataFrame, sites: DataFrame, keys: list[str], axes: list[str], spacing: list[float], reach: list[int], bound: float) -> DataFrame:
+    """(keys, axes, d2) of asked voxels within ``bound`` of a site; a site goes to every tile that its reach touches."""
+    sides = [max(_SIDE, 2 * r) for r in reach]
+    tiles = [f"_t{n}" for n in range(len(axes))]
+    tile = lambda a, by, side: F.floor((F.col(a) + by) / side).cast("long")
+    own = asked.select(*keys, *axes, F.lit(False).alias("_site"), *(tile(a, 0, s).alias(t) for t, a, s in zip(tiles, axes, sides)))
+    spread = sites.withColumn("_site", F.lit(True))
+    for t, a, r, s in zip(tiles, axes, reach, sides):
+        spread = spread.withColumn(t, F.explode(F.sequence(tile(a, -r, s), tile(a, r, s))))
+    kinds = dict(asked.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, *axes)) + ", d2 double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates()
+        group = pdf.groupby([*keys, *tiles], sort=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["_site"], group))
+        pdf, group = pdf.iloc[order], group[order]
+        places, site, d2 = pdf[axes].to_numpy("int64"), pdf["_site"].to_numpy(bool), np.full(len(pdf), np.inf)
+        ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+        for low, high in zip(np.concatenate(([0], ends[:-1])), ends):
+            n = low + int((~site[low:high]).sum())
+            if low < n < high:
+                d2[low:n] = _of_tile(places[low:n], places[n:high], spacing, reach)
+        good = d2 <= bound * bound
+        return pdf.loc[good, [*keys, *axes]].assign(d2=d2[good])
+
+    both = own.unionByName(spread)
+    tasks = asked.count() // 50_000 + 1
+    return both.groupBy(F.pmod(F.xxhash64(*keys, *tiles), F.lit(tasks)).alias("_some")).applyInPandas(run, schema)
+
+
 def near(rows: DataFrame, sites: DataFrame, keys: list[str], axes: list[str], spacing: list[float], bound: float) -> DataFrame:
-    """``rows`` with ``d2``, the squared distance to the nearest site if that is within ``bound``, else null."""
-    found = squared_distances(sites, keys, axes, spacing, bound)
-    return rows.withColumns({a: F.col(a).cast("long") for a in axes}).join(found, [*keys, *axes], "left")
+    """``rows`` with ``d2``, the squared distance to the nearest site if that is within ``bound``, else null.
+
+    Tiles of asked voxels meet the sites around them, in one shuffle of no more rows than both sides have (and copies at tiles' borders).
+    Only if ``bound`` is so many voxels that a tile with its surroundings would be too large does the transform go line by line.
+    """
+    placed = rows.withColumns({a: F.col(a).cast("long") for a in axes})
+    reach = [int(bound / unit) + 1 for unit in spacing]
+    if np.prod([float(max(_SIDE, 2 * r) + 2 * r) for r in reach]) > _CELLS:
+        found = squared_distances(sites, keys, axes, spacing, bound)
+    else:
+        of = sites.select(*keys, *(F.col(a).cast("long").alias(a) for a in axes)).dropna()
+        found = _by_tiles(placed.select(*keys, *axes).dropna(), of, keys, axes, spacing, reach, bound)
+    return placed.join(found, [*keys, *axes], "left")
 
 
 def _joined_runs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,13 +174,59 @@ def _joined_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(rz=[z[k] for k in first], ry=[y[k] for k in first], rx=[low[k] for k in first])
 
 
-def parts(voxels: DataFrame, keys: list[str], x: str = "x", y: str = "y", z: str = "z", depth: int = 16) -> DataFrame:
+def _whole_labels(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """(keys, z, y, x, n) of the parts of some whole labels: neighbours along each axis are edges, the least voxel of a part its root."""
+    pdf = pdf.drop_duplicates(ignore_index=True)
+    g = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    order = np.lexsort((pdf["x"], pdf["y"], pdf["z"], g))
+    pdf, g = pdf.iloc[order], g[order]
+    x, y, z = (pdf[c].to_numpy("int64") for c in "xyz")
+    edges = []
+    for along, b, c in ((x, y, z), (y, x, z), (z, x, y)):
+        line = np.lexsort((along, b, c, g))
+        u, v = line[:-1], line[1:]
+        next_to = (g[u] == g[v]) & (b[u] == b[v]) & (c[u] == c[v]) & (along[v] - along[u] == 1)
+        edges.append((u[next_to], v[next_to]))
+    u, v = (np.concatenate(e) for e in zip(*edges))
+    root = np.arange(len(pdf))
+    while (root[u] != root[v]).any():
+        low = np.minimum(root[u], root[v])
+        for side in (u, v):
+            np.minimum.at(root, root[side], low)
+        while (root != (up := root[root])).any():
+            root = up
+    first, n = np.unique(root, return_counts=True)
+    return pdf.iloc[first].assign(n=n)[[*keys, "z", "y", "x", "n"]]
+
+
+def parts(voxels: DataFrame, keys: list[str], x: str = "x", y: str = "y", z: str = "z", depth: int = 16, whole: int = _WHOLE) -> DataFrame:
     """(keys, part, n): face-connected parts of the voxels of each key and their sizes; ``part`` is the first voxel (z, y, x).
 
-    Voxels become runs along x, runs of a slab of ``depth`` planes are joined in one task, and parts that touch across slabs are joined
-    as a graph.  A label of any extent is as many slabs as it needs.
+    Labels of up to ``whole`` voxels are whole in one task, many of them together.  Of larger ones voxels become runs along x, runs of a
+    slab of ``depth`` planes are joined in one task, and parts that touch across slabs are joined as a graph.  A label of any extent is
+    as many slabs as it needs.
     """
-    own = voxels.select(*keys, *(F.col(c).cast("long").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z")))).dropna(subset=["x", "y", "z"]).distinct()
+    own = voxels.select(*keys, *(F.col(c).cast("long").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z")))).dropna(subset=["x", "y", "z"])
+    large = settled(own.groupBy(*keys).count().filter(F.col("count") > whole).select(*keys))
+    if large.isEmpty():
+        return _small_parts(own, keys)
+    match = F.lit(True)
+    for k in keys:
+        match = match & own[k].eqNullSafe(large[k])
+    return _small_parts(own.join(large, match, "left_anti"), keys).unionByName(_large_parts(own.join(large, match, "left_semi"), keys, depth))
+
+
+def _small_parts(own: DataFrame, keys: list[str]) -> DataFrame:
+    tasks = own.count() // 100_000 + 1
+    kinds = dict(own.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", z long, y long, x long, n long"
+    run = lambda pdf: _whole_labels(pdf[[*keys, "x", "y", "z"]], keys)
+    found = own.groupBy(F.pmod(F.xxhash64(*keys), F.lit(tasks)).alias("_some")).applyInPandas(run, schema)
+    return found.select(*keys, F.struct("z", "y", "x").alias("part"), "n")
+
+
+def _large_parts(own: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    own = own.distinct()
     run = F.col("x") - F.row_number().over(W.partitionBy(*keys, "z", "y").orderBy("x"))
     runs = own.withColumn("_r", run).groupBy(*keys, "z", "y", "_r").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_r").withColumn("slab", F.floor(F.col("z") / depth))
     kinds = dict(runs.dtypes)

@@ -127,3 +127,38 @@ def test_nearest_of_many(spark, block):
     few = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(b)], "label int, centre array<double>")
     for bound in (10, 1000):
         assert {r.i: r.d2 for r in volumes.nearest(rows.dropna(), "i", "v", few, "label", bound).collect()} == pytest.approx({i: d[i].min() for i in range(60)})
+
+
+def test_near_by_tiles_is_one_shuffle_a_side(spark, monkeypatch):
+    """The line passes spread every site over all places around it, in a shuffle for each axis: near_structure did not end on 1 GB."""
+    rnd = random.Random(7)
+    monkeypatch.setattr(grids, "_SIDE", 8)
+    sites = [(rnd.choice("ab"), *(rnd.randrange(-20, 20) for _ in range(3))) for _ in range(150)] + [(None, 1, 1, 1)]
+    asked = [(rnd.choice("abc"), *(rnd.randrange(-25, 25) for _ in range(3))) for _ in range(400)] + [("a", None, 1, 1), (None, 1, 1, 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "v string, x int, y int, z int")
+    names, spacing = ["x", "y", "z"], [0.5, 1.0, 0.7]
+    found = grids.near(frame(asked).distinct(), frame(sites), ["v"], names, spacing, 3.5)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r)[:4]: r.d2 for r in found.collect()}
+    for k in set(asked):
+        d = min((sum(((a - b) * s) ** 2 for a, b, s in zip(k[1:], p[1:], spacing)) for p in sites if p[0] == k[0] and None not in k + p), default=None)
+        assert (got[k] is None and (d is None or d > 12.25)) or got[k] == pytest.approx(d)
+    assert grids.near(frame(asked * 2), frame(sites * 2), ["v"], names, spacing, 3.5).count() == 2 * len(asked)
+    monkeypatch.setattr(grids, "_CELLS", 1)  # a bound of too many voxels goes by lines
+    assert {tuple(r)[:4]: r.d2 for r in grids.near(frame(asked).distinct(), frame(sites), ["v"], names, spacing, 3.5).collect()} == pytest.approx(got)
+
+
+@pytest.mark.parametrize("whole", [0, 300, 10_000])
+def test_parts_of_small_labels_are_no_graph(spark, whole, monkeypatch):
+    """Every label went through slabs and a graph: largest_parts did not end on 1 GB of labels of some hundred voxels."""
+    rnd = random.Random(8)
+    cells = {(c, m): {(rnd.randrange(-4, 5), rnd.randrange(9), rnd.randrange(12)) for _ in range(n)} for c, m, n in (("a", 1, 320), ("b", 1, 500), ("b", 2, 100), (None, 1, 200), ("c", 1, 1))}
+    rows = [(*k, *p) for k, v in cells.items() for p in v]
+    calls = []
+    monkeypatch.setattr(grids, "components", lambda *a: calls.append(a) or graphs.components(*a))
+    got = grids.parts(spark.createDataFrame(rows + rows[:1], "k string, m int, x int, y int, z int"), ["k", "m"], depth=2, whole=whole).collect()
+    for k, v in cells.items():
+        if whole == 10_000 or k[0]:
+            own = [r for r in got if (r.k, r.m) == k]
+            assert sorted(r.n for r in own) == plain_parts(v) and all(tuple(r.part)[::-1] in v for r in own)
+    assert bool(calls) == (whole < 10_000)
