@@ -1,10 +1,14 @@
-"""Points in intervals and overlapping intervals, by equality joins on aligned blocks."""
+"""Points in intervals and overlapping intervals: pairs by equality joins on aligned blocks, counts and sums by running sums."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..sources.shared import settled
+
+_BITS = 10  # places of a level under one of the next
 
 def aligned_blocks(low: Column, high: Column) -> Column:
     """The closed interval of integers as the fewest blocks [block * 2^level, (block + 1) * 2^level): array<struct<level, block>>.
@@ -40,7 +44,8 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     if not used:
         used = [0]
     named = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)))).withColumn("_block", F.expr(f"shiftright(CAST(`{at}` AS BIGINT), _level)"))
-    return named.join(cut, [*keys, "_level", "_block"]).drop("_level", "_block")
+    # blocks are many more than the rows they are cut from, by which Spark would judge whether to broadcast them
+    return named.join(cut.hint("merge"), [*keys, "_level", "_block"]).drop("_level", "_block")
 
 
 def overlaps(left: DataFrame, right: DataFrame, of_left: tuple[str, str], of_right: tuple[str, str], keys: list[str] | None = None) -> DataFrame:
@@ -48,3 +53,44 @@ def overlaps(left: DataFrame, right: DataFrame, of_left: tuple[str, str], of_rig
     begun = range_join(left, right, of_left[0], *of_right, keys)
     other = range_join(right, left, of_right[0], *of_left, keys).filter(F.col(of_right[0]) > F.col(of_left[0]))
     return begun.unionByName(other.select(*begun.columns))
+
+
+def running(rows: DataFrame, points: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """(keys, _t, sums): at every place ``_t`` of rows or points the sums of the rows at it and before it.
+
+    Places are summed up by groups of 1,024 neighbours, these again, until one is left; back down each level adds what lies before it
+    in its group.  No window holds more than 1,024 rows, however the places are spread.
+    """
+    kinds = dict(rows.dtypes)
+    every = rows.select(*keys, "_t", *sums).unionByName(points.select(*keys, "_t", *(F.lit(0).cast(kinds[s]).alias(s) for s in sums)))
+    own = settled(every.dropna(subset=[*keys, "_t"]).groupBy(*keys, "_t").agg(*(F.sum(s).alias(s) for s in sums)))
+    low, high = own.agg(F.min("_t"), F.max("_t")).first()
+    if low is None:
+        return own
+    levels = [own.withColumn("_n", F.col("_t") - low)]
+    while (high - low) >> (_BITS * len(levels)):
+        levels.append(levels[-1].groupBy(*keys, F.shiftright("_n", _BITS).alias("_n")).agg(*(F.sum(s).alias(s) for s in sums)))
+    before = None
+    for depth, level in reversed(list(enumerate(levels))):
+        up = level.withColumn("_p", F.shiftright("_n", _BITS))
+        w = W.partitionBy(*keys, "_p").orderBy("_n").rowsBetween(W.unboundedPreceding, -1 if depth else 0)
+        up = up.withColumns({s: F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums})
+        if before is not None:
+            up = up.join(before.select(*keys, F.col("_n").alias("_p"), *(F.col(s).alias(f"_b_{s}") for s in sums)), [*keys, "_p"])
+            up = up.withColumns({s: F.col(s) + F.col(f"_b_{s}") for s in sums})
+        before = up
+    return before.select(*keys, "_t", *sums)
+
+
+def held(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, sums: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """``points`` with sums (of whole or decimal numbers) over the intervals that hold them: what has begun less what has ended.
+
+    No pair is formed, so the work grows with points and intervals and not with how many intervals are open at a time.
+    """
+    keys = keys or []
+    own = intervals.select(*keys, F.col(low).cast("long").alias("_lo"), F.col(high).cast("long").alias("_hi"), *(c.alias(n) for n, c in sums.items())).filter("_lo <= _hi")
+    begun = own.select(*keys, F.col("_lo").alias("_t"), *sums)
+    ended = own.select(*keys, (F.col("_hi") + 1).alias("_t"), *((-F.col(n)).cast(dict(own.dtypes)[n]).alias(n) for n in sums))
+    given = points.withColumn("_t", F.col(at).cast("long"))
+    found = running(begun.unionByName(ended), given.select(*keys, "_t").distinct(), keys, list(sums))
+    return given.join(found.hint("merge"), [*keys, "_t"], "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in sums}).drop("_t")

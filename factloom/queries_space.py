@@ -75,8 +75,8 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def open_spans(spark, sf_dir):
     """How many orders are open when an event happens, and their worth."""
     points = _read(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("t"))
-    met = ranges.range_join(points, _spans(spark, sf_dir), "t", "t0", "t1").groupBy("event_id").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("w"))
-    return points.join(met, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n_open"), F.round(F.coalesce("w", F.lit(0.0)), 2).alias("worth"))
+    found = ranges.held(points, _spans(spark, sf_dir), "t", "t0", "t1", {"n_open": F.lit(1).cast("long"), "w": F.col("o_totalprice").cast("decimal(18,6)")})
+    return found.select("event_id", "n_open", F.round(F.col("w").cast("double"), 2).alias("worth"))
 
 
 @query(f"""WITH s AS ({_SPANS_SQL}), a AS (SELECT * FROM s WHERE o_orderkey % 2 = 0 AND len > 0), b AS (SELECT * FROM s WHERE o_orderkey % 2 = 1 AND len > 0)

@@ -162,3 +162,18 @@ def test_parts_of_small_labels_are_no_graph(spark, whole, monkeypatch):
             own = [r for r in got if (r.k, r.m) == k]
             assert sorted(r.n for r in own) == plain_parts(v) and all(tuple(r.part)[::-1] in v for r in own)
     assert bool(calls) == (whole < 10_000)
+
+
+def test_sums_of_open_intervals_form_no_pairs(spark):
+    """Every pair of a point and an interval that holds it was a row: open_spans did not end on 0.1 GB."""
+    rnd = random.Random(9)
+    points = [(i, rnd.choice("ab"), rnd.choice([rnd.randrange(-3000, 3000), 7])) for i in range(200)] + [(900, "a", None), (901, None, 5), (902, "a", 1 << 49)]
+    spans = [(rnd.choice("ab"), a, a + rnd.choice([-1, 0, 3, 500]), rnd.randrange(9)) for a in (rnd.randrange(-3000, 3000) for _ in range(200))] + [("a", None, 5, 1), ("a", 0, 1 << 50, None), (None, 0, 9, 1)]
+    p, s = spark.createDataFrame(points, "i int, k string, at long"), spark.createDataFrame(spans, "k string, lo long, hi long, w int")
+    found = ranges.held(p, s, "at", "lo", "hi", {"n": F.lit(1), "w": F.col("w")}, ["k"])
+    inside = {i: [w for k2, lo, hi, w in spans if k == k2 and None not in (k, at, lo, hi) and lo <= at <= hi] for i, k, at in points}
+    assert {r.i: (r.n, r.w) for r in found.collect()} == {i: (len(v), sum(x or 0 for x in v)) for i, v in inside.items()}
+    assert {r.n for r in ranges.held(p, s.limit(0), "at", "lo", "hi", {"n": F.lit(1)}, ["k"]).collect()} == {0}
+    crowd = spark.range(20_000).select(F.lit(0).alias("lo"), F.col("id").alias("hi"))  # 200 million pairs
+    many = ranges.held(spark.range(20_000), crowd, "id", "lo", "hi", {"n": F.lit(1).cast("long")})
+    assert many.agg(F.sum("n")).first()[0] == 20_000 * 20_001 // 2
