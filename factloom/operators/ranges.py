@@ -94,3 +94,29 @@ def held(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str,
     given = points.withColumn("_t", F.col(at).cast("long"))
     found = running(begun.unionByName(ended), given.select(*keys, "_t").distinct(), keys, list(sums))
     return given.join(found.hint("merge"), [*keys, "_t"], "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in sums}).drop("_t")
+
+
+def overlap_summary(left: DataFrame, right: DataFrame, of_left: tuple[str, str], of_right: tuple[str, str], key: str, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(key, n, least): of each left interval that shares an integer with right ones how many these are, and their least ``value``.
+
+    No pair is formed.  n is what has begun by an interval's end less what has ended before its begin.  The least value is that of
+    intervals that begin inside it, by its own blocks, or hold its begin, by theirs; both sides meet on the least value of a block.
+    ``key`` is one row's; empty intervals and nulls share nothing.
+    """
+    keys = keys or []
+    bounds = lambda df, of, *more: df.select(*keys, *more, F.col(of[0]).cast("long").alias("_lo"), F.col(of[1]).cast("long").alias("_hi")).dropna(subset=[*keys, "_lo", "_hi"]).filter("_lo <= _hi")
+    a, b = bounds(left, of_left, F.col(key).alias("_id")), bounds(right, of_right, F.col(value).alias("_v"))
+    count = lambda t, begun: b.select(*keys, t.alias("_t"), F.lit(begun).cast("long").alias("begun"), F.lit(1 - begun).cast("long").alias("ended"))
+    places = a.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_t")).distinct()
+    sums = settled(running(count(F.col("_lo"), 1).unionByName(count(F.col("_hi") + 1, 0)), places, keys, ["begun", "ended"]))
+    at = lambda t, n: sums.select(*keys, F.col("_t").alias(t), n).hint("merge")
+    counted = a.join(at("_hi", "begun"), [*keys, "_hi"]).join(at("_lo", "ended"), [*keys, "_lo"]).select("_id", (F.col("begun") - F.col("ended")).alias("n")).filter("n > 0")
+    longest = lambda df: (df.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1).bit_length()
+    own, theirs = (F.sequence(F.lit(0), F.lit(longest(df) - 1)) for df in (a, b))  # a block is no longer than what is cut
+    cut, begin = F.inline(aligned_blocks(F.col("_lo"), F.col("_hi"))), lambda levels: F.explode(levels).alias("level")
+    point = F.expr("shiftright(_lo, level)").alias("block")
+    least = lambda df, held: df.groupBy(*keys, "level", "block").agg(F.min("_v").alias("_v")).withColumn("held", F.lit(held))
+    lowest = least(b.select(*keys, "_v", "_lo", begin(own)).select(*keys, "_v", "level", point), False).unionByName(least(b.select(*keys, "_v", cut), True))
+    asked = a.select(*keys, "_id", cut).withColumn("held", F.lit(False)).unionByName(a.select(*keys, "_id", "_lo", begin(theirs)).select(*keys, "_id", "level", point).withColumn("held", F.lit(True)))
+    first = asked.join(lowest.hint("merge"), [*keys, "held", "level", "block"]).groupBy("_id").agg(F.min("_v").alias("least"))
+    return counted.join(first.hint("merge"), "_id").select(F.col("_id").alias(key), "n", "least")

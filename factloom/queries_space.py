@@ -85,8 +85,8 @@ def overlapping_spans(spark, sf_dir):
     """Spans of odd orders that share a second with a span of an even one of the same kind."""
     s = _spans(spark, sf_dir).drop("o_totalprice").filter("t1 >= t0")
     b = s.filter("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("other"), F.col("t0").alias("b0"), F.col("t1").alias("b1"), "k")
-    met = ranges.overlaps(s.filter("o_orderkey % 2 = 0"), b, ("t0", "t1"), ("b0", "b1"), ["k"])
-    return met.groupBy("o_orderkey").agg(F.count("*").alias("n_over"), F.min("other").alias("first_over"))
+    found = ranges.overlap_summary(s.filter("o_orderkey % 2 = 0"), b, ("t0", "t1"), ("b0", "b1"), "o_orderkey", "other", ["k"])
+    return found.select("o_orderkey", F.col("n").alias("n_over"), F.col("least").alias("first_over"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),

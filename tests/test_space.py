@@ -177,3 +177,24 @@ def test_sums_of_open_intervals_form_no_pairs(spark):
     crowd = spark.range(20_000).select(F.lit(0).alias("lo"), F.col("id").alias("hi"))  # 200 million pairs
     many = ranges.held(spark.range(20_000), crowd, "id", "lo", "hi", {"n": F.lit(1).cast("long")})
     assert many.agg(F.sum("n")).first()[0] == 20_000 * 20_001 // 2
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    """Every pair of overlapping intervals was a row, and blocks were broadcast: overlapping_spans took the driver's memory on 0.1 GB."""
+    rnd = random.Random(10)
+    make = lambda n: [(j, rnd.choice("ab"), a, a + rnd.choice([-1, 0, 3, 60, 500])) for j, a in enumerate(rnd.randrange(-900, 900) for _ in range(n))] + [(800, "a", None, 5), (801, None, 0, 5)]
+    left, right = make(120), [*make(90), (803, "b", 2000, 1 << 40)]
+    l_, r_ = spark.createDataFrame(left, "i int, k string, lo long, hi long"), spark.createDataFrame(right, "j int, k string, b0 long, b1 long")
+    found = ranges.overlap_summary(l_, r_, ("lo", "hi"), ("b0", "b1"), "i", "j", ["k"])
+    want = {}
+    for i, k, lo, hi in left:
+        met = [j for j, k2, b0, b1 in right if k == k2 and None not in (k, lo, b0) and lo <= hi and b0 <= b1 and lo <= b1 and b0 <= hi]
+        if met:
+            want[i] = len(met), min(met)
+    assert {r.i: (r.n, r.least) for r in found.collect()} == want
+    assert ranges.overlap_summary(l_, r_.limit(0), ("lo", "hi"), ("b0", "b1"), "i", "j", ["k"]).collect() == []
+    n = 5000
+    all_ = spark.range(n).select("id", F.lit(0).alias("lo"), F.lit(9).alias("hi"))  # 25 million pairs
+    many = ranges.overlap_summary(all_, all_.select(F.col("id").alias("j"), "lo", "hi"), ("lo", "hi"), ("lo", "hi"), "id", "j")
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and [tuple(r) for r in many.agg(F.min("n"), F.max("n"), F.max("least"), F.count("*")).collect()] == [(n, n, 0, n)]
