@@ -56,6 +56,23 @@ def test_two_readings_meet(spark):
     assert back == {1: {"x": 1, "y": [1, None, None], "z": {"k": None}}, 2: {"only": None}, 3: [None]}
 
 
+def test_documents_are_not_kept_level_by_level(spark, monkeypatch):
+    """Every level of every document was written out: nested_agreed took the disk on 1 GB."""
+    kept = []
+    monkeypatch.setattr(nested, "settled", lambda df: kept.append(df) or df)
+    odd = {"a\\n": [1], "a\n": {"b\\": None}, "a\\\\n": [[]], "a": {}, "a b": [{"": "x"}, {".": 2}, {"[1": 3}] + [0] * 9, "": 1}
+    given, other = [(1, odd), (2, [odd])], [(1, {**odd, "a": 1}), (2, [odd, 5])]
+    walked = nested.walked(documents(spark, given), "id", "d")
+    assert {r.id: json.loads(r.document) for r in nested.rebuilt(walked, "id").collect()} == dict(given)
+    met = nested.met(documents(spark, given), documents(spark, other), "id", "d")
+    paths = lambda df: {(r.id, tuple(s.name if s.name is not None else s["at"] for s in r.path)) for r in df.collect()}
+    assert paths(met) == {(i, p) for i, d in given + other for p in leaves(d)} >= paths(walked)
+    assert {r.id: json.loads(r.document) for r in nested.agreed_documents(documents(spark, given), documents(spark, other), "id", "d").collect()} == {1: {**odd, "a": None}, 2: [odd, None]}
+    assert len(kept) == 0
+    deep = [(1, [[[[[[[[[{"x": [1]}]]]]]]]]])]
+    assert {r.id: json.loads(r.document) for r in nested.rebuilt(nested.walked(documents(spark, deep), "id", "d"), "id").collect()} == dict(deep) and len(kept) == 2
+
+
 def test_axis_survey(spark):
     rows = [(c, "findings", "absent", "set", "arch", i, s, None) for c, s, items in ((1, "truth", "48 47"), (1, "prediction", "47 46"), (2, "summary", "11")) for i in items.split()]
     rows += [(1, "findings", "caries", "set", "arch", "11", "prediction", None)]
