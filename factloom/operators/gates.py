@@ -126,7 +126,8 @@ def restorations(gates: Gates) -> tuple[Column, ...]:
 def tooth_gates(readings: DataFrame, gates: Gates = Gates()) -> DataFrame:
     """(case_id, arch, fdi, finding, kept, dropped, detail, sources) of all findings of positions that somebody claims."""
     lines = F.array(caries(gates), impaction(gates), *endodontic(gates), *restorations(gates))
-    return readings.select("case_id", "arch", "fdi", F.inline(F.filter(lines, lambda x: x["kept"] | x["dropped"])))
+    worked = readings.select("case_id", "arch", "fdi", lines.alias("_lines"))  # a column of its own: parts that lines share are worked out once
+    return worked.select("case_id", "arch", "fdi", F.inline(F.filter("_lines", lambda x: x["kept"] | x["dropped"])))
 
 
 def canal_contacts(canals: DataFrame, readings: DataFrame, gates: Gates = Gates()) -> DataFrame:
